@@ -30,10 +30,6 @@ def whole_word(term: str) -> str:
     return f"{left}{WORD}){quote(term)}{right}{WORD})"
 
 
-def any_whole_word(terms: list[str]) -> str:
-    return "|".join(whole_word(t) for t in terms)
-
-
 def normalize_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE + "+", " "))
 

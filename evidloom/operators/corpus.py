@@ -58,15 +58,22 @@ def page_links(pages: DataFrame, prefix: str, blocked: list[str], k: int, must_s
 
 def sentences(docs: DataFrame, keys: list[str], text: str = "text",
               min_chars: int = fv.MIN_SENTENCE_CHARS) -> DataFrame:
-    """One row per sentence longer than ``min_chars``, with its position; white space is collapsed first."""
-    parts = tx.split_sentences(tx.normalize_whitespace(F.col(text)))
-    out = docs.select(*keys, F.posexplode(parts).alias("sent_ord", "sentence"))
-    return out.withColumn("sentence", F.trim("sentence")).where(F.length("sentence") > min_chars)
+    """One row per sentence longer than ``min_chars``, with its position and its lower-case form ``low``.
+
+    White space is collapsed first. ``low`` is made next to the sentence, so that later filters do not redo it.
+    """
+    parts = F.transform(
+        tx.split_sentences(tx.normalize_whitespace(F.col(text))),
+        lambda s: F.named_struct(F.lit("sentence"), F.trim(s), F.lit("low"), F.lower(F.trim(s))),
+    )
+    out = docs.select(*keys, F.posexplode(parts).alias("sent_ord", "_s"))
+    return out.select(*keys, "sent_ord", "_s.sentence", "_s.low").where(F.length("sentence") > min_chars)
 
 
 def topic_coverage(docs: DataFrame, topics: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``(topic_ord, topic, covered)``: whether any document contains the topic, ignoring case."""
-    hits = match_terms(docs, keys, text, topics, "topic", "topic_ord", "substring", "found")
+    lowered = compute_once(docs.select(*keys, text), _low=F.lower(text)).drop(text)
+    hits = match_terms(lowered, keys, "_low", topics, "topic", "topic_ord", "substring", "found")
     seen = hits.select(F.explode("found").alias("topic")).distinct().withColumn("covered", F.lit(True))
     return topics.select("topic_ord", "topic").join(seen, "topic", "left").select(
         "topic_ord", "topic", F.coalesce("covered", F.lit(False)).alias("covered"))
@@ -93,8 +100,8 @@ def fallback_candidates(base: DataFrame, candidates: DataFrame, topics: DataFram
     tried = tried.join(base.select("url").distinct(), "url", "left_anti")
     cut = F.substring("text", 1, max_chars)
     tried = tried.withColumn("ok", F.length("text") >= min_chars).withColumn("chars", F.length("text").cast("long"))
-    tried = match_terms(tried.withColumn("text", cut), ["topic_ord", "rank"], "text", topics, "topic", "topic_ord",
-                        "substring", "mentions")
+    tried = compute_once(tried.withColumn("text", cut), _low=F.lower("text"))
+    tried = match_terms(tried, ["topic_ord", "rank"], "_low", topics, "topic", "topic_ord", "substring", "mentions")
     facts = tried.agg(F.array_sort(F.collect_list(F.struct("topic_ord", "rank", "url", "topic", "ok", "mentions")))
                       .alias("facts"))
     none = F.expr("cast(array() as array<string>)")
@@ -106,11 +113,11 @@ def fallback_candidates(base: DataFrame, candidates: DataFrame, topics: DataFram
         fresh = is_open & ~F.array_contains(s["urls"], c["url"])
         added = fresh & c["ok"]
         key = F.concat_ws("|", c["topic_ord"], c["rank"])
-        return F.struct(
-            F.when(fresh, F.array_append(s["urls"], c["url"])).otherwise(s["urls"]).alias("urls"),
-            F.when(added, F.array_union(s["covered"], c["mentions"])).otherwise(s["covered"]).alias("covered"),
-            F.when(is_open, c["topic_ord"]).otherwise(s["open"]).cast("int").alias("open"),
-            F.when(added, F.array_append(s["taken"], key)).otherwise(s["taken"]).alias("taken"),
+        return F.named_struct(
+            F.lit("urls"), F.when(fresh, F.array_append(s["urls"], c["url"])).otherwise(s["urls"]),
+            F.lit("covered"), F.when(added, F.array_union(s["covered"], c["mentions"])).otherwise(s["covered"]),
+            F.lit("open"), F.when(is_open, c["topic_ord"]).otherwise(s["open"]).cast("int"),
+            F.lit("taken"), F.when(added, F.array_append(s["taken"], key)).otherwise(s["taken"]),
         )
 
     taken = facts.select(F.explode(F.aggregate("facts", start, step)["taken"]).alias("_key"))

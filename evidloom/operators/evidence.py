@@ -35,14 +35,13 @@ def filter_entities(entities: DataFrame, keys: list[str], min_score: float = fv.
     return kept.groupBy(*keys).agg(F.array_sort(F.collect_set(word)).alias("entity_terms"))
 
 
-def extractions(sents: DataFrame, lexicon: EvidenceLexicon, keys: list[str], entities: DataFrame | None = None,
-                sentence: str = "sentence") -> DataFrame:
-    """Relation rows: sentences with at least one topic and one term.
+def extractions(sents: DataFrame, lexicon: EvidenceLexicon, keys: list[str], entities: DataFrame | None = None) -> DataFrame:
+    """Relation rows: sentences (rows of ``corpus.sentences``) with at least one topic and one term.
 
     ``entities`` may bring further terms per sentence (output of ``filter_entities``). With bounded lexicons two cheap
     filters run first and the arrays are built only for the sentences that pass.
     """
-    low = F.lower(sentence)
+    low = F.col("low")
     rows = sents
     topics = small_rows(lexicon.topics.select("topic"), LITERAL_ROWS)
     if topics is not None:
@@ -52,10 +51,10 @@ def extractions(sents: DataFrame, lexicon: EvidenceLexicon, keys: list[str], ent
         terms = small_rows(lexicon.terms.select("term"), LITERAL_ROWS)
         if terms is not None:
             rows = rows.where(lx.has_word_term(low, [r[0] for r in terms]))
-    rows = match_terms(rows, keys, sentence, lexicon.topics, "topic", "topic_ord", "substring", "topics")
+    rows = match_terms(rows, keys, "low", lexicon.topics, "topic", "topic_ord", "substring", "topics")
     if topics is None:
         rows = rows.where(F.size("topics") > 0)
-    rows = match_terms(rows, keys, sentence, lexicon.terms, "term", "term_ord", "word", "terms")
+    rows = match_terms(rows, keys, "low", lexicon.terms, "term", "term_ord", "word", "terms")
     if entities is not None:
         rows = rows.join(entities, keys, "left").withColumn(
             "terms", F.array_union("terms", F.coalesce("entity_terms", string_array([])))).drop("entity_terms")

@@ -13,31 +13,31 @@ from evidloom.bounds import LITERAL_ROWS, broadcast_if_small, small_rows, string
 from evidloom.functions import lexicon as lx
 
 
-def match_terms(df: DataFrame, keys: list[str], text: str, lexicon: DataFrame, term: str, order: str, mode: str,
+def match_terms(df: DataFrame, keys: list[str], low: str, lexicon: DataFrame, term: str, order: str, mode: str,
                 out: str, literal_rows: int = LITERAL_ROWS) -> DataFrame:
-    """Add array ``out`` with the terms found in ``text`` (case ignored), in lexicon order.
+    """Add array ``out`` with the terms found in ``low`` (a column of lower-case text), in lexicon order.
 
     ``mode`` is ``substring`` or ``word``. ``keys`` must identify a row; only the indexed plan uses them.
     """
     rows = small_rows(lexicon.select(order, term), literal_rows)
     if rows is None:
-        return _match_indexed(df, keys, text, lexicon, term, order, mode, out)
+        return _match_indexed(df, keys, low, lexicon, term, order, mode, out)
     terms = [r[1] for r in sorted(rows, key=lambda r: r[0])]
     find = lx.substring_terms if mode == "substring" else lx.word_terms
-    return df.withColumn(out, find(F.lower(text), terms))
+    return df.withColumn(out, find(F.col(low), terms))
 
 
 def _is_word(c: Column) -> Column:
     return F.rlike(c, F.lit(r"[\p{L}\p{N}_]"))
 
 
-def _match_indexed(df: DataFrame, keys: list[str], text: str, lexicon: DataFrame, term: str, order: str, mode: str,
+def _match_indexed(df: DataFrame, keys: list[str], low: str, lexicon: DataFrame, term: str, order: str, mode: str,
                    out: str) -> DataFrame:
     entries = lexicon.select(F.col(order).alias("_ord"), F.col(term).alias("_term"), F.lower(term).alias("_low"))
     sizes = entries.agg(F.min(F.length("_low")), F.max(F.length("_low"))).first()
     gram, longest = sizes[0], sizes[1]
     entries = broadcast_if_small(entries.withColumn("_gram", F.substring("_low", 1, gram)))
-    low = F.lower(text)
+    low = F.col(low)
     starts = F.sequence(F.lit(1), F.length(low) - gram + 1)
     # One character before the position, then as many as the longest term and its right neighbour need.
     windows = F.transform(starts, lambda i: F.substring(F.concat(F.lit(" "), low, F.lit(" ")), i, longest + 2))

@@ -12,21 +12,27 @@ from evidloom.functions.scalars import contraindications, formulation, kb_dosage
 from evidloom.operators.common import top_k
 
 
+def _place() -> Column:
+    """Place of a row in evidence order as one decimal, which a hash aggregate can hold (a struct would be sorted)."""
+    return F.col("doc_ord").cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("sent_ord")
+
+
 def evidence_facts(ext: DataFrame) -> DataFrame:
-    """Counts per (topic, kind, value), kind being ``term``, ``source`` or ``class``.
+    """Counts per (topic, kind, value), kind being ``term``, ``source``, ``class`` or ``all``.
 
-    One pass over the evidence and one shuffle of pre-aggregated rows serve all profile columns: every row has exactly
-    one class, so the ``class`` facts also carry the row count, the confidence sum and the safety flags.
+    One pass over the evidence and one shuffle of pre-aggregated rows serve all profile columns. The single ``all``
+    fact of a topic carries the row count, the confidence sum and the safety flags.
     """
     flags = F.col("constraints")
     conf = F.coalesce(F.col("confidence_score"), F.lit(fv.CONFIDENCE_MISSING)).cast("decimal(20,6)")
 
     def fact(kind: str, value: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+        return F.named_struct(F.lit("kind"), F.lit(kind), F.lit("value"), value)
 
     facts = F.concat(
         F.transform("terms", lambda t: fact("term", t)),
-        F.array(fact("source", F.col("source")), fact("class", F.coalesce("class", F.lit(fv.DEFAULT_CLASS)))),
+        F.array(fact("source", F.col("source")), fact("class", F.coalesce("class", F.lit(fv.DEFAULT_CLASS))),
+                fact("all", F.lit(None).cast("string"))),
     )
     rows = ext.where((F.size("terms") > 0) & (F.size("topics") > 0)).select(
         "doc_ord", "sent_ord", conf.alias("conf"),
@@ -36,7 +42,7 @@ def evidence_facts(ext: DataFrame) -> DataFrame:
         "topic", "fact.kind", "fact.value", "doc_ord", "sent_ord", "conf", "child_safe", "elderly_safe",
         "pregnant_safe")
     return rows.groupBy("topic", "kind", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_ord", "sent_ord")).alias("at"), F.sum("conf").alias("conf"),
+        F.count(F.lit(1)).alias("n"), F.min(_place()).alias("at"), F.sum("conf").alias("conf"),
         *[F.bool_and(f).alias(f) for f in ("child_safe", "elderly_safe", "pregnant_safe")],
     )
 
@@ -66,20 +72,19 @@ def topic_profile(ext: DataFrame, topics: DataFrame, k: int = fv.TOP_TERMS,
                   default_terms: list[str] = fv.DEFAULT_TERMS, default_class: str = fv.DEFAULT_CLASS,
                   name_suffix: str = " Protocol") -> DataFrame:
     """One row per topic of the list, with defaults for a topic without evidence."""
-    facts = evidence_facts(ext)
-    totals = facts.where(F.col("kind") == "class").groupBy("topic").agg(
-        F.sum("n").alias("evidence_count"), (F.sum("conf") / F.sum("n")).cast("double").alias("avg_conf"),
-        *[F.bool_and(f).alias(f) for f in ("child_safe", "elderly_safe", "pregnant_safe")],
-    )
-    best = top_k(facts.select("topic", "kind", "value", "n", "at"), ["topic", "kind"], _by_frequency(), k, "rank")
-    best = best.where((F.col("kind") == "term") | (F.col("rank") == 1))
+    best = top_k(evidence_facts(ext), ["topic", "kind"], _by_frequency(), k, "rank")
+    top = F.col("rank") == 1
+    whole = F.col("kind") == "all"
     lists = best.groupBy("topic").agg(
         F.array_sort(F.collect_list(F.when(F.col("kind") == "term", F.struct("rank", "value")))).alias("_terms"),
-        F.max(F.when(F.col("kind") == "source", F.col("value"))).alias("_source"),
-        F.max(F.when(F.col("kind") == "class", F.col("value"))).alias("_class"),
+        F.max(F.when((F.col("kind") == "source") & top, F.col("value"))).alias("_source"),
+        F.max(F.when((F.col("kind") == "class") & top, F.col("value"))).alias("_class"),
+        F.max(F.when(whole, F.col("n"))).alias("evidence_count"),
+        F.max(F.when(whole, (F.col("conf") / F.col("n")).cast("double"))).alias("avg_conf"),
+        *[F.bool_and(F.when(whole, F.col(f))).alias(f) for f in ("child_safe", "elderly_safe", "pregnant_safe")],
     )
     terms = F.coalesce(F.transform("_terms", lambda s: s["value"]), string_array(default_terms))
-    rows = topics.select("topic_ord", "topic").join(lists, "topic", "left").join(totals, "topic", "left")
+    rows = topics.select("topic_ord", "topic").join(lists, "topic", "left")
     return rows.withColumn("top_terms", terms).select(
         "topic_ord", "topic",
         F.concat("topic", F.lit(name_suffix)).alias("medicine_name"),
@@ -153,7 +158,9 @@ def kb_quality(kb: DataFrame, dims: PatientDims | None = None, examples: int = f
         F.concat(F.col("topic"), F.lit(":"), F.concat_ws("_", "age_group", "gender", "severity")).alias("example"),
     ).orderBy("topic_ord", "combo_ord").limit(examples)
     listed = first.agg(F.array_sort(F.collect_list(F.struct("topic_ord", "combo_ord", "example"))).alias("_l"))
-    return totals.join(listed).select(
+    both = totals.unionByName(listed, allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in totals.columns], F.first("_l", ignorenulls=True).alias("_l"))
+    return both.select(
         "topic_count", (F.col("topic_count") * per_topic).alias("total_combos_expected"), "total_records",
         "zero_evidence_combos", F.transform("_l", lambda s: s["example"]).alias("zero_evidence_examples"))
 

@@ -13,6 +13,7 @@ def build_session(cores: str | int = "*", app: str = "evidloom") -> SparkSession
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("EVIDLOOM_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.adaptive.enabled", "true")
