@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidloom import fixed_values as fv
-from evidloom.bounds import HIT_ROWS, LITERAL_ROWS, broadcast_if_small, small_rows, string_array
+from evidloom.bounds import HIT_ROWS, LITERAL_ROWS, broadcast_if_small, local_table, small_rows, string_array
 from evidloom.functions import text as tx
 from evidloom.functions.lexicon import severity_by_last_cue
 from evidloom.operators.common import compute_once, first_by
@@ -155,14 +155,35 @@ def distinct_words(df: DataFrame, min_chars: int) -> DataFrame:
     return words.distinct()
 
 
-def condition_features(df: DataFrame, keys: list[str], lex: IntakeLexicon) -> DataFrame:
+def condition_hits(words: DataFrame, lex: IntakeLexicon) -> DataFrame:
+    """``(word, value)``: features of the conditions to which a word is similar."""
+    fuzzy = lex.conditions.where(F.length("entry") >= fv.FUZZY_WORD_MIN_CHARS)
+    fuzzy = fuzzy.select(F.col("entry").alias("b"), "features")
+    pairs = similar_pairs(words, fuzzy.select("b"), lex.fuzzy_cutoff, literal_rows=lex.literal_rows)
+    return pairs.join(fuzzy, "b").select(F.col("a").alias("word"), F.explode("features").alias("value")).distinct()
+
+
+def scored_words(df: DataFrame, lex: IntakeLexicon) -> tuple[DataFrame, DataFrame]:
+    """Condition hits and typo hits of the distinct words, from one pass over the messages.
+
+    Words are scored once each, whatever their frequency. The hits are counted and kept as local tables when few.
+    """
+    words = distinct_words(df, fv.FUZZY_WORD_MIN_CHARS)
+    both = condition_hits(words, lex).withColumn("kind", F.lit("condition")).unionByName(
+        typo_hits(words, lex).withColumn("kind", F.lit("typo")))
+    rows = small_rows(both.select("word", "value", "kind"), lex.hit_rows)
+    if rows is None:
+        return tuple(both.where(F.col("kind") == k).drop("kind") for k in ("condition", "typo"))
+    return tuple(
+        local_table(df.sparkSession, [(r.word, r.value) for r in rows if r.kind == k], "word string, value string")
+        for k in ("condition", "typo"))
+
+
+def condition_features(df: DataFrame, keys: list[str], lex: IntakeLexicon, hits: DataFrame | None = None) -> DataFrame:
     """Features of the conditions that occur in the text, or to which a word of it is similar."""
     rows = lexicon_features(df, keys, "low", lex.conditions, "_exact", lex.literal_rows)
-    fuzzy = lex.conditions.where(F.length("entry") >= fv.FUZZY_WORD_MIN_CHARS)
-    pairs = similar_pairs(distinct_words(df, fv.FUZZY_WORD_MIN_CHARS), fuzzy.select(F.col("entry").alias("b")),
-                          lex.fuzzy_cutoff, literal_rows=lex.literal_rows)
-    hits = pairs.join(fuzzy.select(F.col("entry").alias("b"), "features"), "b").select(
-        F.col("a").alias("word"), F.explode("features").alias("value")).distinct()
+    if hits is None:
+        hits = condition_hits(distinct_words(df, fv.FUZZY_WORD_MIN_CHARS), lex)
     rows = word_hits(rows, keys, hits, "_fuzzy", lex.hit_rows)
     return rows.withColumn("condition_features", F.array_sort(F.array_union("_exact", "_fuzzy"))).drop(
         "_exact", "_fuzzy")
@@ -187,11 +208,10 @@ def typo_hits(words: DataFrame, lex: IntakeLexicon) -> DataFrame:
     return best.select(F.col("a").alias("word"), F.col("feature").alias("value"))
 
 
-def typo_features(df: DataFrame, keys: list[str], lex: IntakeLexicon, found: str) -> DataFrame:
+def typo_features(df: DataFrame, keys: list[str], lex: IntakeLexicon, found: str, hits: DataFrame) -> DataFrame:
     """Features of misspelt words, only for rows where no other step found anything (``found`` is empty)."""
-    empty = df.where(F.size(found) == 0)
-    hits = typo_hits(distinct_words(empty, fv.TYPO_WORD_MIN_CHARS), lex)
-    rows = word_hits(df, keys, hits, "_typo", lex.hit_rows)
+    long = hits.where(F.length("word") >= fv.TYPO_WORD_MIN_CHARS)
+    rows = word_hits(df, keys, long, "_typo", lex.hit_rows)
     return rows.withColumn("typo_features", F.when(F.size(found) == 0, F.col("_typo")).otherwise(
         string_array([]))).drop("_typo")
 
@@ -208,12 +228,14 @@ def keep_vocabulary(df: DataFrame, keys: list[str], column: str, lex: IntakeLexi
 def extract_features(messages: DataFrame, keys: list[str], lex: IntakeLexicon, text: str = "text") -> DataFrame:
     """Add the sorted ``features`` of every message and its ``detected_severity``."""
     rows = prepare_messages(messages, keys, lex, text)
-    for step in (phrase_features, keyword_features, cooc_features, condition_features, vocab_features):
+    near, typos = scored_words(messages.select(tx.clean_words(F.col(text)).alias("words")), lex)
+    for step in (phrase_features, keyword_features, cooc_features, vocab_features):
         rows = step(rows, keys, lex)
+    rows = condition_features(rows, keys, lex, near)
     parts = ["phrase_features", "keyword_features", "cooc_features", "condition_features", "vocab_features"]
     rows = compute_once(rows.drop("haystack", "lemma_seq", "lemma_text"),
                         _found=F.array_sort(F.array_distinct(F.concat(*parts)))).drop(*parts)
-    rows = typo_features(rows, keys, lex, "_found")
+    rows = typo_features(rows, keys, lex, "_found", typos)
     rows = rows.withColumn("features", F.array_sort(F.array_union("_found", "typo_features")))
     rows = keep_vocabulary(rows, keys, "features", lex)
     return rows.withColumn(

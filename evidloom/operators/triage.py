@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from evidloom import fixed_values as fv
 from evidloom.bounds import string_array
 from evidloom.functions.text import strip_marker
-from evidloom.functions.vectors import suggest
+from evidloom.functions.vectors import mask_renorm, suggest
 from evidloom.operators.features import IntakeLexicon, extract_features
 from evidloom.operators.rules import rule_match
 
@@ -37,8 +37,6 @@ def label_choice(df: DataFrame, model_label: Column, model_confidence: Column, r
 
 def best_score(scores: Column, labels: list[str], critical: list[str], final: Column) -> Column:
     """struct(label, confidence) of the best model score; on a final check critical labels are masked."""
-    from evidloom.functions.vectors import mask_renorm
-
     masked = F.array(*[F.lit(x in critical) for x in labels])
     picked = mask_renorm(scores, masked, final)
     return F.struct(F.get(string_array(labels), picked["top"]).alias("label"), picked["confidence"].alias("confidence"))
@@ -123,9 +121,8 @@ def dialogue_accumulate(turns: DataFrame, key: str, order: str, text: str = "tex
     blocks = blocks.groupBy(key, "_block").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct(order, text))), lambda s: s[text]), separator).alias("_joined"))
     before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(key, "_block", F.array_join(F.collect_list("_joined").over(before), separator)
-                           .alias("_before"))
-    blocks = blocks.where(F.col("_before") != "")
+    blocks = blocks.withColumn("_list", F.collect_list("_joined").over(before)).where(F.size("_list") > 0).select(
+        key, "_block", F.array_join("_list", separator).alias("_before"))
     return rows.join(blocks, [key, "_block"], "left").withColumn(
         "dialogue", F.when(F.col("_before").isNull(), F.col("_text")).otherwise(
             F.concat("_before", F.lit(separator), "_text"))).drop("_block", "_text", "_before")
