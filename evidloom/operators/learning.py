@@ -147,11 +147,11 @@ def soft_vote(df: DataFrame, members: list[str], out: str = "vote") -> DataFrame
 def weighted_metrics(preds: DataFrame, label: str, pred: str) -> DataFrame:
     """Accuracy and support-weighted precision, recall and F1 (0 where undefined), from one confusion count."""
     cells = preds.groupBy(F.col(label).alias("t"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    hit = F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)
+    zero = F.lit(0).cast("long")
+    hit = F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(zero)
     sides = cells.select(F.explode(F.array(
-        F.struct(F.col("t").alias("c"), hit.alias("tp"), F.col("n").alias("support"), F.lit(0).alias("predicted")),
-        F.struct(F.col("p").alias("c"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("support"),
-                 F.col("n").cast("int").alias("predicted")),
+        F.struct(F.col("t").alias("c"), hit.alias("tp"), F.col("n").alias("support"), zero.alias("predicted")),
+        F.struct(F.col("p").alias("c"), zero.alias("tp"), zero.alias("support"), F.col("n").alias("predicted")),
     )).alias("s")).select("s.*")
     per = sides.groupBy("c").agg(*[F.sum(x).alias(x) for x in ("tp", "support", "predicted")])
     tp = F.col("tp").cast("double")

@@ -40,11 +40,12 @@ def kb_lookup(requests: DataFrame, kb: DataFrame, on: list[str] = BUCKET) -> Dat
     return requests.join(broadcast_if_small(kb), on, "left")
 
 
-def kb_lookup_fallback(requests: DataFrame, kb: DataFrame, default_rows: DataFrame) -> DataFrame:
-    """Rows of the exact bucket, else of the topic's first non-empty bucket, else the default rows.
+def kb_lookup_fallback(requests: DataFrame, kb: DataFrame,
+                       defaults: list[tuple[str, str]] = fv.DEFAULT_REMEDIES) -> DataFrame:
+    """Rows of the exact bucket, else of the topic's first non-empty bucket, else the default names and dosages.
 
-    ``requests`` has the bucket columns, ``kb`` also ``combo_ord`` and ``remedy_ord`` (NULL in an empty bucket), and
-    ``default_rows`` the remedy columns. Adds ``match_level``. Buckets are resolved once per distinct request bucket.
+    ``requests`` has the bucket columns (not NULL), ``kb`` also ``combo_ord``, ``medicine_name``, ``dosage`` and
+    ``remedy_ord`` (NULL in an empty bucket). Adds ``match_level``. Buckets are resolved once per distinct request bucket.
     """
     filled = kb.where(F.col("remedy_ord").isNotNull())
     wanted = requests.select(*BUCKET).distinct()
@@ -59,12 +60,13 @@ def kb_lookup_fallback(requests: DataFrame, kb: DataFrame, default_rows: DataFra
     source = filled.select(F.col("topic"), *[F.col(c).alias(f"_{c}") for c in BUCKET[1:]], *remedies)
     found = plan.where(F.col("match_level") != "default").join(
         source, ["topic", "_age_group", "_gender", "_severity"]).select(*BUCKET, "match_level", *remedies)
-    defaults = default_rows.agg(F.collect_list(F.struct(*default_rows.columns)).alias("_rows"))
-    missing = plan.where(F.col("match_level") == "default").select(*BUCKET, "match_level", F.lit(1).alias("_one"))
-    defaults = missing.join(F.broadcast(defaults.withColumn("_one", F.lit(1))), "_one").select(
-        *BUCKET, "match_level", F.explode("_rows").alias("_r")).select(*BUCKET, "match_level", "_r.*")
-    resolved = found.unionByName(defaults, allowMissingColumns=True)
-    return requests.join(resolved, BUCKET)
+    literal = F.array(*[
+        F.struct(F.lit(i).cast("long").alias("remedy_ord"), F.lit(n).alias("medicine_name"), F.lit(d).alias("dosage"))
+        for i, (n, d) in enumerate(defaults)])
+    fallback = plan.where(F.col("match_level") == "default").select(
+        *BUCKET, "match_level", F.explode(literal).alias("_r")).select(*BUCKET, "match_level", "_r.*")
+    resolved = found.unionByName(fallback, allowMissingColumns=True)
+    return requests.join(resolved, BUCKET, "left")
 
 
 def relaxed_lookup(requests: DataFrame, kb: DataFrame, k: int = 3, wildcard: str = "all") -> DataFrame:
@@ -104,8 +106,9 @@ def register_new(new: DataFrame, existing: DataFrame, key: str, order: str) -> D
     return first_by(new, [key], [F.asc(order)]).join(existing.select(key).distinct(), key, "left_anti")
 
 
-def recommend(triaged: DataFrame, kb: DataFrame, topic_keys: DataFrame, default_rows: DataFrame,
-              cutoff: int = fv.LOOKUP_CUTOFF, scorer: str = "weighted") -> DataFrame:
+def recommend(triaged: DataFrame, kb: DataFrame, topic_keys: DataFrame,
+              defaults: list[tuple[str, str]] = fv.DEFAULT_REMEDIES, cutoff: int = fv.LOOKUP_CUTOFF,
+              scorer: str = "weighted") -> DataFrame:
     """Remedies of successful rows: topic by similarity to the label, bucket cascade, names, doses, pregnancy note.
 
     ``triaged`` has ``label, age_category, gender, severity, is_pregnant``; ``topic_keys`` has ``(key_ord, key)``.
@@ -120,7 +123,7 @@ def recommend(triaged: DataFrame, kb: DataFrame, topic_keys: DataFrame, default_
         "gender": sc.gender_or_male(F.col("given_gender")),
         "severity": sc.severity_or_medium(F.col("given_severity")),
     })
-    found = kb_lookup_fallback(rows, kb, default_rows)
+    found = kb_lookup_fallback(rows, kb, defaults)
     name = sc.remedy_name(F.coalesce("medicine_name", F.lit("Protocol")), F.coalesce("top_terms", string_array([])))
     dose = sc.dosage_adjust(F.coalesce("dosage", F.lit(fv.DEFAULT_REMEDY_DOSAGE)), F.col("age_category"),
                             F.col("given_severity"))

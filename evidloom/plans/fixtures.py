@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evidloom.bounds import local_table
 from evidloom.operators.corpus import sentences
 from evidloom.operators.evidence import EvidenceLexicon, extractions
-from evidloom.operators.profile import topic_profile
+from evidloom.operators.profile import expand_kb, topic_profile
 from evidloom.sources.tables import text_table
 
 # Evidence extraction.
@@ -50,3 +50,14 @@ def document_evidence(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_profile(spark: SparkSession, folder: str) -> DataFrame:
     return topic_profile(document_evidence(spark, folder), topics_table(spark), default_class=DEFAULT_CLASS)
+
+
+def document_kb(spark: SparkSession, folder: str) -> DataFrame:
+    return expand_kb(document_profile(spark, folder))
+
+
+def sentence_entities(sents: DataFrame) -> DataFrame:
+    """Entity rows: every token of a sentence with a score from its hash."""
+    rows = sents.select("doc_id", "sent_ord", F.explode(F.split("low", " ")).alias("word"))
+    digits = F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 6), 16, 10).cast("long")
+    return rows.withColumn("score", digits % 100 / F.lit(100.0))
