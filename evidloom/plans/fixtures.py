@@ -61,3 +61,20 @@ def sentence_entities(sents: DataFrame) -> DataFrame:
     rows = sents.select("doc_id", "sent_ord", F.explode(F.split("low", " ")).alias("word"))
     digits = F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 6), 16, 10).cast("long")
     return rows.withColumn("score", digits % 100 / F.lit(100.0))
+
+
+# Fallback corpus: English documents are the base, the other languages are candidates for one topic each.
+CANDIDATE_TOPICS = {"fr": "pour", "de": "avec", "es": "zzqx"}
+
+
+def fallback_base(spark: SparkSession, folder: str) -> DataFrame:
+    docs = text_table(spark, folder, "documents", "doc_id", "text", "lang", "source").where(F.col("lang") == "en")
+    url = F.when(F.col("doc_id") % 40 == 0, F.col("source")).otherwise(F.concat(F.lit("base/"), "source"))
+    return docs.select("doc_id", url.alias("url"), "text")
+
+
+def fallback_pool(spark: SparkSession, folder: str) -> DataFrame:
+    docs = text_table(spark, folder, "documents", "doc_id", "text", "lang", "source")
+    topic_ord = F.coalesce(*[F.when(F.col("lang") == lang, TOPICS.index(t)) for lang, t in CANDIDATE_TOPICS.items()])
+    return docs.select(topic_ord.alias("topic_ord"), F.col("doc_id").alias("rank"), F.col("source").alias("url"),
+                       "text").where(F.col("topic_ord").isNotNull())
