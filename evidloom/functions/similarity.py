@@ -13,6 +13,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from evidloom.shipping import ship_by_value
+
+ship_by_value(__name__)
 WORD_BITS = 62
 
 

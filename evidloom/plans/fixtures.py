@@ -1,13 +1,15 @@
 """Lexicons, rules and derived inputs with which the registered queries run over the driver's tables."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidloom.bounds import local_table
 from evidloom.operators.corpus import sentences
 from evidloom.operators.evidence import EvidenceLexicon, extractions
+from evidloom.operators.features import IntakeLexicon
 from evidloom.operators.profile import expand_kb, topic_profile
+from evidloom.operators.triage import TriageConfig, best_score, triage
 from evidloom.sources.tables import text_table
 
 # Evidence extraction.
@@ -78,3 +80,75 @@ def fallback_pool(spark: SparkSession, folder: str) -> DataFrame:
     topic_ord = F.coalesce(*[F.when(F.col("lang") == lang, TOPICS.index(t)) for lang, t in CANDIDATE_TOPICS.items()])
     return docs.select(topic_ord.alias("topic_ord"), F.col("doc_id").alias("rank"), F.col("source").alias("url"),
                        "text").where(F.col("topic_ord").isNotNull())
+
+
+# Intake messages.
+VOCAB = ["f_rep", "f_det", "f_conj", "f_that", "f_for", "f_und", "f_rom", "f_was", "f_ble", "f_neg", "f_erha", "f_fw",
+         "f_wt", "f_de", "f_this", "f_thing", "f_tion", "on_the", "que", "enough", "eaux"]
+PHRASES = [("the the", ["f_rep"]), ("of the", ["f_det"]), ("and that", ["f_conj", "f_that"]), ("for the", ["f_for"]),
+           ("und", ["f_und"]), ("de la", ["f_rom"]), ("was", ["f_was"])]
+KEYWORDS = [("thble", ["f_ble"]), ("nicht", ["f_neg", "f_und"]), ("erha", ["f_erha"])]
+PAIRS = [("from", "with", "f_fw"), ("was", "that", "f_wt"), ("der", "die", "f_de"), ("une", "que", "f_rom")]
+CONDITIONS = [("this", ["f_this", "f_was"]), ("thing", ["f_thing"]), ("erect", ["f_unknown"]), ("ontion", ["f_tion"])]
+STOP = ["the", "of", "and"]
+LEMMAS = [("thing", "thin"), ("things", "thin")]
+RULES = [("K1", ["f_was"]), ("K1", ["f_that"]), ("K2", ["f_rep"]), ("K3", ["f_was", "f_thing"]),
+         ("K4", ["f_wt", "f_was", "f_det"]), ("CRIT1", ["f_neg", "f_und"]), ("K5", ["f_und", "f_de"]),
+         ("K6", ["f_rom"]), ("CRIT2", ["f_this", "f_was", "f_thing"]), ("K7", ["f_thing", "f_ble"])]
+CRITICAL = ["CRIT1", "CRIT2"]
+MODEL_SCORES = [("K1", 0.5), ("K2", 0.3), ("CRIT1", 0.2)]
+FUZZY_CUTOFF = 85
+TYPO_CUTOFF = 70
+CUES_HIGH = ["was", "nicht", "des"]
+CUES_LOW = ["that", "und", "les"]
+POOL_EMPTY = ["f_was", "f_thing", "headache", "f_que", "f_neg", "on_the", "cough"]
+POOL_FEW = ["f_und", "fatigue", "f_was", "chills", "f_det", "f_rom", "cough"]
+MESSAGE_KEYS = ["conv_id", "turn"]
+
+
+def intake_lexicon(spark: SparkSession, typo_scorer: str = "indel", literal_rows: int = 200,
+                   hit_rows: int = 2000) -> IntakeLexicon:
+    entries = "entry string, features array<string>"
+    return IntakeLexicon(
+        vocab=local_table(spark, list(enumerate(VOCAB)), "ord int, feature string"),
+        phrases=local_table(spark, PHRASES, entries),
+        keywords=local_table(spark, KEYWORDS, entries),
+        pairs=local_table(spark, PAIRS, "w1 string, w2 string, feature string"),
+        conditions=local_table(spark, CONDITIONS, entries),
+        lemmas=local_table(spark, LEMMAS, "token string, lemma string"),
+        stop=local_table(spark, [(s,) for s in STOP], "token string"),
+        fuzzy_cutoff=FUZZY_CUTOFF, typo_cutoff=TYPO_CUTOFF, typo_scorer=typo_scorer, high_words=CUES_HIGH,
+        low_words=CUES_LOW, literal_rows=literal_rows, hit_rows=hit_rows,
+    )
+
+
+def rules_table(spark: SparkSession) -> DataFrame:
+    return local_table(spark, [(i, label, feats) for i, (label, feats) in enumerate(RULES)],
+                       "rule_ord int, label string, feats array<string>")
+
+
+def triage_config() -> TriageConfig:
+    return TriageConfig(VOCAB, CRITICAL, POOL_EMPTY, POOL_FEW)
+
+
+def user_messages(spark: SparkSession, folder: str) -> DataFrame:
+    turns = text_table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    return with_final_check(turns)
+
+
+def with_final_check(turns: DataFrame) -> DataFrame:
+    return turns.where(F.col("role") == "user").select(
+        "conv_id", "turn", "text", (F.col("turn") % 4 == 2).alias("is_final_check"))
+
+
+def model_choice(final: Column) -> tuple[Column, Column]:
+    """Label and confidence from the fixed score table."""
+    labels = [n for n, _ in MODEL_SCORES]
+    scores = F.array(*[F.lit(p) for _, p in MODEL_SCORES])
+    best = best_score(scores, labels, CRITICAL, final)
+    return best["label"], best["confidence"]
+
+
+def triaged_messages(spark: SparkSession, messages: DataFrame) -> DataFrame:
+    label, confidence = model_choice(F.col("is_final_check"))
+    return triage(messages, MESSAGE_KEYS, intake_lexicon(spark), rules_table(spark), triage_config(), label, confidence)
