@@ -22,12 +22,16 @@ def local_table(spark: SparkSession, rows: list, schema: str | StructType) -> Da
         schema = StructType.fromDDL(schema)
     names = schema.fieldNames()
     records = [dict(zip(names, r)) for r in rows]
-    return spark.createDataFrame(pa.Table.from_pylist(records, schema=to_arrow_schema(schema)), schema)
+    df = spark.createDataFrame(pa.Table.from_pylist(records, schema=to_arrow_schema(schema)), schema)
+    df._known_rows = [Row(**r) for r in records]
+    return df
 
 
 def small_rows(df: DataFrame, limit: int) -> list[Row] | None:
-    """Rows of ``df`` when it has at most ``limit`` of them, else None."""
-    rows = df.limit(limit + 1).collect()
+    """Rows of ``df`` when it has at most ``limit`` of them, else None. Rows of a local table are known already."""
+    rows = df.__dict__.get("_known_rows")
+    if rows is None:
+        rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
 
 

@@ -6,8 +6,6 @@ dynamic programme instead.
 """
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,84 +17,36 @@ ship_by_value(__name__)
 WORD_BITS = 62
 
 
-def _full(bits: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), bits) - F.lit(1).cast("long")
-
-
-def _step(v: Column, mask: Column, full: Column) -> Column:
-    u = v.bitwiseAND(mask)
-    return (v + u).bitwiseOR(v - u).bitwiseAND(full)
-
-
-def _lcs_bits(a: Column, b: Column) -> Column:
-    """Common subsequence length; ``b`` has at most WORD_BITS characters."""
-    chars_b = F.split(b, "")
-    size = F.length(b)
-
-    def mask(c: Column) -> Column:
-        bit = F.transform(
-            chars_b,
-            lambda x, i: F.when(x == c, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(
-                F.lit(0).cast("long")),
-        )
-        return F.aggregate(bit, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
-
-    masks = F.transform(F.split(a, ""), mask)
-    left = F.aggregate(masks, _full(size), lambda v, m: _step(v, m, _full(size)))
-    return size - F.bit_count(left)
-
-
-def _lcs_table(a: Column, b: Column) -> Column:
-    """Common subsequence length for strings of any size, one table row at a time."""
-    chars_b = F.split(b, "")
-    zero = F.array_repeat(F.lit(0), (F.length(b) + 1).cast("int"))
+def _lcs_bits(a: str, b: str) -> str:
+    """SQL for the common subsequence length; ``b`` has at most WORD_BITS characters."""
+    full = f"(shiftleft(1L, length({b})) - 1L)"
+    mask = (f"aggregate(transform(split({b}, ''), (x, i) -> if(x = c, shiftleft(1L, i), 0L)), 0L, "
+            "(acc, x) -> acc | x)")
+    masks = f"transform(split({a}, ''), c -> {mask})"
+    left = f"aggregate({masks}, {full}, (v, m) -> ((v + (v & m)) | (v - (v & m))) & {full})"
+    return f"length({b}) - bit_count({left})"
 
-    def next_row(prev: Column, c: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), F.length(b)),
-            F.array(F.lit(0)),
-            lambda row, j: F.array_append(
-                row,
-                F.when(F.get(chars_b, j - 1) == c, F.get(prev, j - 1) + 1).otherwise(
-                    F.greatest(F.get(prev, j), F.get(row, j - 1))),
-            ),
-        )
 
-    return F.try_element_at(F.aggregate(F.split(a, ""), zero, next_row), F.lit(-1))
+def _lcs_table(a: str, b: str) -> str:
+    """SQL for the common subsequence length of strings of any size, one table row at a time."""
+    cell = (f"if(get(split({b}, ''), j - 1) = c, get(above, j - 1) + 1, greatest(get(above, j), get(row, j - 1)))")
+    row = f"aggregate(sequence(1, length({b})), array(0), (row, j) -> array_append(row, {cell}))"
+    return (f"try_element_at(aggregate(split({a}, ''), array_repeat(0, length({b}) + 1), (above, c) -> {row}), -1)")
 
 
-def _ratio(lcs: Column, total: Column) -> Column:
-    return F.when(total == 0, F.lit(100)).otherwise(
-        F.bround(F.lit(200.0) * lcs / F.nullif(total, F.lit(0)), 0).cast("int"))
+def indel_ratio_sql(a: str, b: str) -> str:
+    lcs = (f"CASE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 WHEN length({b}) <= {WORD_BITS} THEN {_lcs_bits(a, b)} "
+           f"WHEN length({a}) <= {WORD_BITS} THEN {_lcs_bits(b, a)} ELSE {_lcs_table(a, b)} END")
+    total = f"(length({a}) + length({b}))"
+    return f"CASE WHEN {total} = 0 THEN 100 ELSE int(bround(200.0D * ({lcs}) / nullif({total}, 0), 0)) END"
 
 
-def indel_ratio(a: Column, b: Column) -> Column:
-    """round(200 * LCS / (length a + length b)), half to even; 100 for two empty strings."""
-    lcs = (
-        F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0))
-        .when(F.length(b) <= WORD_BITS, _lcs_bits(a, b))
-        .when(F.length(a) <= WORD_BITS, _lcs_bits(b, a))
-        .otherwise(_lcs_table(a, b))
-    )
-    return _ratio(lcs, F.length(a) + F.length(b))
+def indel_ratio(a: str, b: str) -> Column:
+    """round(200 * LCS / (length a + length b)) of two columns, half to even; 100 for two empty strings.
 
-
-def indel_ratio_to(a: Column, term: str) -> Column:
-    """``indel_ratio`` against one literal; its character masks are computed once, at plan time."""
-    if not 0 < len(term) <= WORD_BITS:
-        return indel_ratio(a, F.lit(term))
-    masks: dict[str, int] = {}
-    for i, c in enumerate(term):
-        masks[c] = masks.get(c, 0) | (1 << i)
-    table = F.create_map(*[x for c, m in masks.items() for x in (F.lit(c), F.lit(m).cast("long"))])
-    full = F.lit((1 << len(term)) - 1).cast("long")
-    none = F.lit(0).cast("long")
-    left = F.aggregate(
-        F.transform(F.split(a, ""), lambda c: F.coalesce(F.try_element_at(table, c), none)),
-        full,
-        lambda v, m: _step(v, m, full),
-    )
-    return _ratio(F.lit(len(term)) - F.bit_count(left), F.length(a) + F.lit(len(term)))
+    Written as one SQL expression, because a tree of this size is slow to build call by call.
+    """
+    return F.expr(indel_ratio_sql(a, b))
 
 
 def needed_overlap(cutoff: int) -> float:
@@ -104,20 +54,16 @@ def needed_overlap(cutoff: int) -> float:
     return (cutoff - 0.5) / 100.0
 
 
-def length_can_reach(a: Column, b_len: Column | int, cutoff: int) -> Column:
-    """Length test that no pair at or above the cutoff fails: LCS is at most the shorter length."""
-    b = F.lit(b_len) if isinstance(b_len, int) else b_len
-    return F.least(F.length(a), b) * 2.0 >= (F.length(a) + b) * needed_overlap(cutoff)
+def could_reach(a: Column, b: Column, cutoff: int) -> Column:
+    """Cheap native test that every pair at or above the cutoff passes.
 
-
-def reaches(a: Column, term: str, cutoff: int) -> Column:
-    """Whether the ratio to a literal is at least the cutoff; the length test short-cuts the rest."""
-    return F.when(length_can_reach(a, len(term), cutoff), indel_ratio_to(a, term) >= cutoff).otherwise(F.lit(False))
-
-
-def max_edits(total_length: int, cutoff: int) -> int:
-    """Most insertions plus deletions of a pair with this total length at or above the cutoff."""
-    return math.floor(total_length * (1 - needed_overlap(cutoff)) + 1e-9)
+    LCS is at most the shorter length, and the edit distance with replacements is at most the one without, which the
+    cutoff bounds by a share of the total length.
+    """
+    total = F.length(a) + F.length(b)
+    edits = F.floor(total * (1 - needed_overlap(cutoff)) + 1e-9).cast("int")
+    return (F.least(F.length(a), F.length(b)) * 2.0 >= total * needed_overlap(cutoff)) & (
+        F.call_function("levenshtein", a, b, edits) >= 0)
 
 
 # --- weighted ratio -------------------------------------------------------------------------------------------------

@@ -43,14 +43,14 @@ def extractions(sents: DataFrame, lexicon: EvidenceLexicon, keys: list[str], ent
     """
     low = F.col("low")
     rows = sents
-    topics = small_rows(lexicon.topics.select("topic"), LITERAL_ROWS)
+    topics = small_rows(lexicon.topics, LITERAL_ROWS)
     if topics is not None:
-        rows = rows.where(lx.has_substring_term(low, [r[0] for r in topics]))
+        rows = rows.where(lx.has_substring_term(low, [r.topic for r in topics]))
     terms = None
     if entities is None:
-        terms = small_rows(lexicon.terms.select("term"), LITERAL_ROWS)
+        terms = small_rows(lexicon.terms, LITERAL_ROWS)
         if terms is not None:
-            rows = rows.where(lx.has_word_term(low, [r[0] for r in terms]))
+            rows = rows.where(lx.has_word_term(low, [r.term for r in terms]))
     rows = match_terms(rows, keys, "low", lexicon.topics, "topic", "topic_ord", "substring", "topics")
     if topics is None:
         rows = rows.where(F.size("topics") > 0)

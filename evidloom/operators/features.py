@@ -91,7 +91,7 @@ def prepare_messages(messages: DataFrame, keys: list[str], lex: IntakeLexicon, t
 def lexicon_features(df: DataFrame, keys: list[str], text: str, lexicon: DataFrame, out: str,
                      literal_rows: int = LITERAL_ROWS) -> DataFrame:
     """Add the features of every entry that is a substring of ``text``, sorted and distinct."""
-    rows = small_rows(lexicon.select("entry", "features"), literal_rows)
+    rows = small_rows(lexicon, literal_rows)
     if rows is not None:
         hits = [F.when(F.contains(F.col(text), F.lit(r.entry)), string_array(list(r.features))) for r in rows]
         found = F.flatten(F.array_compact(F.array(*hits))) if hits else string_array([])
@@ -116,7 +116,7 @@ def keyword_features(df: DataFrame, keys: list[str], lex: IntakeLexicon) -> Data
 
 def cooc_features(df: DataFrame, keys: list[str], lex: IntakeLexicon) -> DataFrame:
     """Features of the word pairs of which both words occur, in any order and at any distance."""
-    rows = small_rows(lex.pairs.select("w1", "w2", "feature"), lex.literal_rows)
+    rows = small_rows(lex.pairs, lex.literal_rows)
     out = "cooc_features"
     if rows is not None:
         hay = F.col("haystack")
@@ -138,7 +138,7 @@ def word_hits(df: DataFrame, keys: list[str], hits: DataFrame, out: str, hit_row
     ``hits`` is a result over the distinct words, usually tiny: it is counted, and then tested as literals in place,
     so the messages are not shuffled. A larger one is joined on the exploded words.
     """
-    rows = small_rows(hits.select("word", "value"), hit_rows)
+    rows = small_rows(hits, hit_rows)
     if rows is None:
         found = df.select(*keys, F.explode(F.array_distinct("words")).alias("word")).join(hits, "word")
         return _collected(df, found.select(*keys, "value"), keys, out)
@@ -151,8 +151,10 @@ def word_hits(df: DataFrame, keys: list[str], hits: DataFrame, out: str, hit_row
 
 
 def distinct_words(df: DataFrame, min_chars: int) -> DataFrame:
-    words = df.select(F.explode(F.array_distinct("words")).alias("a")).where(F.length("a") >= min_chars)
-    return words.distinct()
+    """Distinct words as column ``a``. They are few next to the messages but costly to score, so they are spread over
+    all shuffle partitions instead of the few that their bytes alone would give."""
+    words = df.select(F.explode(F.array_distinct("words")).alias("a")).where(F.length("a") >= min_chars).distinct()
+    return words.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a")
 
 
 def condition_hits(words: DataFrame, lex: IntakeLexicon) -> DataFrame:
@@ -191,18 +193,21 @@ def condition_features(df: DataFrame, keys: list[str], lex: IntakeLexicon, hits:
 
 def vocab_features(df: DataFrame, keys: list[str], lex: IntakeLexicon) -> DataFrame:
     """Vocabulary names that occur in the text as they are or with spaces."""
-    plain = lex.vocab.select(F.col("feature").alias("entry"), F.array("feature").alias("features"))
-    spaced = lex.vocab.select(F.replace("feature", F.lit("_"), F.lit(" ")).alias("entry"),
-                              F.array("feature").alias("features"))
-    return lexicon_features(df, keys, "low", plain.union(spaced), "vocab_features", lex.literal_rows)
+    rows = small_rows(lex.vocab, lex.literal_rows)
+    if rows is not None:
+        entries = [(e, [r.feature]) for r in rows for e in sorted({r.feature, r.feature.replace("_", " ")})]
+        names = local_table(df.sparkSession, entries, "entry string, features array<string>")
+        return lexicon_features(df, keys, "low", names, "vocab_features", 2 * lex.literal_rows)
+    names = lex.vocab.select(
+        F.explode(F.array_distinct(F.array("feature", F.replace("feature", F.lit("_"), F.lit(" "))))).alias("entry"),
+        F.array("feature").alias("features"))
+    return lexicon_features(df, keys, "low", names, "vocab_features", 2 * lex.literal_rows)
 
 
 def typo_hits(words: DataFrame, lex: IntakeLexicon) -> DataFrame:
     """``(word, value)``: the most similar vocabulary name at or above the cutoff, else the most similar spaced one."""
-    plain = lex.vocab.select("ord", "feature", F.col("feature").alias("b"), F.lit(0).alias("spaced"))
-    spaced = lex.vocab.select("ord", "feature", F.replace("feature", F.lit("_"), F.lit(" ")).alias("b"),
-                              F.lit(1).alias("spaced"))
-    names = plain.union(spaced)
+    names = lex.vocab.select("ord", "feature", F.posexplode(F.array(
+        "feature", F.replace("feature", F.lit("_"), F.lit(" ")))).alias("spaced", "b"))
     pairs = similar_pairs(words, names.select("b").distinct(), lex.typo_cutoff, lex.typo_scorer, lex.literal_rows)
     best = first_by(pairs.join(names, "b"), ["a"], [F.asc("spaced"), F.desc("score"), F.asc("ord")])
     return best.select(F.col("a").alias("word"), F.col("feature").alias("value"))
@@ -217,7 +222,7 @@ def typo_features(df: DataFrame, keys: list[str], lex: IntakeLexicon, found: str
 
 
 def keep_vocabulary(df: DataFrame, keys: list[str], column: str, lex: IntakeLexicon) -> DataFrame:
-    rows = small_rows(lex.vocab.select("feature"), lex.hit_rows)
+    rows = small_rows(lex.vocab, lex.hit_rows)
     if rows is not None:
         return df.withColumn(column, F.array_intersect(column, string_array([r.feature for r in rows])))
     known = df.select(*keys, F.explode(column).alias("feature")).join(

@@ -19,10 +19,10 @@ def match_terms(df: DataFrame, keys: list[str], low: str, lexicon: DataFrame, te
 
     ``mode`` is ``substring`` or ``word``. ``keys`` must identify a row; only the indexed plan uses them.
     """
-    rows = small_rows(lexicon.select(order, term), literal_rows)
+    rows = small_rows(lexicon, literal_rows)
     if rows is None:
         return _match_indexed(df, keys, low, lexicon, term, order, mode, out)
-    terms = [r[1] for r in sorted(rows, key=lambda r: r[0])]
+    terms = [r[term] for r in sorted(rows, key=lambda r: r[order])]
     find = lx.substring_terms if mode == "substring" else lx.word_terms
     return df.withColumn(out, find(F.col(low), terms))
 

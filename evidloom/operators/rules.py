@@ -16,7 +16,7 @@ def rule_match(df: DataFrame, rules: DataFrame, keys: list[str], feats: str = "f
     ``rules`` has ``(rule_ord, label, feats)``. A bounded rule base becomes one CASE expression. A larger one is
     matched per distinct feature set through an inverted index: features joined on rule features, complete rules kept.
     """
-    rows = small_rows(rules.select("rule_ord", "label", "feats"), literal_rows)
+    rows = small_rows(rules, literal_rows)
     if rows is not None:
         have = F.col(feats)
         case = F.when(F.size(have) == 0, F.lit(None).cast("string"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidloom.bounds import LITERAL_ROWS, broadcast_if_small, small_rows
+from evidloom.bounds import LITERAL_ROWS, broadcast_if_small, small_rows, string_array
 from evidloom.functions import similarity as sim
 from evidloom.operators.common import first_by
 
@@ -19,21 +19,16 @@ def similar_pairs(left: DataFrame, right: DataFrame, cutoff: int, scorer: str =
       into d + 1 pieces, one piece of ``b`` is left unchanged in ``a``, so an equality join on pieces misses no pair.
     * ``weighted``: every positive score needs a common letter or digit.
     """
-    rows = small_rows(right.select("b"), literal_rows)
+    rows = small_rows(right, literal_rows)
     if rows is None:
         pairs = _piece_pairs(left, right, cutoff) if scorer == "indel" else _letter_pairs(left, right)
-    elif scorer == "indel":
-        near = [
-            F.when(sim.length_can_reach(F.col("a"), len(r.b), cutoff),
-                   F.named_struct(F.lit("b"), F.lit(r.b), F.lit("score"), sim.indel_ratio_to(F.col("a"), r.b)))
-            for r in rows
-        ]
-        scored = left.select("a", F.explode(F.array_compact(F.array(*near))).alias("_p"))
-        return scored.select("a", "_p.b", "_p.score").where(F.col("score") >= cutoff)
     else:
-        pairs = left.select("a", F.explode(F.array(*[F.lit(r.b) for r in rows])).alias("b"))
-    score = sim.indel_ratio if scorer == "indel" else sim.weighted_ratio
-    return pairs.withColumn("score", score(F.col("a"), F.col("b"))).where(F.col("score") >= cutoff)
+        names = string_array([r.b for r in rows])
+        if scorer == "indel":
+            names = F.filter(names, lambda b: sim.could_reach(F.col("a"), b, cutoff))
+        pairs = left.select("a", F.explode(names).alias("b"))
+    score = sim.indel_ratio("a", "b") if scorer == "indel" else sim.weighted_ratio("a", "b")
+    return pairs.withColumn("score", score).where(F.col("score") >= cutoff)
 
 
 def _substrings(text: Column, sizes: Column) -> Column:
@@ -58,7 +53,7 @@ def _piece_pairs(left: DataFrame, right: DataFrame, cutoff: int) -> DataFrame:
     sizes = F.sequence(F.lit(1), F.lit(largest))
     at = left.where(F.length("a") > 0).select("a", F.explode(_substrings(F.col("a"), sizes)).alias("_piece"))
     near = at.join(broadcast_if_small(index), "_piece").where(
-        sim.length_can_reach(F.col("a"), F.length("b"), cutoff))
+        sim.could_reach(F.col("a"), F.col("b"), cutoff))
     return near.select("a", "b").distinct()
 
 

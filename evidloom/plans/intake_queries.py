@@ -125,7 +125,7 @@ def indel_ratio(spark, folder):
     words = fx.user_messages(spark, folder).select(tx.clean_words(F.col("text")).alias("words"))
     pairs = ft.distinct_words(words, fv.FUZZY_WORD_MIN_CHARS).select(
         "a", F.explode(string_array([c for c, _ in fx.CONDITIONS])).alias("b"))
-    return pairs.withColumn("score", sim.indel_ratio(F.col("a"), F.col("b")))
+    return pairs.withColumn("score", sim.indel_ratio("a", "b"))
 
 
 def similar_words(spark, folder):
