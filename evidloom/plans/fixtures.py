@@ -4,13 +4,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidloom.bounds import local_table
+from evidloom.bounds import local_table, string_array
+from evidloom.fixed_values import AGES, GENDERS, SEVERITIES
+from evidloom.functions import scalars as sc
+from evidloom.functions.lexicon import word_terms
+from evidloom.operators.common import compute_once
 from evidloom.operators.corpus import sentences
 from evidloom.operators.evidence import EvidenceLexicon, extractions
 from evidloom.operators.features import IntakeLexicon
 from evidloom.operators.profile import expand_kb, topic_profile
 from evidloom.operators.triage import TriageConfig, best_score, triage
-from evidloom.sources.tables import text_table
+from evidloom.sources.tables import table, text_table
 
 # Evidence extraction.
 TOPICS = ["that", "with", "this", "from", "pour", "dans", "avec", "sich", "nicht", "para", "mente", "zzqx"]
@@ -152,3 +156,91 @@ def model_choice(final: Column) -> tuple[Column, Column]:
 def triaged_messages(spark: SparkSession, messages: DataFrame) -> DataFrame:
     label, confidence = model_choice(F.col("is_final_check"))
     return triage(messages, MESSAGE_KEYS, intake_lexicon(spark), rules_table(spark), triage_config(), label, confidence)
+
+
+# Customer profiles and remedy rules from parts; two parts make up one remedy topic, so both sides grow together.
+def profiles(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, folder, "customer").select(
+        "c_custkey", (k % 90).cast("int").alias("age"),
+        F.when(F.col("c_nationkey") % 2 == 0, "female").otherwise("male").alias("gender"),
+        F.element_at(string_array(SEVERITIES), (k % 3 + 1).cast("int")).alias("severity"),
+        (k % 7 == 0).alias("is_pregnant"), (40.0 + k % 60).alias("weight"),
+        F.when(k % 100 == 0, 0.0).otherwise(140.0 + k % 60).alias("height"))
+
+
+def remedy_table(spark: SparkSession, folder: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size")
+    none = F.lit(None).cast("array<string>")
+    pick = string_array
+    return table(spark, folder, "part").select(
+        F.concat(F.lit("t"), F.floor(k / 2)).alias("topic"), k.alias("remedy_ord"), F.col("p_name").alias("medicine_name"),
+        F.col("p_type").alias("dosage"),
+        F.when(size % 4 == 0, pick(["all"])).when(size % 4 == 1, pick(["young"])).when(
+            size % 4 == 2, pick(["middle", "elder"])).otherwise(none).alias("allowed_ages"),
+        F.when(k % 3 == 0, pick(["all"])).when(k % 3 == 1, pick(["male"])).otherwise(pick(["female"]))
+        .alias("allowed_genders"),
+        F.when(size % 3 == 0, pick(SEVERITIES)).when(size % 3 == 1, pick(["medium"])).otherwise(pick(["high"]))
+        .alias("allowed_severities"))
+
+
+def remedy_requests(spark: SparkSession, folder: str) -> DataFrame:
+    rows = profiles(spark, folder)
+    return rows.select(
+        "c_custkey", F.concat(F.lit("t"), "c_custkey").alias("topic"),
+        sc.age_band(sc.age_band(F.col("age"), "intake"), "kb").alias("age_group"), "gender", "severity")
+
+
+def bucket_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Knowledge base with wildcard buckets: eight parts per topic."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    return table(spark, folder, "part").select(
+        k.alias("kb_ord"), F.concat(F.lit("t"), F.floor(k / 8)).alias("topic"), F.col("p_name").alias("medicine_name"),
+        F.element_at(string_array(["all", *AGES]), (size % 4 + 1).cast("int")).alias("age_group"),
+        F.element_at(string_array(["all", *GENDERS]), (k % 3 + 1).cast("int")).alias("gender"),
+        F.element_at(string_array(SEVERITIES), (size % 3 + 1).cast("int")).alias("severity"))
+
+
+def bucket_requests(spark: SparkSession, folder: str) -> DataFrame:
+    rows = profiles(spark, folder)
+    return rows.select("c_custkey", F.concat(F.lit("t"), F.floor(F.col("c_custkey") / 5)).alias("topic"),
+                       sc.age_band(F.col("age"), "demo").alias("age_group"), "gender", "severity")
+
+
+def topic_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """One request per customer for a topic of the document knowledge base."""
+    topic = F.element_at(string_array(TOPICS), (F.col("c_custkey") % len(TOPICS) + 1).cast("int"))
+    rows = profiles(spark, folder)
+    return rows.select("c_custkey", topic.alias("topic"),
+                       sc.age_band(sc.age_band(F.col("age"), "intake"), "kb").alias("age_group"), "gender", "severity")
+
+
+# Document topics under names close to the triage labels.
+LABEL_TOPICS = ["K1", "K2x", "K-3", "K4", "K5x", "K6", "K77", "CRIT1", "CRIT2", "Z8", "Z9", "Z10"]
+
+
+def label_kb(spark: SparkSession, folder: str) -> DataFrame:
+    kb = document_kb(spark, folder)
+    name = F.element_at(string_array(LABEL_TOPICS), F.col("topic_ord") + 1)
+    return kb.select(name.alias("topic"), "combo_ord", "age_group", "gender", "severity", F.lit(0).cast("long")
+                     .alias("remedy_ord"), "medicine_name", "dosage", "top_terms")
+
+
+# Feature matrix of the documents: whole-word presence.
+FEATURE_WORDS = ["the", "and", "que", "der", "les", "los", "mit", "pour", "para", "con", "est", "die", "del", "une",
+                 "und", "this"]
+RULE_LABELS = [("the", "en"), ("les", "fr"), ("der", "de"), ("los", "es")]
+
+
+def feature_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    docs = text_table(spark, folder, "documents", "doc_id", "text", "lang")
+    low = compute_once(docs, _low=F.lower("text")).drop("text")
+    return low.select("doc_id", F.col("lang").alias("label"), word_terms(F.col("_low"), FEATURE_WORDS)
+                      .alias("features"))
+
+
+def rule_prediction(features: Column) -> Column:
+    out = F.when(F.lit(False), "")
+    for word, label in RULE_LABELS:
+        out = out.when(F.array_contains(features, word), label)
+    return out.otherwise("en")
