@@ -130,11 +130,12 @@ def fit_ovr_gbt(train: DataFrame, classes: int, label: str = "label_index", feat
     models = []
     for i in range(classes):
         binary = train.withColumn("_y", (F.col(label) == i).cast("double"))
-        models.append(GBTClassifier(
+        booster = GBTClassifier(
             labelCol="_y", featuresCol=features, maxIter=rounds, stepSize=step, maxDepth=depth,
             minInstancesPerNode=min_leaf, subsamplingRate=subsample, minInfoGain=min_gain,
-            featureSubsetStrategy=subset, seed=seed, probabilityCol=f"{out}_prob", rawPredictionCol=f"{out}_raw",
-            predictionCol=f"{out}_one").fit(binary))
+            featureSubsetStrategy=subset, seed=seed, predictionCol=f"{out}_one")
+        booster.setProbabilityCol(f"{out}_prob").setRawPredictionCol(f"{out}_raw")
+        models.append(booster.fit(binary))
     return OneVsRestBoosting(models, out)
 
 

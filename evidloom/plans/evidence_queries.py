@@ -231,7 +231,7 @@ _SHOWN = ("SELECT doc_id, sent_ord, source, sentence, array_to_string(topics, ',
 _EXAMPLES = ("coalesce((SELECT string_agg(e, '|' ORDER BY topic_ord, combo_ord) FROM (SELECT topic_ord, combo_ord, "
              "topic || ':' || age_group || '_' || gender || '_' || severity AS e FROM kb WHERE evidence_count = 0 "
              f"ORDER BY topic_ord, combo_ord LIMIT {fv.QUALITY_EXAMPLES})), '')")
-_TITLED = ("list_transform(list_filter(top_terms, lambda t: NOT regexp_matches(t, '[0-9]') AND NOT contains(t, 'days') "
+TITLED = ("list_transform(list_filter(top_terms, lambda t: NOT regexp_matches(t, '[0-9]') AND NOT contains(t, 'days') "
            "AND NOT contains(t, 'times') AND length(t) > 2), lambda t: upper(t[1]) || lower(t[2:]))")
 
 QUERIES = {
@@ -301,7 +301,7 @@ ORACLE = {
     "remedy_name": query(
         PROFILE + [("named", "SELECT topic, medicine_name, top_terms FROM profile UNION ALL "
                              "SELECT topic, source, top_terms FROM profile"),
-                   ("titled", f"SELECT topic, medicine_name, {_TITLED} AS t FROM named")],
+                   ("titled", f"SELECT topic, medicine_name, {TITLED} AS t FROM named")],
         "SELECT topic, medicine_name, CASE WHEN len(t) = 0 THEN medicine_name WHEN contains(medicine_name, 'Protocol') "
         "THEN array_to_string(t[1:5], ', ') ELSE medicine_name || ' (' || array_to_string(t[1:3], ', ') || ')' END "
         "AS remedy FROM titled"),

@@ -204,7 +204,7 @@ MESSAGES = [
                    f"WHERE length(a) >= {fv.TYPO_WORD_MIN_CHARS}"),
     ("typos", f"SELECT a AS word, feature AS value FROM typo_pairs WHERE score >= {fx.TYPO_CUTOFF} "
               "QUALIFY row_number() OVER (PARTITION BY a ORDER BY spaced, score DESC, ord) = 1"),
-    ("found", "SELECT h.*, "
+    ("hit_sets", "SELECT h.*, "
               f"{_lexicon('lemma_seq', [(f' {p} ', f) for p, f in fx.PHRASES])} AS phrase_features, "
               f"{_lexicon('haystack', fx.KEYWORDS)} AS keyword_features, "
               "list_sort(list_distinct(list_filter(["
@@ -216,7 +216,7 @@ MESSAGES = [
               "AS condition_features, "
               f"{_lexicon('low', [(b, [f]) for _, _, f, b in _NAMES])} AS vocab_features FROM hay h"),
     ("unioned", "SELECT *, list_distinct(flatten([phrase_features, keyword_features, cooc_features, "
-                "condition_features, vocab_features])) AS u FROM found"),
+                "condition_features, vocab_features])) AS u FROM hit_sets"),
     ("fixed", "SELECT *, CASE WHEN len(u) > 0 THEN u ELSE coalesce((SELECT list(value) FROM typos t WHERE "
               "list_contains(unioned.words, t.word)), []::VARCHAR[]) END AS f FROM unioned"),
     ("featured", f"SELECT *, list_sort(list_distinct(list_filter(f, lambda x: x IN "
@@ -273,7 +273,7 @@ DIALOGUE = ("SELECT conv_id, turn, string_agg(text, '. I also have ') OVER (PART
 
 
 def _shown(name: str) -> str:
-    return query(MESSAGES, f"SELECT conv_id, turn, array_to_string({name}, ',') AS features FROM found")
+    return query(MESSAGES, f"SELECT conv_id, turn, array_to_string({name}, ',') AS features FROM hit_sets")
 
 
 STEPS = ["phrase_features", "keyword_features", "cooc_features", "condition_features", "vocab_features"]

@@ -8,9 +8,10 @@ from evidloom.functions import scalars as sc
 from evidloom.operators import lookup as lk
 from evidloom.operators.profile import PatientDims
 from evidloom.plans import fixtures as fx
-from evidloom.plans.evidence_queries import KB
+from evidloom.plans.evidence_queries import KB, TITLED
 from evidloom.plans.intake_queries import TRIAGE, ratio_sql
 from evidloom.plans.sql import lit, query, values
+from evidloom.session import stored
 
 
 def age_bands(spark, folder):
@@ -75,9 +76,11 @@ def recommend(spark, folder):
     people = fx.profiles(spark, folder).select(
         F.col("c_custkey").alias("conv_id"), sc.age_band(F.col("age"), "intake").alias("age_category"), "gender",
         "severity", "is_pregnant")
-    rows = fx.triaged_messages(spark, fx.user_messages(spark, folder)).join(people, "conv_id")
+    rows = fx.triaged_messages(spark, fx.user_messages(spark, folder)).select(
+        "conv_id", "turn", "label", "status").join(people, "conv_id")
     keys = fx.ordered(spark, fx.LABEL_TOPICS, "key")
-    found = lk.recommend(rows, fx.label_kb(spark, folder), keys, scorer="indel")
+    kb = stored(fx.label_kb(spark, folder), "kb")
+    found = lk.recommend(stored(rows, "triaged"), kb, keys, scorer="indel")
     return found.select("conv_id", "turn", "label", "topic", "match_level", "remedy_ord", "remedy", "remedy_dosage",
                         "pregnancy_status")
 
@@ -147,10 +150,15 @@ _LABEL_KB = KB + [
     ("label_kb", "SELECT t.label_topic AS topic, kb.combo_ord, 0 AS remedy_ord, kb.medicine_name, kb.dosage, "
                  "kb.top_terms FROM kb JOIN label_topics t USING (topic_ord)"),
 ]
-_NAMES_ONCE = {n for n, _ in KB}
-RECOMMEND = (
-    [c for c in PROFILES if c[0] != "combos"] + _LABEL_KB + [c for c in TRIAGE if c[0] not in _NAMES_ONCE | {"found"}]
-)
+RECOMMEND = PROFILES[:1] + _LABEL_KB + TRIAGE + [
+    ("label_scores", f"SELECT label, t.topic_ord, t.label_topic, {ratio_sql('label', 't.label_topic')} AS score FROM "
+                     "(SELECT DISTINCT label FROM routed WHERE status = 'success') l, label_topics t"),
+    ("label_best", f"SELECT label, label_topic FROM label_scores WHERE score >= {fv.LOOKUP_CUTOFF} "
+                   "QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, topic_ord) = 1"),
+    ("asked", f"SELECT r.conv_id, r.turn, r.label, coalesce(b.label_topic, '') AS topic, {_KB_AGE} AS age_group, "
+              f"p.gender, p.severity, p.is_pregnant, {_INTAKE} AS band FROM routed r JOIN people p ON r.conv_id = "
+              "p.c_custkey LEFT JOIN label_best b ON r.label = b.label WHERE r.status = 'success'"),
+] + _cascade("asked", "label_kb", "l.conv_id, l.turn, l.label, l.topic, l.gender, l.severity, l.is_pregnant, l.band")
 _BASE_DOSE = ("CASE c_custkey % 5 WHEN 0 THEN 'Half Dose daily' WHEN 1 THEN 'INTENSIVE course' ELSE '1 tablet' END")
 
 
@@ -202,6 +210,14 @@ ORACLE = {
         RELAXED, "SELECT c_custkey, topic, age_group, gender, severity, CASE WHEN kb_ord IS NULL THEN NULL WHEN any_strict "
                  "THEN 'strict' ELSE 'relaxed' END AS match_level, CASE WHEN kb_ord IS NOT NULL THEN rank END AS rank, "
                  "kb_ord, medicine_name FROM ranked WHERE rank <= 3"),
+    "recommend": query(
+        RECOMMEND + [
+            ("terms", f"SELECT DISTINCT topic, {TITLED} AS t FROM label_kb"),
+            ("named", "SELECT r.*, CASE WHEN r.match_level = 'default' THEN []::VARCHAR[] ELSE terms.t END AS t FROM "
+                      "resolved r LEFT JOIN terms USING (topic)")],
+        "SELECT conv_id, turn, label, topic, match_level, remedy_ord, CASE WHEN len(t) = 0 THEN medicine_name ELSE "
+        f"array_to_string(t[1:5], ', ') END AS remedy, {_dose('dosage', 'band')} AS remedy_dosage, {_PREGNANCY} AS "
+        "pregnancy_status FROM named"),
     "register_new": (
         "WITH named AS (SELECT c_custkey, c_nationkey, c_mktsegment || '-' || floor(c_acctbal / 100)::BIGINT AS name FROM "
         "customer) SELECT c_custkey, name FROM named WHERE c_nationkey % 2 = 1 AND name NOT IN (SELECT name FROM named "

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,10 +26,19 @@ def build_session(cores: str | int = "*", app: str = "evidloom") -> SparkSession
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a temporary folder only where none is set."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidloom-ckpt-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+def work_folder(spark: SparkSession, name: str) -> str:
+    """New folder below the shared one that the cluster names; a temporary one only where none is set (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        return tempfile.mkdtemp(prefix=f"evidloom-{name}-")
+    return f"{shared.rstrip('/')}/evidloom-{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a costly intermediate result once and go on from the written table.
+
+    Several consumers then share one evaluation, and a lost executor costs a re-read, not a re-computation.
+    """
+    path = f"{work_folder(df.sparkSession, name)}/{name}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
