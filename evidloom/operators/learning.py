@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidloom import fixed_values as fv
+from evidloom.bounds import broadcast_if_small
 from evidloom.functions.vectors import argmax, mean_scores
 
 
@@ -36,28 +37,28 @@ def stratified_split(df: DataFrame, key: str, label: str, fraction: float = fv.S
                      seed: int = fv.SPLIT_SEED, prefix: int = 3) -> DataFrame:
     """Add ``is_test``: exactly round(fraction * n) rows of every label, those with the smallest seeded hash of the key.
 
-    The cut per label is found from a histogram over the first ``prefix`` hash digits (16 ** prefix bins); only the
-    rows of the one bin that holds the cut are ranked. No label is sorted as a whole, however common it is.
+    The cut per label is found from a histogram over the first ``prefix`` hash digits (16 ** prefix bins) and a ranking
+    of the one bin that holds it. The result is one threshold per label, so the rows themselves are marked in place: no
+    label is sorted or shuffled as a whole, however common it is.
     """
-    rows = df.withColumn("_h", _hash(F.col(key).cast("string"), F.lit(str(seed))))
-    rows = rows.withColumn("_bin", F.substring("_h", 1, prefix))
-    bins = rows.groupBy(label, "_bin").agg(F.count(F.lit(1)).alias("_n"))
-    by_label = Window.partitionBy(label)
+    hashed = _hash(F.col(key).cast("string"), F.lit(str(seed)))
+    slim = df.select(F.col(label).alias("_label"), F.col(key).alias("_key"), hashed.alias("_h")).withColumn(
+        "_bin", F.substring("_h", 1, prefix))
+    bins = slim.groupBy("_label", "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    by_label = Window.partitionBy("_label")
     running = by_label.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     bins = bins.withColumn("_upto", F.sum("_n").over(running)).withColumn(
         "_cut", F.round(F.sum("_n").over(by_label) * F.lit(fraction), 0).cast("long"))
     cuts = bins.where((F.col("_upto") >= F.col("_cut")) & (F.col("_upto") - F.col("_n") < F.col("_cut"))).select(
-        F.col(label).alias("_label"), F.col("_bin").alias("_cut_bin"),
+        F.col("_label").alias("_l"), F.col("_bin").alias("_b"),
         (F.col("_cut") - F.col("_upto") + F.col("_n")).alias("_take"))
-    tagged = rows.join(cuts, F.col(label).eqNullSafe(F.col("_label")), "left")
-    edge = F.col("_bin") == F.col("_cut_bin")
-    inside = tagged.where(edge)
-    inside = inside.withColumn("_r", F.row_number().over(Window.partitionBy(label, "_bin").orderBy("_h", key)))
-    outside = tagged.where(~F.coalesce(edge, F.lit(False))).withColumn("_r", F.lit(0))
-    test = F.coalesce(F.when(edge, F.col("_r") <= F.col("_take")).otherwise(F.col("_bin") < F.col("_cut_bin")),
-                      F.lit(False))
-    return inside.unionByName(outside).withColumn("is_test", test).drop(
-        "_h", "_bin", "_label", "_cut_bin", "_take", "_r")
+    edge = slim.join(broadcast_if_small(cuts), F.col("_label").eqNullSafe(F.col("_l")) & (F.col("_bin") == F.col("_b")))
+    rank = F.row_number().over(Window.partitionBy("_label", "_bin").orderBy("_h", "_key"))
+    last = edge.withColumn("_r", rank).where(F.col("_r") == F.col("_take")).select(
+        "_l", F.struct("_h", "_key").alias("_last"))
+    marked = df.join(broadcast_if_small(last), F.col(label).eqNullSafe(F.col("_l")), "left")
+    test = F.struct(hashed.alias("_h"), F.col(key).alias("_key")) <= F.col("_last")
+    return marked.withColumn("is_test", F.coalesce(test, F.lit(False))).drop("_l", "_last")
 
 
 def drop_noise(df: DataFrame, key: str, features: str, seed: int = fv.SPLIT_SEED, keep_up_to: int = 2) -> DataFrame:
@@ -84,7 +85,7 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     everything = Window.partitionBy()
     counts = counts.withColumn(out, F.sum("_c").over(everything) / (F.count(F.lit(1)).over(everything) * F.col("_c")))
-    return df.join(counts.drop("_c"), label)
+    return df.join(broadcast_if_small(counts.drop("_c")), label)
 
 
 def fit_forest(train: DataFrame, label: str = "label_index", features: str = "vector", trees: int = 150,

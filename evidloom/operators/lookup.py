@@ -117,7 +117,7 @@ def recommend(triaged: DataFrame, kb: DataFrame, topic_keys: DataFrame,
     match = fuzzy_best_match(rows.select(F.col("label").alias("a")), topic_keys, cutoff, scorer)
     match = match.select(F.col("a").alias("label"), F.coalesce("key", F.lit("")).alias("topic"))
     given = ["gender", "severity"]
-    rows = rows.join(match, "label").withColumnsRenamed({c: f"given_{c}" for c in given})
+    rows = rows.join(broadcast_if_small(match), "label").withColumnsRenamed({c: f"given_{c}" for c in given})
     rows = rows.withColumns({
         "age_group": sc.age_band(F.col("age_category"), "kb"),
         "gender": sc.gender_or_male(F.col("given_gender")),

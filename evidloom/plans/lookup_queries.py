@@ -63,12 +63,12 @@ def relaxed_lookup(spark, folder):
 
 
 def register_new(spark, folder):
-    """Customers of odd nations against the names of the others; the market segment makes names repeat."""
-    rows = fx.table(spark, folder, "customer")
-    name = F.concat("c_mktsegment", F.lit("-"), F.floor(F.col("c_acctbal") / 100))
-    rows = rows.select("c_custkey", "c_nationkey", name.alias("name"))
-    new = rows.where(F.col("c_nationkey") % 2 == 1)
-    known = rows.where(F.col("c_nationkey") % 2 == 0)
+    """Customers against suppliers, named after their balance, so that names repeat on both sides."""
+    def named(rows, balance):
+        return rows.withColumn("name", F.concat(F.lit("acct-"), F.floor(F.col(balance) / 10)))
+
+    new = named(fx.table(spark, folder, "customer"), "c_acctbal").select("c_custkey", "name")
+    known = named(fx.table(spark, folder, "supplier"), "s_acctbal")
     return lk.register_new(new, known, "name", "c_custkey").select("c_custkey", "name")
 
 
@@ -219,7 +219,7 @@ ORACLE = {
         f"array_to_string(t[1:5], ', ') END AS remedy, {_dose('dosage', 'band')} AS remedy_dosage, {_PREGNANCY} AS "
         "pregnancy_status FROM named"),
     "register_new": (
-        "WITH named AS (SELECT c_custkey, c_nationkey, c_mktsegment || '-' || floor(c_acctbal / 100)::BIGINT AS name FROM "
-        "customer) SELECT c_custkey, name FROM named WHERE c_nationkey % 2 = 1 AND name NOT IN (SELECT name FROM named "
-        "WHERE c_nationkey % 2 = 0) QUALIFY row_number() OVER (PARTITION BY name ORDER BY c_custkey) = 1"),
+        "WITH named AS (SELECT c_custkey, 'acct-' || floor(c_acctbal / 10)::BIGINT AS name FROM customer) SELECT c_custkey, "
+        "name FROM named WHERE name NOT IN (SELECT 'acct-' || floor(s_acctbal / 10)::BIGINT FROM supplier) QUALIFY "
+        "row_number() OVER (PARTITION BY name ORDER BY c_custkey) = 1"),
 }

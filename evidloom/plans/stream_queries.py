@@ -13,7 +13,8 @@ from evidloom.streaming import feeds
 
 def _turns(spark, folder):
     schema = table(spark, folder, "conversations").schema
-    return spark.readStream.schema(schema).parquet(f"{folder}/conversations.parquet")
+    # A glob, since a stream takes a single file only through one.
+    return spark.readStream.schema(schema).parquet(f"{folder}/conversations.parque[t]")
 
 
 def triage_stream(spark, folder):

@@ -21,7 +21,9 @@ def start_triage_stream(source: DataFrame, log_rows: Callable[[DataFrame], DataF
     Each batch overwrites its own ``batch=<id>`` folder, so a batch that is repeated after a failure leaves no copies.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
         log_rows(batch).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        batch.unpersist()
 
     writer = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
