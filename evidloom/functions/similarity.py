@@ -68,15 +68,30 @@ def could_reach(a: Column, b: Column, cutoff: int) -> Column:
 
 # --- weighted ratio -------------------------------------------------------------------------------------------------
 
+_KNOWN_MASKS: dict[str, dict[str, int]] = {}
+_KNOWN_LIMIT = 65536
+
+
+def _masks(s: str) -> dict[str, int]:
+    """Positions of every character as bits, remembered within a worker."""
+    masks = _KNOWN_MASKS.get(s)
+    if masks is None:
+        masks = {}
+        for i, c in enumerate(s):
+            masks[c] = masks.get(c, 0) | (1 << i)
+        if len(_KNOWN_MASKS) >= _KNOWN_LIMIT:
+            _KNOWN_MASKS.clear()
+        _KNOWN_MASKS[s] = masks
+    return masks
+
+
 def _lcs(a: str, b: str) -> int:
-    full = (1 << len(b)) - 1
-    masks: dict[str, int] = {}
-    for i, c in enumerate(b):
-        masks[c] = masks.get(c, 0) | (1 << i)
+    full, masks = (1 << len(b)) - 1, _masks(b)
     v = full
     for c in a:
         u = v & masks.get(c, 0)
-        v = ((v + u) | (v - u)) & full
+        if u:
+            v = ((v + u) | (v - u)) & full
     return len(b) - v.bit_count()
 
 
@@ -88,53 +103,55 @@ def _plain(a: str, b: str) -> float:
 def _partial(a: str, b: str) -> float:
     """Best ratio of the shorter string with any window of the longer one that is at most as long."""
     short, long = sorted((a, b), key=len)
-    if not short:
-        return 0.0
     n = len(short)
-    return max(_plain(short, long[max(0, i): i + n]) for i in range(1 - n, len(long)))
+    if not n or not _lcs(long, short):
+        return 0.0
+    return max(_plain(long[max(0, i): i + n], short) for i in range(1 - n, len(long)))
 
 
-def _token_sets(a: str, b: str) -> tuple[str, str, str]:
-    x, y = set(a.split()), set(b.split())
-    both = " ".join(sorted(x & y))
-    return both, " ".join(sorted(x - y)), " ".join(sorted(y - x))
+def _forms(s: str) -> tuple[str, str, frozenset]:
+    """Processed text, its tokens in sorted order, and the set of its tokens."""
+    text = "".join(c if c.isalnum() else " " for c in s.lower()).strip()
+    tokens = text.split()
+    return text, " ".join(sorted(tokens)), frozenset(tokens)
 
 
-def _token_set(a: str, b: str) -> float:
-    both, only_a, only_b = _token_sets(a, b)
-    if both and (not only_a or not only_b):
+def _token_set(x: frozenset, y: frozenset) -> float:
+    both = " ".join(sorted(x & y))
+    only_x, only_y = " ".join(sorted(x - y)), " ".join(sorted(y - x))
+    if both and (not only_x or not only_y):
         return 100.0
-    with_a, with_b = f"{both} {only_a}".strip(), f"{both} {only_b}".strip()
-    best = _plain(with_a, with_b)
-    return max(best, _plain(both, with_a), _plain(both, with_b)) if both else best
-
-
-def _partial_token_set(a: str, b: str) -> float:
-    both, only_a, only_b = _token_sets(a, b)
-    return 100.0 if both else _partial(only_a, only_b)
-
+    with_x, with_y = f"{both} {only_x}".strip(), f"{both} {only_y}".strip()
+    best = _plain(with_x, with_y)
+    return max(best, _plain(both, with_x), _plain(both, with_y)) if both else best
 
-def _sorted_tokens(a: str) -> str:
-    return " ".join(sorted(a.split()))
 
-
-def _processed(s: str) -> str:
-    return "".join(c if c.isalnum() else " " for c in s.lower()).strip()
+def _partial_token_set(x: frozenset, y: frozenset) -> float:
+    return 100.0 if x & y else _partial(" ".join(sorted(x)), " ".join(sorted(y)))
 
 
 def weighted_ratio_value(a: str | None, b: str | None) -> int:
     """Weighted ratio of one pair, 0 when either side is empty after processing."""
-    a, b = _processed(a or ""), _processed(b or "")
-    if not a or not b:
+    return _weighted(_forms(a or ""), _forms(b or ""))
+
+
+def _weighted(a: tuple[str, str, frozenset], b: tuple[str, str, frozenset]) -> int:
+    text_a, sorted_a, set_a = a
+    text_b, sorted_b, set_b = b
+    if not text_a or not text_b:
         return 0
-    spread = max(len(a), len(b)) / min(len(a), len(b))
-    best = _plain(a, b)
-    sa, sb = _sorted_tokens(a), _sorted_tokens(b)
+    spread = max(len(text_a), len(text_b)) / min(len(text_a), len(text_b))
+    best = _plain(text_a, text_b)
+    single = len(set_a) == len(set_b) == 1 and sorted_a == text_a and sorted_b == text_b
     if spread < 1.5:
-        return round(max(best, 0.95 * _plain(sa, sb), 0.95 * _token_set(a, b)))
+        if single:  # One token on each side: the token variants equal the plain ratio.
+            return round(best)
+        return round(max(best, 0.95 * _plain(sorted_a, sorted_b), 0.95 * _token_set(set_a, set_b)))
     scale = 0.9 if spread <= 8 else 0.6
-    partial_tokens = max(_partial(sa, sb), _partial_token_set(a, b))
-    return round(max(best, scale * _partial(a, b), scale * 0.95 * partial_tokens))
+    best = max(best, scale * _partial(text_a, text_b))
+    if single:
+        return round(best)
+    return round(max(best, scale * 0.95 * max(_partial(sorted_a, sorted_b), _partial_token_set(set_a, set_b))))
 
 
 @F.pandas_udf(IntegerType())
@@ -143,4 +160,5 @@ def weighted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
     An approximation of the usual weighted scorer: the partial variants slide one window of the shorter length.
     """
-    return pd.Series([weighted_ratio_value(x, y) for x, y in zip(a, b)], dtype="int32")
+    forms = {s: _forms(s or "") for s in {*a, *b}}
+    return pd.Series([_weighted(forms[x], forms[y]) for x, y in zip(a, b)], dtype="int32")

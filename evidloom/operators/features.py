@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidloom import fixed_values as fv
-from evidloom.bounds import HIT_ROWS, LITERAL_ROWS, broadcast_if_small, local_table, small_rows, string_array
+from evidloom.bounds import HIT_ROWS, LITERAL_ROWS, broadcast_if_small, local_table, small_rows, sql_array, sql_text, string_array
 from evidloom.functions import text as tx
 from evidloom.functions.lexicon import severity_by_last_cue
 from evidloom.operators.common import compute_once, first_by
@@ -93,9 +93,10 @@ def lexicon_features(df: DataFrame, keys: list[str], text: str, lexicon: DataFra
     """Add the features of every entry that is a substring of ``text``, sorted and distinct."""
     rows = small_rows(lexicon, literal_rows)
     if rows is not None:
-        hits = [F.when(F.contains(F.col(text), F.lit(r.entry)), string_array(list(r.features))) for r in rows]
-        found = F.flatten(F.array_compact(F.array(*hits))) if hits else string_array([])
-        return df.withColumn(out, F.array_sort(F.array_distinct(found)))
+        none = sql_array([])
+        hits = [f"if(contains({text}, {sql_text(r.entry)}), {sql_array(list(r.features))}, {none})" for r in rows]
+        found = f"concat({', '.join(hits)})" if hits else none
+        return df.withColumn(out, F.expr(f"array_sort(array_distinct({found}))"))
     entries = lexicon.select(F.monotonically_increasing_id().alias("entry_ord"), "entry", "features")
     hits = match_terms(df.select(*keys, text), keys, text, entries, "entry", "entry_ord", "substring", "found", 0)
     found = hits.select(*keys, F.explode("found").alias("entry")).join(
@@ -119,10 +120,10 @@ def cooc_features(df: DataFrame, keys: list[str], lex: IntakeLexicon) -> DataFra
     rows = small_rows(lex.pairs, lex.literal_rows)
     out = "cooc_features"
     if rows is not None:
-        hay = F.col("haystack")
-        hits = [F.when(F.contains(hay, F.lit(r.w1)) & F.contains(hay, F.lit(r.w2)), F.lit(r.feature)) for r in rows]
-        found = F.array_compact(F.array(*hits)) if hits else string_array([])
-        return df.withColumn(out, F.array_sort(F.array_distinct(found)))
+        hits = [f"if(contains(haystack, {sql_text(r.w1)}) AND contains(haystack, {sql_text(r.w2)}), "
+                f"{sql_text(r.feature)}, null)" for r in rows]
+        found = f"array_compact(array({', '.join(hits)}))" if hits else sql_array([])
+        return df.withColumn(out, F.expr(f"array_sort(array_distinct({found}))"))
     words = lex.pairs.select(F.col("w1").alias("w")).union(lex.pairs.select("w2")).distinct()
     words = words.withColumn("w_ord", F.monotonically_increasing_id())
     hits = match_terms(df.select(*keys, "haystack"), keys, "haystack", words, "w", "w_ord", "substring", "found", 0)
@@ -145,9 +146,9 @@ def word_hits(df: DataFrame, keys: list[str], hits: DataFrame, out: str, hit_row
     by_value: dict[str, list[str]] = {}
     for r in rows:
         by_value.setdefault(r.value, []).append(r.word)
-    cases = [F.when(F.arrays_overlap("words", string_array(sorted(ws))), F.lit(v)) for v, ws in by_value.items()]
-    found = F.array_compact(F.array(*cases)) if cases else string_array([])
-    return df.withColumn(out, F.array_sort(found))
+    cases = [f"if(arrays_overlap(words, {sql_array(sorted(ws))}), {sql_text(v)}, null)" for v, ws in by_value.items()]
+    found = f"array_compact(array({', '.join(cases)}))" if cases else sql_array([])
+    return df.withColumn(out, F.expr(f"array_sort({found})"))
 
 
 def distinct_words(df: DataFrame, min_chars: int) -> DataFrame:
@@ -159,9 +160,14 @@ def distinct_words(df: DataFrame, min_chars: int) -> DataFrame:
 
 def condition_hits(words: DataFrame, lex: IntakeLexicon) -> DataFrame:
     """``(word, value)``: features of the conditions to which a word is similar."""
-    fuzzy = lex.conditions.where(F.length("entry") >= fv.FUZZY_WORD_MIN_CHARS)
-    fuzzy = fuzzy.select(F.col("entry").alias("b"), "features")
-    pairs = similar_pairs(words, fuzzy.select("b"), lex.fuzzy_cutoff, literal_rows=lex.literal_rows)
+    rows = small_rows(lex.conditions, lex.literal_rows)
+    if rows is not None:
+        named = [(r.entry, r.features) for r in rows if len(r.entry) >= fv.FUZZY_WORD_MIN_CHARS]
+        fuzzy = local_table(words.sparkSession, named, "b string, features array<string>")
+    else:
+        fuzzy = lex.conditions.where(F.length("entry") >= fv.FUZZY_WORD_MIN_CHARS).select(
+            F.col("entry").alias("b"), "features")
+    pairs = similar_pairs(words, fuzzy, lex.fuzzy_cutoff, literal_rows=lex.literal_rows)
     return pairs.join(fuzzy, "b").select(F.col("a").alias("word"), F.explode("features").alias("value")).distinct()
 
 
@@ -206,9 +212,14 @@ def vocab_features(df: DataFrame, keys: list[str], lex: IntakeLexicon) -> DataFr
 
 def typo_hits(words: DataFrame, lex: IntakeLexicon) -> DataFrame:
     """``(word, value)``: the most similar vocabulary name at or above the cutoff, else the most similar spaced one."""
-    names = lex.vocab.select("ord", "feature", F.posexplode(F.array(
-        "feature", F.replace("feature", F.lit("_"), F.lit(" ")))).alias("spaced", "b"))
-    pairs = similar_pairs(words, names.select("b").distinct(), lex.typo_cutoff, lex.typo_scorer, lex.literal_rows)
+    rows = small_rows(lex.vocab, lex.literal_rows)
+    if rows is not None:
+        both = [(r.ord, r.feature, i, b) for r in rows for i, b in enumerate((r.feature, r.feature.replace("_", " ")))]
+        names = local_table(words.sparkSession, both, "ord int, feature string, spaced int, b string")
+    else:
+        names = lex.vocab.select("ord", "feature", F.posexplode(F.array(
+            "feature", F.replace("feature", F.lit("_"), F.lit(" ")))).alias("spaced", "b"))
+    pairs = similar_pairs(words, names, lex.typo_cutoff, lex.typo_scorer, 2 * lex.literal_rows)
     best = first_by(pairs.join(names, "b"), ["a"], [F.asc("spaced"), F.desc("score"), F.asc("ord")])
     return best.select(F.col("a").alias("word"), F.col("feature").alias("value"))
 
@@ -233,13 +244,20 @@ def keep_vocabulary(df: DataFrame, keys: list[str], column: str, lex: IntakeLexi
 def extract_features(messages: DataFrame, keys: list[str], lex: IntakeLexicon, text: str = "text") -> DataFrame:
     """Add the sorted ``features`` of every message and its ``detected_severity``."""
     rows = prepare_messages(messages, keys, lex, text)
-    near, typos = scored_words(messages.select(tx.clean_words(F.col(text)).alias("words")), lex)
+    words = messages.select(tx.clean_words(F.col(text)).alias("words"))
+    if lex.typo_scorer == "indel":
+        near, typos = scored_words(words, lex)
+    else:
+        near, typos = condition_hits(distinct_words(words, fv.FUZZY_WORD_MIN_CHARS), lex), None
     for step in (phrase_features, keyword_features, cooc_features, vocab_features):
         rows = step(rows, keys, lex)
     rows = condition_features(rows, keys, lex, near)
     parts = ["phrase_features", "keyword_features", "cooc_features", "condition_features", "vocab_features"]
     rows = compute_once(rows.drop("haystack", "lemma_seq", "lemma_text"),
                         _found=F.array_sort(F.array_distinct(F.concat(*parts)))).drop(*parts)
+    if typos is None:  # A costly scorer sees only the words of the rows that need it.
+        empty = rows.where(F.size("_found") == 0)
+        typos = typo_hits(distinct_words(empty, fv.TYPO_WORD_MIN_CHARS), lex)
     rows = typo_features(rows, keys, lex, "_found", typos)
     rows = rows.withColumn("features", F.array_sort(F.array_union("_found", "typo_features")))
     rows = keep_vocabulary(rows, keys, "features", lex)

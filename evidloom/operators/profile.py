@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidloom import fixed_values as fv
-from evidloom.bounds import string_array
+from evidloom.bounds import sql_text, string_array
 from evidloom.functions.scalars import contraindications, formulation, kb_dosage
 from evidloom.operators.common import top_k
 
@@ -112,11 +112,11 @@ class PatientDims:
 
     def array(self) -> Column:
         """Literal array of combination structs, to be exploded next to a row (no join)."""
-        return F.array(*[
-            F.struct(F.lit(i).alias("combo_ord"), F.lit(a).alias("age_group"), F.lit(g).alias("gender"),
-                     F.lit(s).alias("severity"))
+        combos = [
+            f"named_struct('combo_ord', {i}, 'age_group', {sql_text(a)}, 'gender', {sql_text(g)}, 'severity', {sql_text(s)})"
             for i, (a, g, s) in enumerate(self.combos())
-        ])
+        ]
+        return F.expr(f"array({', '.join(combos)})")
 
 
 def expand_kb(profile: DataFrame, dims: PatientDims | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, cutoff: int, scorer: str =
     if rows is None:
         pairs = _piece_pairs(left, right, cutoff) if scorer == "indel" else _letter_pairs(left, right)
     else:
-        names = string_array([r.b for r in rows])
+        names = string_array(list(dict.fromkeys(r.b for r in rows)))
         if scorer == "indel":
             names = F.filter(names, lambda b: sim.could_reach(F.col("a"), b, cutoff))
         pairs = left.select("a", F.explode(names).alias("b"))
@@ -48,7 +48,7 @@ def _piece_pairs(left: DataFrame, right: DataFrame, cutoff: int) -> DataFrame:
     cuts = F.transform(F.sequence(F.lit(0), count), lambda i: F.floor(i * size / count).cast("int"))
     pieces = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(
         F.col("b"), F.get(cuts, i) + 1, F.get(cuts, i + 1) - F.get(cuts, i)))
-    index = right.where(size > 0).select("b", F.explode(F.array_distinct(pieces)).alias("_piece"))
+    index = right.select("b").distinct().where(size > 0).select("b", F.explode(F.array_distinct(pieces)).alias("_piece"))
     largest = index.agg(F.max(F.length("_piece"))).first()[0] or 1
     sizes = F.sequence(F.lit(1), F.lit(largest))
     at = left.where(F.length("a") > 0).select("a", F.explode(_substrings(F.col("a"), sizes)).alias("_piece"))

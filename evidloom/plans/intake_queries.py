@@ -42,18 +42,15 @@ def _step(name):
 
 
 def typo_fallback(spark, folder):
-    """Features found through misspelt words only, with the native scorer."""
-    return _typos(spark, folder, "indel")
+    """Vocabulary name of every misspelt word, with the native scorer."""
+    words = fx.user_messages(spark, folder).select(tx.clean_words(F.col("text")).alias("words"))
+    return ft.typo_hits(ft.distinct_words(words, fv.TYPO_WORD_MIN_CHARS), fx.intake_lexicon(spark))
 
 
 def typo_fallback_weighted(spark, folder):
-    return _typos(spark, folder, "weighted")
-
-
-def _typos(spark, folder, scorer):
-    lex = fx.intake_lexicon(spark, scorer)
-    words = fx.user_messages(spark, folder).select(tx.clean_words(F.col("text")).alias("words"))
-    return ft.typo_hits(ft.distinct_words(words, fv.TYPO_WORD_MIN_CHARS), lex)
+    """Features of all messages when misspelt words are scored by the weighted ratio."""
+    rows = ft.extract_features(fx.user_messages(spark, folder), KEYS, fx.intake_lexicon(spark, "weighted"))
+    return rows.select(*KEYS, F.array_join("features", ",").alias("features"))
 
 
 def _features(spark, folder):
