@@ -44,29 +44,33 @@ def kb_lookup_fallback(requests: DataFrame, kb: DataFrame,
                        defaults: list[tuple[str, str]] = fv.DEFAULT_REMEDIES) -> DataFrame:
     """Rows of the exact bucket, else of the topic's first non-empty bucket, else the default names and dosages.
 
-    ``requests`` has the bucket columns (not NULL), ``kb`` also ``combo_ord``, ``medicine_name``, ``dosage`` and
-    ``remedy_ord`` (NULL in an empty bucket). Adds ``match_level``. Buckets are resolved once per distinct request bucket.
+    ``requests`` has the bucket columns, ``kb`` also ``combo_ord``, ``medicine_name``, ``dosage`` and ``remedy_ord``
+    (NULL in an empty bucket). Adds ``match_level``. The filled buckets of a topic (at most one per patient combination)
+    are one array, by which a request picks its bucket in place; one join then fetches the remedies.
     """
     filled = kb.where(F.col("remedy_ord").isNotNull())
-    wanted = requests.select(*BUCKET).distinct()
-    exact = filled.select(*BUCKET).distinct().withColumn("_exact", F.lit(True))
-    first = filled.groupBy("topic").agg(F.min(F.struct("combo_ord", "age_group", "gender", "severity")).alias("_f"))
-    plan = wanted.join(exact, BUCKET, "left").join(first, "topic", "left")
-    level = F.when(F.col("_exact"), "exact").when(F.col("_f").isNotNull(), "first").otherwise("default")
-    plan = plan.select(
-        *BUCKET, level.alias("match_level"),
-        *[F.when(F.col("_exact"), F.col(c)).otherwise(F.col(f"_f.{c}")).alias(f"_{c}") for c in BUCKET[1:]])
-    remedies = [c for c in kb.columns if c not in BUCKET + ["combo_ord"]]
-    source = filled.select(F.col("topic"), *[F.col(c).alias(f"_{c}") for c in BUCKET[1:]], *remedies)
-    found = plan.where(F.col("match_level") != "default").join(
-        source, ["topic", "_age_group", "_gender", "_severity"]).select(*BUCKET, "match_level", *remedies)
+    index = filled.groupBy("topic").agg(
+        F.collect_set(F.struct("combo_ord", "age_group", "gender", "severity")).alias("_filled"))
+    rows = requests.join(broadcast_if_small(index), "topic", "left")
+    own = F.exists("_filled", lambda b: (b["age_group"] == F.col("age_group")) & (b["gender"] == F.col("gender"))
+                   & (b["severity"] == F.col("severity")))
+    level = F.when(own, "exact").when(F.col("_filled").isNotNull(), "first").otherwise("default")
+    first = F.array_min("_filled")
+    rows = rows.select(
+        *requests.columns, level.alias("match_level"),
+        *[F.when(own, F.col(c)).otherwise(first[c]).alias(f"_{c}") for c in BUCKET[1:]])
+    named = ["remedy_ord", "medicine_name", "dosage"]
+    others = [c for c in kb.columns if c not in BUCKET + ["combo_ord"] + named]
+    source = filled.select(
+        "topic", *[F.col(c).alias(f"_{c}") for c in BUCKET[1:]],
+        F.struct(F.col("remedy_ord").cast("long").alias("remedy_ord"), "medicine_name", "dosage").alias("_found"), *others)
     literal = F.array(*[
         F.struct(F.lit(i).cast("long").alias("remedy_ord"), F.lit(n).alias("medicine_name"), F.lit(d).alias("dosage"))
         for i, (n, d) in enumerate(defaults)])
-    fallback = plan.where(F.col("match_level") == "default").select(
-        *BUCKET, "match_level", F.explode(literal).alias("_r")).select(*BUCKET, "match_level", "_r.*")
-    resolved = found.unionByName(fallback, allowMissingColumns=True)
-    return requests.join(resolved, BUCKET, "left")
+    joined = rows.join(source, ["topic", *[f"_{c}" for c in BUCKET[1:]]], "left")
+    picked = F.when(F.col("match_level") == "default", literal).otherwise(F.array("_found"))
+    return joined.withColumn("_r", F.explode(picked)).select(
+        *requests.columns, "match_level", *[F.col(f"_r.{c}").alias(c) for c in named], *others)
 
 
 def relaxed_lookup(requests: DataFrame, kb: DataFrame, k: int = 3, wildcard: str = "all") -> DataFrame:

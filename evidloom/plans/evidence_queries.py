@@ -193,8 +193,8 @@ def remedy_rules(spark, folder):
 
 
 def remedy_name(spark, folder):
-    rows = fx.document_profile(spark, folder).select("topic", "medicine_name", "top_terms").unionByName(
-        fx.document_profile(spark, folder).select("topic", F.col("source").alias("medicine_name"), "top_terms"))
+    rows = fx.document_profile(spark, folder).select(
+        "topic", "top_terms", F.explode(F.array("medicine_name", "source")).alias("medicine_name"))
     return rows.select("topic", "medicine_name", sc.remedy_name(F.col("medicine_name"), F.col("top_terms"))
                        .alias("remedy"))
 
