@@ -54,8 +54,8 @@ def severity_or_medium(severity: Column) -> Column:
     return F.when(F.lower(severity).isin(*fv.SEVERITIES), F.lower(severity)).otherwise("medium")
 
 
-def remedy_name(name: Column, terms: Column, generic_mark: str = "Protocol",
-                generic_name: str = "Ayurvedic Herb") -> Column:
+def remedy_name(name: Column, terms: Column, generic_mark: str = fv.GENERIC_NAME_MARK,
+                generic_name: str = fv.GENERIC_NAME) -> Column:
     """Remedy name with its cleaned terms: a generic name is replaced by them, another name is followed by three."""
     kept = F.filter(
         F.coalesce(terms, string_array([])),

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidloom import fixed_values as fv
-from evidloom.bounds import string_array
+from evidloom.bounds import broadcast_if_small, string_array
 from evidloom.functions.text import strip_marker
 from evidloom.functions.vectors import mask_renorm, suggest
 from evidloom.operators.features import IntakeLexicon, extract_features
@@ -117,7 +117,10 @@ def dialogue_accumulate(turns: DataFrame, key: str, order: str, text: str = "tex
     within = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_text", F.array_join(F.collect_list(text).over(within), separator))
     long = turns.where(F.col(order) >= block).select(key).distinct()
-    blocks = turns.withColumn("_block", F.floor(F.col(order) / block)).join(long, key, "left_semi")
+    if long.isEmpty():  # The usual case; the filter on the turn number reaches the scan.
+        return rows.withColumnRenamed("_text", "dialogue").drop("_block")
+    blocks = turns.withColumn("_block", F.floor(F.col(order) / block))
+    blocks = blocks.join(broadcast_if_small(long), key, "left_semi")
     blocks = blocks.groupBy(key, "_block").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct(order, text))), lambda s: s[text]), separator).alias("_joined"))
     before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
