@@ -30,6 +30,16 @@ def whole_word(term: str) -> str:
     return f"{left}{WORD}){quote(term)}{right}{WORD})"
 
 
+def any_whole_word(terms: list[str]) -> str:
+    """Regex for any of the terms; terms with the same kinds of edge share their boundary tests."""
+    groups: dict[tuple[bool, bool], list[str]] = {}
+    for t in terms:
+        groups.setdefault((_is_word(t[0]), _is_word(t[-1])), []).append(quote(t))
+    return "|".join(
+        f"(?<{'!' if left else '='}{WORD})(?:{'|'.join(quoted)})(?{'!' if right else '='}{WORD})"
+        for (left, right), quoted in groups.items())
+
+
 def normalize_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE + "+", " "))
 
