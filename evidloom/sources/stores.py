@@ -39,7 +39,7 @@ def read_evidence(spark: SparkSession, path: str, multi_line: bool = True) -> Da
 
 def read_remedies(spark: SparkSession, path: str) -> DataFrame:
     """Remedy rules from a JSON map of topics to lists, one row per remedy in file order."""
-    rows = spark.read.schema(f"value string").text(path, wholetext=True)
+    rows = spark.read.schema("value string").text(path, wholetext=True)
     parsed = rows.select(F.from_json("value", f"map<string, array<struct<{_struct_fields()}>>>").alias("m"))
     lists = parsed.select(F.posexplode("m").alias("topic_ord", "topic", "remedies"))
     return lists.select("topic_ord", F.trim("topic").alias("topic"),
