@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
@@ -46,66 +46,75 @@ def feistel(number: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
     return value.astype(np.int64)
 
 
-def _pack(ids: np.ndarray) -> bytes:
-    """High bytes, then low bytes, compressed: smaller than ids in their order."""
-    return pa.Codec("zstd", compression_level=1).compress(ids.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes(), asbytes=True)
-
-
 def _unpack(data: bytes, n: int) -> np.ndarray:
     planes = np.frombuffer(pa.Codec("zstd").decompress(data, 2 * n), np.uint8).reshape(2, n)
     return np.ascontiguousarray(planes.T).view("<u2").ravel()
 
 
-def sequences(df: DataFrame, key: str, text: str, stride: int = STRIDE, path: str | None = None) -> DataFrame:
-    """(key, piece, part, local, n_tokens, packed): ids of every whole text and an end id, cut into sequences.
+def _filled(ids: np.ndarray, offsets: np.ndarray, stride: int):
+    """Sequences of a slice as rows of ids, with the text, the place in it and the ids of the text in each."""
+    size = np.diff(offsets) + 1
+    count = -(-size // stride)
+    first = np.cumsum(count) - count
+    rows = np.full((int(count.sum()), stride), END_ID, "<u2")
+    place = np.repeat(first * stride - offsets[:-1], size - 1) + np.arange(len(ids))
+    rows.ravel()[place] = ids
+    text = np.repeat(np.arange(len(size)), count)
+    piece = np.arange(len(rows)) - first[text]
+    return rows, text, piece, np.minimum(stride, size[text] - piece * stride)
+
 
-    The last sequence of a text is filled with end ids. A null or empty text is one sequence of end ids.
+def _encoded(batches, path: str, stride: int):
+    import pyarrow.compute  # noqa: F401
+    for batch in batches:
+        for some in slices(batch, "text"):
+            yield some.column(0), *encoder(path).encode(some.column(1))
+
+
+def sequence_counts(rows: DataFrame, stride: int, path: str) -> DataFrame:
+    """(part, n): sequences of each task of the scan."""
+    def run(batches):
+        n = sum(int((-(-(np.diff(offsets) + 1) // stride)).sum()) for _, _, offsets in _encoded(batches, path, stride))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n])], ["part", "n"])
+
+    return rows.mapInArrow(run, "part int, n long")
+
+
+def in_training_order(df: DataFrame, key: str, text: str, stride: int = STRIDE, path: str | None = None,
+                      permutation: int = KEY) -> tuple[DataFrame, int]:
+    """(key, piece, slot, n_tokens, packed) of every whole text's ids and an end id, cut into sequences; and their number.
+
+    The last sequence of a text is filled with end ids. A null or empty text is one sequence of end ids. Texts are encoded
+    twice, first to count the sequences of each task, so that no copy of all ids is kept besides the shuffle; the number
+    of each task's sequences reaches the driver. A task that finds other counts than the first time fails.
     """
     path = path or default_tokenizer()
     rows = key_and_text(df, key, text)
+    counts = {r.part: r.n for r in sequence_counts(rows, stride, path).collect()}
+    before, total = {}, 0
+    for part in sorted(counts):
+        before[part] = total
+        total += counts[part]
+    sent = df.sparkSession.sparkContext.broadcast((before, counts))
     schema = StructType([StructField("key", rows.schema["key"].dataType), StructField("piece", IntegerType()),
-                         StructField("part", IntegerType()), StructField("local", LongType()),
-                         StructField("n_tokens", IntegerType()), StructField("packed", BinaryType())])
+                         StructField("slot", LongType()), StructField("n_tokens", IntegerType()),
+                         StructField("packed", BinaryType())])
 
     def run(batches):
-        import pyarrow.compute  # noqa: F401
-        part, local = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for some in slices(batch, "text"):
-                ids, offsets = encoder(path).encode(some.column(1))
-                row, piece, size, packed = [], [], [], []
-                for i, (low, high) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                    n = high - low + 1
-                    filled = np.full(-(-n // stride) * stride, END_ID, np.uint16)
-                    filled[:n - 1] = ids[low:high]
-                    for k in range(0, len(filled), stride):
-                        row.append(i)
-                        piece.append(k // stride)
-                        size.append(min(stride, n - k))
-                        packed.append(_pack(filled[k:k + stride]))
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
-                     pa.array([part] * len(row), pa.int32()), pa.array(np.arange(local, local + len(row))),
-                     pa.array(size, pa.int32()), pa.array(packed, pa.binary())], schema.fieldNames())
-                local += len(row)
-
-    return rows.mapInArrow(run, schema)
-
-
-def in_training_order(cut: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
-    """The stored sequences with their slot, and how many there are."""
-    parts = cut.groupBy("part").agg(F.count("*").alias("n"))
-    # one row for each task of the scan, so the running sum is small
-    before = parts.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")
-    total = cut.count()
-
-    @F.pandas_udf("long")
-    def slot(number):
-        import pandas as pd
-        return pd.Series(feistel(number.to_numpy(), total, key))
-
-    numbered = cut.join(F.broadcast(before), "part").withColumn("slot", slot(F.col("before") + F.col("local")))
-    return numbered.drop("part", "before", "local"), total
+        part, local, codec = TaskContext.get().partitionId(), 0, pa.Codec("zstd", compression_level=1)
+        for keys, ids, offsets in _encoded(batches, path, stride):
+            filled, text, piece, size = _filled(ids, offsets, stride)
+            # high bytes, then low bytes: smaller when compressed than ids in their order
+            planes = np.ascontiguousarray(filled.view(np.uint8).reshape(-1, stride, 2).transpose(0, 2, 1)).reshape(len(filled), -1)
+            slot = feistel(sent.value[0][part] + local + np.arange(len(filled)), total, permutation)
+            local += len(filled)
+            yield pa.RecordBatch.from_arrays(
+                [keys.take(pa.array(text)), pa.array(piece.astype(np.int32)), pa.array(slot), pa.array(size.astype(np.int32)),
+                 pa.array([codec.compress(p, asbytes=True) for p in planes], pa.binary())], schema.fieldNames())
+        if local != sent.value[1].get(part, 0):
+            raise RuntimeError("the input gave other rows to this task when its sequences were counted")
+
+    return rows.mapInArrow(run, schema), total
 
 
 def write_shards(ordered: DataFrame, total: int, folder: str, stride: int = STRIDE, shard: int = SHARD) -> DataFrame:
@@ -171,7 +180,7 @@ def materialise(df: DataFrame, key: str, text: str, folder: str | None = None, s
     table writes no shard and gives no row; further columns are not read.
     """
     folder = folder or shared_folder(df.sparkSession, "shards")
-    ordered, total = in_training_order(stored(sequences(df, key, text, stride), "sequences"))
+    ordered, total = in_training_order(df, key, text, stride)
     return stored(write_shards(ordered, total, folder, stride), "shard-rows").withColumnRenamed("key", key)
 
 
