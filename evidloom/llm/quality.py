@@ -20,6 +20,8 @@ WORD_SEPARATOR = separators((0x00, 0x20))
 #: labelled documents of each class that the classifier is fitted on at most, and bytes of text of the sample
 SAMPLE_ROWS, SAMPLE_BYTES = 1_500, 24_000_000
 BUCKETS, DIM, EPOCHS, RATE, SHARED = 1 << 17, 12, 4, 0.2, 20.0
+#: gradient steps at least; a small sample is gone through more often
+STEPS = 12_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,6 +76,7 @@ class Model:
         labels = np.asarray(labels, np.int64)
         share = np.bincount(labels, minlength=2)
         weight = len(labels) / 2 / np.maximum(share, 1)
+        epochs = max(epochs, -(-STEPS // len(docs)))
         rng, total, done = np.random.default_rng(seed), epochs * len(docs), 0
         for _ in range(epochs):
             for at in rng.permutation(len(docs)):

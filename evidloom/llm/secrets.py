@@ -70,11 +70,12 @@ def _battery(found: Column) -> Column:
         chars = F.split(F.rtrim(x["m"], F.lit("=")), "")
         return F.struct(x["s"].alias("s"), x["e"].alias("e"), chars.alias("c"), F.size(chars).cast("double").alias("n"),
                         _encoding(x["m"]).alias("enc"), _neighbours(_classes(chars)).alias("kinds"),
-                        F.transform(chars, lambda c: F.ascii(c).cast("double")).alias("codes"))
+                        F.transform(chars, lambda c: F.ascii(c).cast("double")).alias("codes"),
+                        (_sum(chars, lambda c: F.ascii(c).cast("double")) / F.size(chars)).alias("mean"))
 
     def counted(x):
         squares = _sum(F.array_distinct(x["c"]), lambda c: F.pow(F.size(F.filter(x["c"], lambda y: y == c)), F.lit(2)))
-        mean = _sum(x["codes"], lambda v: v) / x["n"]
+        mean = x["mean"]
         spread = _sum(x["codes"], lambda v: (v - mean) * (v - mean))
         along = _sum(_neighbours(x["codes"]), lambda p: (p["a"] - mean) * (p["b"] - mean))
         return F.struct(
