@@ -17,9 +17,9 @@ def _keep(pairs: list[tuple[Column, str]]) -> Column:
     return F.array_compact(F.array(*[F.when(cond, F.lit(value)) for cond, value in pairs]))
 
 
-def substring_terms(low: Column, terms: list[str]) -> Column:
-    """Terms that occur in the text, in list order."""
-    return _keep([(F.contains(low, F.lit(t.lower())), t) for t in terms])
+def substring_terms(low: Column, terms: list[str], fold: bool = True) -> Column:
+    """Terms that occur in the text, in list order; compared in lower case with ``fold``."""
+    return _keep([(F.contains(low, F.lit(t.lower() if fold else t)), t) for t in terms])
 
 
 def has_substring_term(low: Column, terms: list[str]) -> Column:
@@ -27,9 +27,10 @@ def has_substring_term(low: Column, terms: list[str]) -> Column:
     return F.rlike(low, F.lit("|".join(quote(t.lower()) for t in terms))) if terms else F.lit(False)
 
 
-def word_terms(low: Column, terms: list[str]) -> Column:
+def word_terms(low: Column, terms: list[str], fold: bool = False) -> Column:
     """Terms that occur as whole words, in list order; the cheap substring test runs before the regex."""
-    return _keep([(F.contains(low, F.lit(t)) & F.rlike(low, F.lit(whole_word(t))), t) for t in terms])
+    pairs = [(t.lower() if fold else t, t) for t in terms]
+    return _keep([(F.contains(low, F.lit(c)) & F.rlike(low, F.lit(whole_word(c))), t) for c, t in pairs])
 
 
 def has_word_term(low: Column, terms: list[str]) -> Column:

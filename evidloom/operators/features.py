@@ -51,8 +51,12 @@ def _collected(df: DataFrame, found: DataFrame, keys: list[str], out: str) -> Da
 
 
 def lemmatize(messages: DataFrame, keys: list[str], lex: IntakeLexicon, text: str = "text") -> DataFrame:
-    """Add ``lemma_seq`` (all tokens) and ``lemma_text`` (alphabetic tokens that are not stop words) in token order."""
-    lemmas, stop = small_rows(lex.lemmas, lex.literal_rows), small_rows(lex.stop, lex.literal_rows)
+    """Add ``lemma_seq`` (all tokens) and ``lemma_text`` (alphabetic tokens that are not stop words) in token order.
+
+    Of several lemmas of a token the first in sorted order counts.
+    """
+    table_of_lemmas = lex.lemmas.groupBy("token").agg(F.min("lemma").alias("lemma"))
+    lemmas, stop = small_rows(table_of_lemmas, lex.literal_rows), small_rows(lex.stop.select("token").distinct(), lex.literal_rows)
     if lemmas is not None and stop is not None:
         table = F.create_map(*[x for r in lemmas for x in (F.lit(r.token), F.lit(r.lemma))]) if lemmas else None
         stops = string_array([r.token for r in stop])
@@ -65,8 +69,8 @@ def lemmatize(messages: DataFrame, keys: list[str], lex: IntakeLexicon, text: st
         return compute_once(messages, lemma_seq=F.array_join(F.transform(toks, lemma), " "),
                             lemma_text=F.array_join(F.transform(content, lemma), " "))
     rows = messages.select(*keys, F.posexplode(tx.tokens(F.col(text))).alias("pos", "token"))
-    rows = rows.join(broadcast_if_small(lex.lemmas.select("token", "lemma")), "token", "left")
-    rows = rows.join(broadcast_if_small(lex.stop.select("token", F.lit(True).alias("is_stop"))), "token", "left")
+    rows = rows.join(broadcast_if_small(table_of_lemmas), "token", "left")
+    rows = rows.join(broadcast_if_small(lex.stop.select("token", F.lit(True).alias("is_stop")).distinct()), "token", "left")
     used = F.coalesce("lemma", "token")
     content = F.when(F.col("is_stop").isNull() & F.rlike("token", F.lit(r"^\p{L}+$")), used)
     seqs = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(
@@ -98,7 +102,7 @@ def lexicon_features(df: DataFrame, keys: list[str], text: str, lexicon: DataFra
         found = f"concat({', '.join(hits)})" if hits else none
         return df.withColumn(out, F.expr(f"array_sort(array_distinct({found}))"))
     entries = lexicon.select(F.monotonically_increasing_id().alias("entry_ord"), "entry", "features")
-    hits = match_terms(df.select(*keys, text), keys, text, entries, "entry", "entry_ord", "substring", "found", 0)
+    hits = match_terms(df.select(*keys, text), keys, text, entries, "entry", "entry_ord", "substring", "found", 0, False)
     found = hits.select(*keys, F.explode("found").alias("entry")).join(
         broadcast_if_small(lexicon.select("entry", "features")), "entry")
     return _collected(df, found.select(*keys, F.explode("features").alias("value")), keys, out)
@@ -126,7 +130,7 @@ def cooc_features(df: DataFrame, keys: list[str], lex: IntakeLexicon) -> DataFra
         return df.withColumn(out, F.expr(f"array_sort(array_distinct({found}))"))
     words = lex.pairs.select(F.col("w1").alias("w")).union(lex.pairs.select("w2")).distinct()
     words = words.withColumn("w_ord", F.monotonically_increasing_id())
-    hits = match_terms(df.select(*keys, "haystack"), keys, "haystack", words, "w", "w_ord", "substring", "found", 0)
+    hits = match_terms(df.select(*keys, "haystack"), keys, "haystack", words, "w", "w_ord", "substring", "found", 0, False)
     found = hits.select(*keys, "found", F.explode("found").alias("w1")).join(
         broadcast_if_small(lex.pairs.select("w1", "w2", "feature")), "w1")
     found = found.where(F.array_contains("found", F.col("w2"))).select(*keys, F.col("feature").alias("value"))

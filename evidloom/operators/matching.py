@@ -14,17 +14,19 @@ from evidloom.functions import lexicon as lx
 
 
 def match_terms(df: DataFrame, keys: list[str], low: str, lexicon: DataFrame, term: str, order: str, mode: str,
-                out: str, literal_rows: int = LITERAL_ROWS) -> DataFrame:
+                out: str, literal_rows: int = LITERAL_ROWS, fold: bool | None = None) -> DataFrame:
     """Add array ``out`` with the terms found in ``low`` (a column of lower-case text), in lexicon order.
 
-    ``mode`` is ``substring`` or ``word``. ``keys`` must identify a row; only the indexed plan uses them.
+    ``mode`` is ``substring`` or ``word``. Terms are lower-cased before the comparison with ``fold``, else compared as
+    given; substrings are folded and words are not unless it is set. ``keys`` must identify a row; only the indexed plan uses them.
     """
+    fold = mode == "substring" if fold is None else fold
     rows = small_rows(lexicon, literal_rows)
     if rows is None:
-        return _match_indexed(df, keys, low, lexicon, term, order, mode, out)
+        return _match_indexed(df, keys, low, lexicon, term, order, mode, out, fold)
     terms = [r[term] for r in sorted(rows, key=lambda r: r[order])]
     find = lx.substring_terms if mode == "substring" else lx.word_terms
-    return df.withColumn(out, find(F.col(low), terms))
+    return df.withColumn(out, find(F.col(low), terms, fold))
 
 
 def _is_word(c: Column) -> Column:
@@ -32,8 +34,9 @@ def _is_word(c: Column) -> Column:
 
 
 def _match_indexed(df: DataFrame, keys: list[str], low: str, lexicon: DataFrame, term: str, order: str, mode: str,
-                   out: str) -> DataFrame:
-    entries = lexicon.select(F.col(order).alias("_ord"), F.col(term).alias("_term"), F.lower(term).alias("_low"))
+                   out: str, fold: bool) -> DataFrame:
+    compared = F.lower(term) if fold else F.col(term)
+    entries = lexicon.select(F.col(order).alias("_ord"), F.col(term).alias("_term"), compared.alias("_low"))
     sizes = entries.agg(F.min(F.length("_low")), F.max(F.length("_low"))).first()
     gram, longest = sizes[0], sizes[1]
     entries = broadcast_if_small(entries.withColumn("_gram", F.substring("_low", 1, gram)))

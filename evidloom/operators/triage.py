@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidloom import fixed_values as fv
-from evidloom.bounds import broadcast_if_small, string_array
+from evidloom.bounds import string_array
 from evidloom.functions.text import strip_marker
-from evidloom.functions.vectors import mask_renorm, suggest
+from evidloom.functions.vectors import mask_renorm, softmax_rescale, suggest
 from evidloom.operators.features import IntakeLexicon, extract_features
 from evidloom.operators.rules import rule_match
 
@@ -36,9 +36,9 @@ def label_choice(df: DataFrame, model_label: Column, model_confidence: Column, r
 
 
 def best_score(scores: Column, labels: list[str], critical: list[str], final: Column) -> Column:
-    """struct(label, confidence) of the best model score; on a final check critical labels are masked."""
+    """struct(label, confidence) of the best model score after the softmax; on a final check critical labels are masked."""
     masked = F.array(*[F.lit(x in critical) for x in labels])
-    picked = mask_renorm(scores, masked, final)
+    picked = mask_renorm(softmax_rescale(scores), masked, final)
     return F.struct(F.get(string_array(labels), picked["top"]).alias("label"), picked["confidence"].alias("confidence"))
 
 
@@ -110,22 +110,21 @@ def dialogue_accumulate(turns: DataFrame, key: str, order: str, text: str = "tex
                         separator: str = fv.FOLLOW_UP_SEPARATOR, block: int = 512) -> DataFrame:
     """Add ``dialogue``: all texts of the conversation up to and including the turn.
 
-    Work is split by ``(key, block of turns)``, ``order`` being an integer turn number, so that a long conversation is
-    not one task. Rows after the first block also get the joined texts of the blocks before, one row per block.
+    Work is split by ``(key, block of turns)``, ``order`` being an integer turn number (of either sign), so that a long
+    conversation is not one task. Every row gets the joined texts of the blocks before, one row per block. NULL texts
+    add nothing; a turn without any text up to it has an empty dialogue.
     """
     rows = turns.withColumn("_block", F.floor(F.col(order) / block))
     within = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_text", F.array_join(F.collect_list(text).over(within), separator))
-    long = turns.where(F.col(order) >= block).select(key).distinct()
-    if long.isEmpty():  # The usual case; the filter on the turn number reaches the scan.
-        return rows.withColumnRenamed("_text", "dialogue").drop("_block")
-    blocks = turns.withColumn("_block", F.floor(F.col(order) / block))
-    blocks = blocks.join(broadcast_if_small(long), key, "left_semi")
+    own = F.collect_list(text).over(within)
+    rows = rows.withColumn("_list", own).withColumn(
+        "_text", F.when(F.size("_list") > 0, F.array_join("_list", separator))).drop("_list")
+    blocks = turns.where(F.col(text).isNotNull()).withColumn("_block", F.floor(F.col(order) / block))
     blocks = blocks.groupBy(key, "_block").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct(order, text))), lambda s: s[text]), separator).alias("_joined"))
+    seen = turns.select(key, F.floor(F.col(order) / block).alias("_block")).distinct()
     before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_list", F.collect_list("_joined").over(before)).where(F.size("_list") > 0).select(
-        key, "_block", F.array_join("_list", separator).alias("_before"))
+    blocks = seen.join(blocks, [key, "_block"], "left").withColumn("_list", F.collect_list("_joined").over(before))
+    blocks = blocks.where(F.size("_list") > 0).select(key, "_block", F.array_join("_list", separator).alias("_before"))
     return rows.join(blocks, [key, "_block"], "left").withColumn(
-        "dialogue", F.when(F.col("_before").isNull(), F.col("_text")).otherwise(
-            F.concat("_before", F.lit(separator), "_text"))).drop("_block", "_text", "_before")
+        "dialogue", F.concat_ws(separator, "_before", "_text")).drop("_block", "_text", "_before")

@@ -226,7 +226,10 @@ _RULE_CASES = " ".join(
     f"WHEN list_has_all(features, {_list(f)}) AND len(features) <= {len(f) + 1} THEN {lit(label)}"
     for label, f in fx.RULES)
 _BEST_PLAIN, _BEST_FINAL = fx.MODEL_SCORES[0], [s for s in fx.MODEL_SCORES if s[0] not in fx.CRITICAL]
-_FINAL_CONF = f"{_BEST_FINAL[0][1]} / ({' + '.join(str(p) for _, p in _BEST_FINAL)} + 1e-9)"
+_EXP_ALL = f"({' + '.join(f'exp({p})' for _, p in fx.MODEL_SCORES)})"
+_PLAIN_CONF = f"exp({_BEST_PLAIN[1]}) / {_EXP_ALL}"
+_FINAL_CONF = (f"(exp({_BEST_FINAL[0][1]}) / {_EXP_ALL}) / "
+               f"({' + '.join(f'exp({p}) / {_EXP_ALL}' for _, p in _BEST_FINAL)} + 1e-9)")
 
 
 def suggest_sql(pool, limit: int) -> str:
@@ -241,7 +244,7 @@ _IS_CRIT = f"label IN ({', '.join(lit(c) for c in fx.CRITICAL)})"
 TRIAGE = MESSAGES + [
     ("matched", f"SELECT *, CASE WHEN len(features) = 0 THEN NULL {_RULE_CASES} END AS rule_label FROM featured"),
     ("chosen", f"SELECT *, coalesce(rule_label, {lit(_BEST_PLAIN[0])}) AS label, CASE WHEN rule_label IS NOT NULL "
-               f"THEN {fv.RULE_CONFIDENCE} WHEN is_final_check THEN {_FINAL_CONF} ELSE {_BEST_PLAIN[1]} END AS "
+               f"THEN {fv.RULE_CONFIDENCE} WHEN is_final_check THEN {_FINAL_CONF} ELSE {_PLAIN_CONF} END AS "
                "confidence FROM matched"),
     ("stated", f"SELECT *, CASE WHEN len(features) = 0 AND is_final_check THEN 'a' WHEN len(features) = 0 THEN 'b' "
                f"WHEN NOT is_final_check AND len(features) < 3 AND {_IS_CRIT} THEN 'c' WHEN NOT is_final_check AND "
