@@ -19,7 +19,7 @@ from evidloom.llm.workers import worker_state
 from evidloom.shipping import ship_by_value
 
 #: words whose ids one worker keeps; beyond it the store starts anew
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -28,7 +28,7 @@ _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 def _classes() -> np.ndarray:
     """Class of each code point, from the regex library's Unicode tables."""
     import regex
-    points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype("<u4").tobytes().decode("utf-32-le")
     table = np.full(0x110000, OTHER, np.uint8)
     for pattern, value in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\p{White_Space}+", SPACE)):
         for m in regex.finditer(pattern, points):
@@ -102,20 +102,20 @@ class Pieces:
 
 
 class WordStore:
-    """Values of distinct words as one flat array with offsets, looked up by word hash."""
+    """Values of distinct words as one flat array with offsets, looked up by word hash; arrays only, to stay small."""
 
     def __init__(self, compute, dtype):
         self.compute, self.dtype = compute, dtype
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.keys, self.place, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         self.flat = np.zeros(1 << 16, self.dtype)
         self.at = np.zeros(1 << 14, np.int64)
 
-    def _add(self, hashes: list[int], values: list) -> None:
+    def _add(self, hashes: np.ndarray, values: list) -> None:
         sizes = np.fromiter(map(len, values), np.int64, len(values))
-        used, n = int(self.at[len(self.slot)]), len(self.slot)
+        used, n = int(self.at[self.count]), self.count
         need = used + int(sizes.sum())
         while len(self.flat) < need:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -123,20 +123,27 @@ class WordStore:
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
         self.flat[used:need] = np.fromiter(itertools.chain.from_iterable(values), self.dtype, need - used)
         self.at[n + 1:n + 1 + len(values)] = used + np.cumsum(sizes)
-        self.slot.update(zip(hashes, range(n, n + len(values))))
+        self.count = n + len(values)
+        where = np.searchsorted(self.keys, hashes)
+        self.keys = np.insert(self.keys, where, hashes)
+        self.place = np.insert(self.place, where, np.arange(n, self.count))
+
+    def _known(self, hashes: np.ndarray) -> np.ndarray:
+        where = np.searchsorted(self.keys, hashes)
+        found = where < len(self.keys)
+        found[found] = self.keys[where[found]] == hashes[found]
+        return found
 
     def slots(self, pieces: Pieces) -> np.ndarray:
         """Slot of each word of the slice."""
         unique, first, inverse = np.unique(pieces.hash, return_index=True, return_inverse=True)
-        if len(self.slot) + len(unique) > WORDS_KEPT:
+        if self.count + len(unique) > WORDS_KEPT:
             self.clear()
-        keys = unique.tolist()
-        got = list(map(self.slot.get, keys))
-        missing = [i for i, s in enumerate(got) if s is None]
-        if missing:
-            self._add([keys[i] for i in missing], self.compute(pieces.words(first[missing])))
-            got = list(map(self.slot.get, keys))
-        return np.array(got, np.int64)[inverse] if keys else np.zeros(0, np.int64)
+        missing = np.flatnonzero(~self._known(unique))
+        for low in range(0, len(missing), 10_000):
+            some = missing[low:low + 10_000]
+            self._add(unique[some], self.compute(pieces.words(first[some])))
+        return self.place[np.searchsorted(self.keys, unique)][inverse]
 
 
 def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:

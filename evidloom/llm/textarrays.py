@@ -28,7 +28,7 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
     key = int(base)
     have = _POWERS.get(key)
     if have is None or len(have) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         have = np.full(size, base, np.uint64)
         have[0] = 1
         with np.errstate(over="ignore"):

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from evidloom.llm.components import components
 from evidloom.llm.storage import stored
+from evidloom.llm.workers import tidy
 from evidloom.shipping import ship_by_value
 
 #: vectors of a bucket that one search handles, vectors a bucket should hold, and the bound's width in deviations
@@ -96,7 +97,7 @@ def vector_components(df: DataFrame, key: str = "vec_id", vector: str = "embeddi
                                                   pa.array(list(codes))], ["rep", "copies", "d", "v", "codes"])
 
     coded = stored(classes.select("rep", "copies", "d", "v").mapInArrow(
-        tabled, "rep long, copies long, d int, v array<double>, codes array<long>"), "codes")
+        tidy(tabled), "rep long, copies long, d int, v array<double>, codes array<long>"), "codes")
     buckets = coded.select("rep", "d", F.posexplode("codes").alias("t", "code"))
     sizes = buckets.groupBy("d", "t", "code").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("c"))
     dealt = (buckets.join(sizes.where("c > 1"), ["d", "t", "code"]).withColumn("b", F.pmod(F.xxhash64("rep"), "blocks")))
@@ -122,7 +123,7 @@ def vector_components(df: DataFrame, key: str = "vec_id", vector: str = "embeddi
         yield _search(current, held, threshold)
 
     links = stored(tasks.select("rep", "d", "t", "code", "i", "j", "asks", "copies", "v", "codes")
-                   .mapInArrow(run, "a long, b long, na long, nb long"), "links")
+                   .mapInArrow(tidy(run), "a long, b long, na long, nb long"), "links")
     counts = (links.select(F.col("a").alias("rep"), F.col("nb").alias("n"))
               .union(links.select("b", "na")).groupBy("rep").agg(F.sum("n").alias("n")))
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "rep")
