@@ -5,7 +5,8 @@ product of a rotated query with a code, divided by the factor, estimates the cos
 says which pairs can reach the threshold, and only these are computed from the vectors in double precision. Pairs are
 looked for among vectors that share the signs of some rotated coordinates in one of several tables; the number of signs
 grows with the logarithm of the number of vectors and the number of tables follows from the recall that is asked for.
-Equal vectors are one class with a count, so that copies give no pairs.
+Equal vectors are one class with a count, so that copies give no pairs. A search of two blocks gives no pairs either, but
+the number of links of each vector and the smallest vector that links join it with.
 """
 from __future__ import annotations
 
@@ -23,6 +24,8 @@ from evidloom.shipping import ship_by_value
 
 #: vectors of a bucket that one search handles, vectors a bucket should hold, and the bound's width in deviations
 BLOCK, BUCKET, WIDTH = 1024, 256, 4.0
+#: components of vectors that exact products hold at a time
+COMPONENTS = 2_000_000
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -48,8 +51,9 @@ def bucket_codes(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return out
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray, threshold: float, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of unit vectors with a cosine of at least ``threshold``."""
+def close_pairs(a: np.ndarray, b: np.ndarray, threshold: float, turn: np.ndarray,
+                wanted=lambda i, j: np.ones(len(i), bool)) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of unit vectors with a cosine of at least ``threshold``, of those that ``wanted`` lets through."""
     dim = a.shape[1]
     query, data = (a @ turn).astype(np.float32), b @ turn
     code = np.where(data >= 0, 1.0, -1.0) / math.sqrt(dim)
@@ -57,12 +61,27 @@ def close_pairs(a: np.ndarray, b: np.ndarray, threshold: float, turn: np.ndarray
     error = WIDTH * np.sqrt(np.maximum(0, 1 - factor ** 2)) / factor / math.sqrt(max(1, dim - 1))
     estimate = (query @ code.T.astype(np.float32)) / factor
     i, j = np.nonzero(estimate + error >= threshold)
-    exact = np.concatenate([np.einsum("ij,ij->i", a[i[k:k + 50_000]], b[j[k:k + 50_000]])
-                            for k in range(0, len(i), 50_000)] or [np.zeros(0)])
-    keep = exact >= threshold
+    keep, step = np.zeros(len(i), bool), max(1, COMPONENTS // dim)
+    for k in range(0, len(i), step):
+        x, y = i[k:k + step], j[k:k + step]
+        some = np.flatnonzero(wanted(x, y))
+        keep[k + some] = np.einsum("ij,ij->i", a[x[some]], b[y[some]]) >= threshold
     return i[keep], j[keep]
 
 
+def smallest_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of the numbers below ``n``: the smallest one that the pairs (i, j) join it with."""
+    top = np.arange(n)
+    while True:
+        a, b = top[i], top[j]
+        apart = a != b
+        if not apart.any():
+            return top
+        np.minimum.at(top, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (top[top] != top).any():
+            top = top[top]
+
+
 def _valid(vector: str) -> str:
     return (f"{vector} is not null and size({vector}) > 0 and not exists({vector}, x -> x is null or isnan(x) or abs(x) = "
             f"double('infinity')) and exists({vector}, x -> x != 0)")
@@ -123,10 +142,9 @@ def vector_components(df: DataFrame, key: str = "vec_id", vector: str = "embeddi
         yield _search(current, held, threshold)
 
     links = stored(tasks.select("rep", "d", "t", "code", "i", "j", "asks", "copies", "v", "codes")
-                   .mapInArrow(tidy(run), "a long, b long, na long, nb long"), "links")
-    counts = (links.select(F.col("a").alias("rep"), F.col("nb").alias("n"))
-              .union(links.select("b", "na")).groupBy("rep").agg(F.sum("n").alias("n")))
-    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "rep")
+                   .mapInArrow(tidy(run), "rep long, least long, n long"), "links")
+    counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
+    found = components(links.select(F.col("rep").alias("u"), F.col("least").alias("v"))).withColumnRenamed("id", "rep")
     told = (classes.select("h1", "h2", "d", "rep", "copies").join(counts, "rep", "left").join(found, "rep", "left")
             .select("h1", "h2", "d", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"),
                     F.coalesce("component", "rep").alias("c"), F.lit(True).alias("ok")))
@@ -137,10 +155,11 @@ def vector_components(df: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
 
 def _search(current, held: list, threshold: float) -> pa.RecordBatch:
-    """Close pairs of the asking and the other vectors of one pair of blocks that share no earlier bucket."""
-    names = ["a", "b", "na", "nb"]
+    """(rep, least, n) from the close pairs of the asking and the other vectors of one pair of blocks that share no
+    earlier bucket: vectors linked with ``rep``, copies counted, and the smallest vector it is joined with."""
+    names = ["rep", "least", "n"]
     if not held:
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, names)
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names)
     d, t, _, i, j = current
     table = pa.Table.from_batches(held).combine_chunks()
     asks = table.column("asks").to_numpy()
@@ -152,16 +171,22 @@ def _search(current, held: list, threshold: float) -> pa.RecordBatch:
                       v / np.linalg.norm(v, axis=1)[:, None]))
     (ra, ca, ka, va), (rb, cb, kb, vb) = sides
     turn = rotation(d, 7)
-    out = []
-    for low in range(0, len(va), 512):
-        a, b = close_pairs(va[low:low + 512], vb, threshold, turn)
-        a = a + low
-        new = ~(ka[a] == kb[b]).any(axis=1)
-        if i == j:
-            new &= ra[a] < rb[b]
-        out.append((a[new], b[new]))
-    a, b = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(2))
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ra[a], rb[b], ca[a], cb[b])], names)
+    reps, place = np.unique(np.concatenate([ra, rb]), return_inverse=True)
+    pa_, pb_ = place[:len(ra)], place[len(ra):]
+    count, least = np.zeros(len(reps)), np.arange(len(reps))
+    for low in range(0, len(va), 256):
+        def new(a, b):
+            fresh = ~(ka[low + a] == kb[b]).any(axis=1)
+            return fresh & (ra[low + a] < rb[b]) if i == j else fresh
+
+        a, b = close_pairs(va[low:low + 256], vb, threshold, turn, new)
+        x, y = pa_[low + a], pb_[b]
+        count += np.bincount(x, cb[b], len(reps)) + np.bincount(y, ca[low + a], len(reps))
+        known = np.arange(len(reps))
+        least = smallest_reached(len(reps), np.concatenate([x, known]), np.concatenate([y, least]))
+    linked = np.flatnonzero(count)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (
+        reps[linked], reps[least[linked]], count[linked].astype(np.int64))], names)
 
 
 ship_by_value(__name__)
