@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from evidloom.llm.textarrays import LOWER, Words, buffers, mix, separators
-from evidloom.llm.workers import slices, tidy
+from evidloom.llm.workers import in_arrow, slices
 from evidloom.shipping import ship_by_value
 
 #: everything but digits, letters a-z and bytes of other scripts separates words (A-Z are lower-cased before)
@@ -213,7 +213,7 @@ def with_benchmark_hits(df: DataFrame, text: str, benchmark: DataFrame, item: st
                      pa.array([len(s) for s in found], pa.int64()), pa.array(digests, pa.string()),
                      pa.array(n_hit > 0)], schema.fieldNames())
 
-    return source.mapInArrow(tidy(run), schema)
+    return in_arrow(source, run, schema)
 
 
 ship_by_value(__name__)

@@ -29,7 +29,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from evidloom.llm.components import components
 from evidloom.llm.storage import stored
 from evidloom.llm.textarrays import Words, buffers, mix, separators
-from evidloom.llm.workers import key_and_text, map_slices, slices, tidy
+from evidloom.llm.workers import in_arrow, key_and_text, map_slices, slices
 from evidloom.shipping import ship_by_value
 
 WORD_SEPARATOR = separators((0x20, 0x20), (0x09, 0x0D))
@@ -111,8 +111,8 @@ def _shared_postings(rows: DataFrame, size: int, percent: int, whole: bool) -> D
                 held.append(_unpacked(n, packed))
         yield from _lists(held)
 
-    dealt = rows.where("key is not null").mapInArrow(tidy(runs), "range int, n long, packed binary")
-    return dealt.repartition("range").sortWithinPartitions("range").mapInArrow(tidy(lists), "key long, h long, length long")
+    dealt = in_arrow(rows.where("key is not null"), runs, "range int, n long, packed binary")
+    return in_arrow(dealt.repartition("range").sortWithinPartitions("range"), lists, "key long, h long, length long")
 
 
 def _as_runs(held: list) -> pa.RecordBatch:
@@ -230,7 +230,7 @@ def _linked(rows: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
                 yield _links(found)
         yield _links(_search(query, block, percent))
 
-    return ordered.mapInArrow(tidy(run), "u long, v long")
+    return in_arrow(ordered, run, "u long, v long")
 
 
 def _search(query, block, percent) -> list[tuple[int, int]]:
@@ -333,7 +333,7 @@ def _searched_groups(rows: DataFrame, members: DataFrame, size: int, percent: in
                 yield _links(found)
         yield _links(_between(held, percent))
 
-    return ordered.mapInArrow(tidy(run), "u long, v long")
+    return in_arrow(ordered, run, "u long, v long")
 
 
 def _indexed(dealt: DataFrame) -> DataFrame:

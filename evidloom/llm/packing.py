@@ -18,7 +18,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from evidloom.llm.bpe import default_tokenizer, encoder
 from evidloom.llm.storage import stored
-from evidloom.llm.workers import key_and_text, slices, tidy
+from evidloom.llm.workers import in_arrow, key_and_text, slices
 from evidloom.shipping import ship_by_value
 
 CAPACITY, END_ID = 1024, 2
@@ -69,7 +69,7 @@ def token_pieces(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, e
                      pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
                      pa.array([part] * len(row), pa.int32()), pa.array(local, pa.int64())], schema.fieldNames())
 
-    return rows.mapInArrow(tidy(run), schema)
+    return in_arrow(rows, run, schema)
 
 
 class Plan:
@@ -169,7 +169,7 @@ def pack(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, end_id: i
                 offset[own] = row[:, 2]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], out.fieldNames())
 
-    return numbered.mapInArrow(tidy(place), out).withColumnRenamed("key", key)
+    return in_arrow(numbered, place, out).withColumnRenamed("key", key)
 
 
 ship_by_value(__name__)

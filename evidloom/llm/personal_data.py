@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from evidloom.llm.workers import slices, tidy
+from evidloom.llm.workers import in_arrow, slices
 from evidloom.shipping import ship_by_value
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -116,7 +116,7 @@ def with_personal_data(df: DataFrame, text: str) -> DataFrame:
                                   for k, a, b in base_spans(t) + added_spans(t)])
                 yield pa.RecordBatch.from_arrays([*part.columns[:len(kept)], pa.array(found, kind)], schema.fieldNames())
 
-    return source.mapInArrow(tidy(run), schema)
+    return in_arrow(source, run, schema)
 
 
 ship_by_value(__name__)

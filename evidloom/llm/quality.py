@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from evidloom.llm.textarrays import Words, buffers, mix, separators
-from evidloom.llm.workers import slices, tidy
+from evidloom.llm.workers import in_arrow, slices
 from evidloom.shipping import ship_by_value
 
 WORD_SEPARATOR = separators((0x00, 0x20))
@@ -159,7 +159,7 @@ def with_quality(df: DataFrame, text: str, model: Model, score: str = "score") -
                 yield pa.RecordBatch.from_arrays([*part.columns[:len(kept)], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))],
                                                  schema.fieldNames())
 
-    return source.mapInArrow(tidy(run), schema)
+    return in_arrow(source, run, schema)
 
 
 ship_by_value(__name__)

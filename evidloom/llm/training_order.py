@@ -18,7 +18,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 from evidloom.llm.bpe import default_tokenizer, encoder
 from evidloom.llm.remote import opened, whole_file
 from evidloom.llm.storage import shared_folder, stored
-from evidloom.llm.workers import key_and_text, slices, tidy
+from evidloom.llm.workers import in_arrow, key_and_text, slices
 from evidloom.shipping import ship_by_value
 
 #: ids of a sequence, id that ends a text and fills its last sequence, sequences of a shard, rounds of the network
@@ -77,7 +77,7 @@ def sequence_counts(rows: DataFrame, stride: int, path: str) -> DataFrame:
         n = sum(int((-(-(np.diff(offsets) + 1) // stride)).sum()) for _, _, offsets in _encoded(batches, path, stride))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n])], ["part", "n"])
 
-    return rows.mapInArrow(tidy(run), "part int, n long")
+    return in_arrow(rows, run, "part int, n long")
 
 
 def in_training_order(df: DataFrame, key: str, text: str, stride: int = STRIDE, path: str | None = None,
@@ -114,7 +114,7 @@ def in_training_order(df: DataFrame, key: str, text: str, stride: int = STRIDE,
         if local != sent.value[1].get(part, 0):
             raise RuntimeError("the input gave other rows to this task when its sequences were counted")
 
-    return rows.mapInArrow(tidy(run), schema), total
+    return in_arrow(rows, run, schema), total
 
 
 def write_shards(ordered: DataFrame, total: int, folder: str, stride: int = STRIDE, shard: int = SHARD) -> DataFrame:
@@ -147,7 +147,7 @@ def write_shards(ordered: DataFrame, total: int, folder: str, stride: int = STRI
             [*table.columns[:4], pa.array((slots - number * shard) * 2 * stride), table.column("n_tokens"),
              pa.array([zlib.crc32(d) for d in data], pa.int64())], schema.fieldNames()).combine_chunks().to_batches()[0]
 
-    return dealt.mapInArrow(tidy(run), schema)
+    return in_arrow(dealt, run, schema)
 
 
 def _runs(values: np.ndarray):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from evidloom.llm.components import components
 from evidloom.llm.storage import stored
-from evidloom.llm.workers import tidy
+from evidloom.llm.workers import in_arrow
 from evidloom.shipping import ship_by_value
 
 #: vectors of a bucket that one search handles, vectors a bucket should hold, and the bound's width in deviations
@@ -115,8 +115,8 @@ def vector_components(df: DataFrame, key: str = "vec_id", vector: str = "embeddi
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3),
                                                   pa.array(list(codes))], ["rep", "copies", "d", "v", "codes"])
 
-    coded = stored(classes.select("rep", "copies", "d", "v").mapInArrow(
-        tidy(tabled), "rep long, copies long, d int, v array<double>, codes array<long>"), "codes")
+    coded = stored(in_arrow(classes.select("rep", "copies", "d", "v"), tabled,
+                            "rep long, copies long, d int, v array<double>, codes array<long>"), "codes")
     buckets = coded.select("rep", "d", F.posexplode("codes").alias("t", "code"))
     sizes = buckets.groupBy("d", "t", "code").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("c"))
     dealt = (buckets.join(sizes.where("c > 1"), ["d", "t", "code"]).withColumn("b", F.pmod(F.xxhash64("rep"), "blocks")))
@@ -141,8 +141,8 @@ def vector_components(df: DataFrame, key: str = "vec_id", vector: str = "embeddi
                 held.append(batch.slice(low, high - low))
         yield _search(current, held, threshold)
 
-    links = stored(tasks.select("rep", "d", "t", "code", "i", "j", "asks", "copies", "v", "codes")
-                   .mapInArrow(tidy(run), "rep long, least long, n long"), "links")
+    links = stored(in_arrow(tasks.select("rep", "d", "t", "code", "i", "j", "asks", "copies", "v", "codes"), run,
+                            "rep long, least long, n long"), "links")
     counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
     found = components(links.select(F.col("rep").alias("u"), F.col("least").alias("v"))).withColumnRenamed("id", "rep")
     told = (classes.select("h1", "h2", "d", "rep", "copies").join(counts, "rep", "left").join(found, "rep", "left")

@@ -20,7 +20,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from evidloom.llm.remote import opened, whole_file
 from evidloom.llm.storage import shared_folder, stored
-from evidloom.llm.workers import slices, tidy
+from evidloom.llm.workers import in_arrow, slices
 from evidloom.shipping import ship_by_value
 
 #: digests of repeated payloads that are broadcast; beyond it pages are joined with them by a shuffle
@@ -107,7 +107,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
         if index:
             yield close()
 
-    return stored(marked.mapInArrow(tidy(run), INDEX), "warc-index")
+    return stored(in_arrow(marked, run, INDEX), "warc-index")
 
 
 def read_records(index: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def read_records(index: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)],
                                                  schema.fieldNames())
 
-    return dealt.mapInArrow(tidy(run), schema)
+    return in_arrow(dealt, run, schema)
 
 
 def _coalesced(rows):

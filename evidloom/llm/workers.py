@@ -17,6 +17,8 @@ from evidloom.shipping import ship_by_value
 
 #: bytes of text that one step works on; a longer text is a slice of its own
 SLICE_BYTES = 500_000
+#: bytes of a batch, which the JVM and a Python worker each hold
+BATCH_BYTES = 4 << 20
 
 
 def worker_state() -> dict:
@@ -54,6 +56,18 @@ def tidy(run: Callable) -> Callable:
     return task
 
 
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow of a tidied ``run``, over batches of about BATCH_BYTES.
+
+    Spark takes the size from the session when it evaluates the result, so it is set there, unless the session has a
+    value of its own. No result depends on it.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(tidy(run), schema)
+
+
 def map_slices(df: DataFrame, text: str, step: Callable[[pa.RecordBatch], dict], schema: StructType) -> DataFrame:
     """Apply ``step`` to slices of whole texts; it gives the columns of ``schema`` by name."""
     import pyarrow.compute  # noqa: F401
@@ -66,7 +80,7 @@ def map_slices(df: DataFrame, text: str, step: Callable[[pa.RecordBatch], dict],
                 out = step(part)
                 yield pa.RecordBatch.from_arrays([_array(out[n]) for n in names], names)
 
-    return df.mapInArrow(tidy(run), schema)
+    return in_arrow(df, run, schema)
 
 
 def _array(values) -> pa.Array:
