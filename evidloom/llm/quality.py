@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from evidloom.llm.textarrays import Words, buffers, mix, separators
-from evidloom.llm.workers import in_arrow, slices
+from evidloom.llm.workers import give_back, in_arrow, slices
 from evidloom.shipping import ship_by_value
 
 WORD_SEPARATOR = separators((0x00, 0x20))
@@ -133,7 +133,11 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     """Fitted on the bounded sample; without labels the model scores every text 0.5."""
     sample = labelled_sample(documents, labels)
     model = Model()
-    return model.fit([t for t, _ in sample], [y for _, y in sample]) if sample else model
+    if sample:
+        model.fit([t for t, _ in sample], [y for _, y in sample])
+    del sample
+    give_back()
+    return model
 
 
 def with_quality(df: DataFrame, text: str, model: Model, score: str = "score") -> DataFrame:

@@ -38,16 +38,17 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         yield batch.slice(low, high - low)
 
 
-def tidy(run: Callable) -> Callable:
-    """``run`` for mapInArrow, in a worker that frees what a task leaves: its functions are cycles of objects, and
-    freed memory goes back to the system, so that the stages of a long job do not add up."""
-    def give_back():
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+def give_back() -> None:
+    """Freed memory of this process goes back to the system, so that the stages of a long job do not add up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
 
+def tidy(run: Callable) -> Callable:
+    """``run`` for mapInArrow, in a worker that frees what a task leaves: its functions are cycles of objects."""
     def task(batches):
         give_back()
         yield from run(batches)
