@@ -113,17 +113,22 @@ class WordStore:
         self.flat = np.zeros(1 << 16, self.dtype)
         self.at = np.zeros(1 << 14, np.int64)
 
-    def _add(self, hashes: np.ndarray, values: list) -> None:
-        sizes = np.fromiter(map(len, values), np.int64, len(values))
+    def _add(self, hashes: np.ndarray, values: list | tuple[np.ndarray, np.ndarray]) -> None:
+        """Values as a list for each word, or as one array and the number for each word."""
+        if isinstance(values, tuple):
+            values, sizes = values
+        else:
+            sizes = np.fromiter(map(len, values), np.int64, len(values))
+            values = np.fromiter(itertools.chain.from_iterable(values), self.dtype, int(sizes.sum()))
         used, n = int(self.at[self.count]), self.count
         need = used + int(sizes.sum())
         while len(self.flat) < need:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.at) < n + len(values) + 1:
+        while len(self.at) < n + len(sizes) + 1:
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        self.flat[used:need] = np.fromiter(itertools.chain.from_iterable(values), self.dtype, need - used)
-        self.at[n + 1:n + 1 + len(values)] = used + np.cumsum(sizes)
-        self.count = n + len(values)
+        self.flat[used:need] = values
+        self.at[n + 1:n + 1 + len(sizes)] = used + np.cumsum(sizes)
+        self.count = n + len(sizes)
         where = np.searchsorted(self.keys, hashes)
         self.keys = np.insert(self.keys, where, hashes)
         self.place = np.insert(self.place, where, np.arange(n, self.count))
@@ -136,14 +141,21 @@ class WordStore:
 
     def slots(self, pieces: Pieces) -> np.ndarray:
         """Slot of each word of the slice."""
-        unique, first, inverse = np.unique(pieces.hash, return_index=True, return_inverse=True)
+        import pandas as pd
+        inverse, unique = pd.factorize(pieces.hash)
+        first = np.zeros(len(unique), np.int64)
+        first[inverse] = np.arange(len(inverse))
+        order = np.argsort(unique)
+        unique, first = unique[order], first[order]
+        rank = np.zeros_like(order)
+        rank[order] = np.arange(len(order))
         if self.count + len(unique) > WORDS_KEPT:
             self.clear()
         missing = np.flatnonzero(~self._known(unique))
         for low in range(0, len(missing), 10_000):
             some = missing[low:low + 10_000]
             self._add(unique[some], self.compute(pieces.words(first[some])))
-        return self.place[np.searchsorted(self.keys, unique)][inverse]
+        return self.place[np.searchsorted(self.keys, unique)][rank][inverse]
 
 
 def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -174,9 +186,20 @@ class Encoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.ranks = vocabulary(spec)
         import tiktoken
-        self.merge = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks,
-                                       special_tokens={}).encode_ordinary
-        self.store = WordStore(lambda words: list(map(self.merge, words)), np.uint32)
+        #: whether the zero character can stand between words: it is a token, and no other token holds it
+        self.joins = b"\0" in self.ranks and sum(b"\0" in t for t in self.ranks) == 1
+        self.merge = tiktoken.Encoding("words", pat_str=r"[^\x00]+|\x00" if self.joins else r"(?s:.+)",
+                                       mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
+        self.store = WordStore(self.merged, np.uint32)
+
+    def merged(self, words: list[str]) -> list | tuple[np.ndarray, np.ndarray]:
+        """Ids of each word; words go through the merges as one text with a zero character after each."""
+        text = "\0".join([*words, ""])
+        if not self.joins or text.count("\0") > len(words):
+            return list(map(self.merge, words))
+        ids = np.array(self.merge(text), np.uint32)
+        end = ids == self.ranks[b"\0"]
+        return ids[~end], np.diff(np.flatnonzero(end) - np.arange(len(words)), prepend=0)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice one after another, and n + 1 offsets; null texts are empty."""

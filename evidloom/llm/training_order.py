@@ -23,6 +23,8 @@ from evidloom.shipping import ship_by_value
 
 #: ids of a sequence, id that ends a text and fills its last sequence, sequences of a shard, rounds of the network
 STRIDE, END_ID, SHARD, ROUNDS, KEY = 256, 50256, 32_768, 6, 20240229
+#: range partitions at most; each writes as many shards, one after another, as fall to it
+PARTS = 20_000
 
 
 def feistel(number: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
@@ -120,8 +122,9 @@ def in_training_order(df: DataFrame, key: str, text: str, stride: int = STRIDE,
 def write_shards(ordered: DataFrame, total: int, folder: str, stride: int = STRIDE, shard: int = SHARD) -> DataFrame:
     """Write shard-NNNNNN.bin files of ``shard`` slots and return (key, piece, slot, shard, byte_offset, n_tokens, ids_crc32)."""
     shards = max(1, -(-total // shard))
-    dealt = (ordered.withColumn("shard", F.floor(F.col("slot") / shard)).repartitionByRange(shards, "shard")
-             .sortWithinPartitions("slot").select("key", "piece", "slot", "shard", "n_tokens", "packed"))
+    parts = min(shards, PARTS)
+    dealt = (ordered.withColumn("shard", F.floor(F.col("slot") / shard))
+             .repartitionById(parts, F.floor(F.col("shard") * parts / shards).cast("int")).sortWithinPartitions("slot").select("key", "piece", "slot", "shard", "n_tokens", "packed"))
     schema = StructType([*(dealt.schema[c] for c in ("key", "piece", "slot", "shard")), StructField("byte_offset", LongType()),
                          StructField("n_tokens", IntegerType()), StructField("ids_crc32", LongType())])
 
