@@ -213,6 +213,17 @@ class Encoder:
         odd = self._special_texts(pieces)
         return self._replaced(ids, offsets, pieces, odd) if odd else (ids, offsets)
 
+    def counts(self, column: pa.Array) -> np.ndarray:
+        """Number of ids of each text."""
+        pieces = Pieces(column)
+        slot = self.store.slots(pieces)
+        ends = np.append(0, np.cumsum(self.store.at[slot + 1] - self.store.at[slot]))
+        found = np.diff(ends[pieces.first])
+        for i in self._special_texts(pieces):
+            text = pieces.text[pieces.offsets[i]:pieces.offsets[i + 1]]
+            found[i] = len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return found
+
     def _special_texts(self, pieces: Pieces) -> list[int]:
         if not any(s in pieces.text for s in self.special):
             return []
