@@ -1,13 +1,17 @@
 """Secrets in texts, with DataFrame functions only: fixed patterns, and a randomness test battery for other strings.
 
-A candidate is a run of at least 20 key characters with a digit in it. Its encoding (hex, base 32, base 64) gives the
-alphabet that a random string of it would use. Three tests look at it: chi-squared of its characters against the uniform
-alphabet, runs of character classes, and serial correlation of neighbours. Their scores against what written words and
-numbers show grow with the length. Which scores count as discoveries is decided by the false discovery rate among all
-candidates of a length class, over the whole table.
+A candidate is a run of at least 20 key characters, wherever it stands; dots, '@' and '=' part runs, and '=' at the end
+of one is its padding. Its encoding (letters, hex, base 32, base 64) gives the alphabet that a random string of it would
+use. Three tests look at it: chi-squared of its characters against the uniform alphabet, runs of character classes, and
+serial correlation of neighbours. Without a digit, runs say nothing (names in camel case or with hyphens have as many), so
+the letters take their place: how far they are from the frequencies of written ones. The scores against what written words
+and numbers show grow with the length. Which scores count as discoveries is decided by the false discovery rate among all
+candidates of a length class, with a digit or without, over the whole table.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,12 +19,23 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 #: the run of characters is matched whole, so asking for the least length in the pattern drops the same matches
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_=-]{0,200}[0-9])[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?"
 KINDS = ["assign", "access", "hex", "random"]
 #: share of false discoveries, chance that written text repeats a character, and that it changes the character class
 RATE, REPEATS, CHANGES = 0.01, 0.075, 0.10
 #: deviations of a test of randomness that exclude a candidate
 DEVIATES = 3.5
+#: mean frequencies of the letters a to z in English, German, French and Spanish, in thousandths
+WRITTEN = [85, 16, 32, 45, 140, 14, 19, 30, 68, 4, 6, 45, 28, 76, 62, 19, 6, 67, 74, 68, 41, 12, 11, 2, 8, 5]
+#: log2 of the frequency over that of a random letter, its mean in written text, and its deviation there, half as much
+#: again as of independent letters since those of a word are not
+LETTER = [math.log2(26 * w / sum(WRITTEN)) for w in WRITTEN]
+LETTER_MEAN = sum(w * v for w, v in zip(WRITTEN, LETTER)) / sum(WRITTEN)
+LETTER_SPREAD = 1.5 * math.sqrt(sum(w * (v - LETTER_MEAN) ** 2 for w, v in zip(WRITTEN, LETTER)) / sum(WRITTEN))
+#: chance that a written run without a digit repeats a character: less, as both cases and few letters of each word meet
+LETTERS_REPEAT = 0.06
+#: added to the length class of candidates without a digit
+NO_DIGIT = 1000
 MASK = "[secret]"
 
 
@@ -46,8 +61,9 @@ def _encoding(m: Column) -> Column:
     def of(k, change):
         return F.struct(F.lit(float(k)).alias("k"), F.lit(change).alias("change"))
 
-    return (F.when(m.rlike("^([0-9a-f]+|[0-9A-F]+)$"), of(16, 0.469)).when(m.rlike("^[A-Z2-7]+=*$"), of(32, 0.305))
-            .when(m.rlike("^[A-Za-z0-9]+$"), of(62, 0.622)).otherwise(of(64, 0.645)))
+    return (F.when(m.rlike("^([a-z]+|[A-Z]+)=*$"), of(26, 1e-6)).when(m.rlike("^[A-Za-z]+=*$"), of(52, 0.5))
+            .when(m.rlike("^[A-Za-z+/_-]+=*$"), of(54, 0.535)).when(m.rlike("^([0-9a-f]+|[0-9A-F]+)$"), of(16, 0.469)).when(m.rlike("^[A-Z2-7]+=*$"), of(32, 0.305))
+            .when(m.rlike("^[A-Za-z0-9]+=*$"), of(62, 0.622)).otherwise(of(64, 0.645)))
 
 
 def _classes(chars: Column) -> Column:
@@ -64,6 +80,14 @@ def _sum(values: Column, term) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + term(x))
 
 
+def _letters(chars: Column) -> Column:
+    """(n, sum): number of letters, and the sum of their values of LETTER."""
+    values = F.array(*[F.lit(v) for v in LETTER])
+    own = F.filter(chars, lambda c: F.lower(c).between("a", "z"))
+    return F.struct(F.size(own).cast("double").alias("n"),
+                    _sum(own, lambda c: F.get(values, F.ascii(F.lower(c)) - 97)).alias("sum"))
+
+
 def _battery(found: Column) -> Column:
     """(s, e, length_class, bin): evidence of each candidate in tenths of a decade; 0 if a test speaks against it."""
     def prepared(x):
@@ -78,8 +102,10 @@ def _battery(found: Column) -> Column:
         mean = x["mean"]
         spread = _sum(x["codes"], lambda v: (v - mean) * (v - mean))
         along = _sum(_neighbours(x["codes"]), lambda p: (p["a"] - mean) * (p["b"] - mean))
+        digit = F.exists(x["c"], lambda c: c.between("0", "9"))
         return F.struct(
-            x["s"], x["e"], x["n"].alias("n"), x["enc"].alias("enc"),
+            x["s"], x["e"], x["n"].alias("n"), x["enc"].alias("enc"), digit.alias("digit"),
+            F.when(~digit, _letters(x["c"])).alias("letters"),
             (x["enc"]["k"] / x["n"] * squares - x["n"]).alias("chi"),
             _sum(x["kinds"], lambda p: F.when(p["a"] != p["b"], 1.0).otherwise(0.0)).alias("changes"),
             F.when(spread > 0, along / spread).otherwise(1.0).alias("serial"))
@@ -87,15 +113,18 @@ def _battery(found: Column) -> Column:
     def tested(x):
         n, k, change = x["n"], x["enc"]["k"], x["enc"]["change"]
         spread = F.sqrt(2 * (k - 1))
-        written = k * (1 + (n - 1) * F.greatest(F.lit(REPEATS), 1.6 / k)) - n
-        z_chi = (written - x["chi"]) / (spread * F.greatest(F.lit(1.0), k * REPEATS / 2))
+        repeats = F.when(x["digit"], REPEATS).otherwise(LETTERS_REPEAT)
+        written = k * (1 + (n - 1) * F.greatest(repeats, 1.6 / k)) - n
+        z_chi = (written - x["chi"]) / (spread * F.greatest(F.lit(1.0), k * repeats / 2))
         z_runs = (x["changes"] - (n - 1) * CHANGES) / F.sqrt((n - 1) * CHANGES * (1 - CHANGES))
         against = ((x["chi"] - (k - 1)) / spread > DEVIATES) | (F.abs(x["serial"]) * F.sqrt(n) > DEVIATES) | (
             (x["changes"] - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change)) < -DEVIATES)
-        z = F.least((z_chi + z_runs) / F.sqrt(F.lit(2.0)), F.lit(12.0))
+        letters = x["letters"]["n"]
+        z_letters = (letters * LETTER_MEAN - x["letters"]["sum"]) / (LETTER_SPREAD * F.sqrt(F.greatest(letters, F.lit(1.0))))
+        z = F.least((z_chi + F.when(x["digit"], z_runs).otherwise(z_letters)) / F.sqrt(F.lit(2.0)), F.lit(12.0))
         # decades of the upper tail of the normal distribution, by its logistic approximation
         decades = F.log10(1 + F.exp(1.5976 * z + 0.07056 * z * z * z))
-        return F.struct(x["s"], x["e"], F.floor(F.log2(n) * 2).cast("int").alias("length_class"),
+        return F.struct(x["s"], x["e"], (F.floor(F.log2(n) * 2).cast("int") + F.when(x["digit"], 0).otherwise(NO_DIGIT)).alias("length_class"),
                         F.when(against, 0).otherwise(F.least(F.floor(10 * decades), F.lit(600)).cast("int")).alias("bin"))
 
     return F.transform(F.transform(F.transform(found, prepared), counted), tested)

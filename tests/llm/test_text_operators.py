@@ -180,6 +180,26 @@ def test_random_strings_are_found_and_written_ones_are_not(spark):
     assert secrets.with_secrets(df.limit(0), "t").count() == 0
 
 
+def test_keys_without_digits_and_dotted_tokens_are_found(spark):
+    rng = np.random.default_rng(11)
+    low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    key = lambda letters, n: "".join(rng.choice(list(letters), n))
+    url = low + up + "0123456789-_"
+    letters = [key(low + up, n) for n in (20, 24, 32, 40) for _ in range(10)] + [key(low, 40) for _ in range(10)]
+    dotted = [f"SG.{key(url, 22)}.{key(url, 43)}" for _ in range(20)]
+    assigned = [f"aws.secret_access_key={key(low + up + '0123456789+/', 40)}" for _ in range(20)]
+    host = [f"user@{key(low + up + '0123456789', 40)}" for _ in range(10)]
+    words = "the committee of long reports publishes general information about responsible accounting and international trade".split()
+    slugs = [f(rng.choice(words, 5)) for _ in range(60) for f in ("-".join, "_".join, "/".join, "".join, lambda w: "".join(x.title() for x in w))]
+    texts = letters + dotted + assigned + host + slugs
+    df = spark.createDataFrame([(k, f"see {t} here") for k, t in enumerate(texts)], "k int, t string")
+    for r in secrets.with_secrets(df, "t").collect():
+        found = [r.t[s.start:s.end] for s in r.secrets if s.kind == 3]
+        t = texts[r.k]
+        want = t.split(".")[1:] if t in dotted else [re.split("[=@]", t)[-1]] if t in assigned + host else [t] * (t in letters)
+        assert found == want, t
+
+
 def test_quality_held_out_accuracy(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     rows = queries.QUERIES["op5_quality"](spark, "/root/testdata/sf0.01").collect()
