@@ -12,8 +12,8 @@ from evidloom.plans.sql import has_word, lit, query
 from evidloom.session import stored
 from evidloom.sources.tables import table
 
-# Model sizes for the registered queries; the operators default to the full sizes.
-TREES, ROUNDS = 20, 5
+# Rounds of the regularised boosting; the forest and the plain boosting have the operators' own sizes.
+STRICT_ROUNDS = 150
 
 
 def drop_label(spark, folder):
@@ -55,14 +55,14 @@ def _prepared(spark, folder):
 
 
 def _forest(train):
-    model = ln.fit_forest(train, trees=TREES)
+    model = ln.fit_forest(train)
     return lambda df: model.transform(df).withColumn("forest", vector_to_array("forest_p")).drop(
         "forest_p", "forest_raw", "forest_label")
 
 
 def _boosting(train, **options):
     classes = train.agg(F.max("label_index")).first()[0]
-    return ln.fit_ovr_gbt(train, int(classes) + 1, rounds=ROUNDS, **options).transform
+    return ln.fit_ovr_gbt(train, int(classes) + 1, **options).transform
 
 
 def _predicted(df, scores):
@@ -83,7 +83,7 @@ def gbt_predict(spark, folder):
 def _ensemble(train):
     """Forest, boosting and regularised boosting, averaged."""
     forest, plain = _forest(train), _boosting(train)
-    strict = _boosting(train, depth=5, min_gain=0.01, subsample=1.0, subset="all", min_leaf=1, out="reg_p")
+    strict = _boosting(train, rounds=STRICT_ROUNDS, depth=5, min_gain=0.01, subsample=1.0, subset="all", min_leaf=1, out="reg_p")
     return lambda df: ln.soft_vote(strict(plain(forest(df))), ["forest", "gbt_p", "reg_p"])
 
 
