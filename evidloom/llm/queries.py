@@ -10,7 +10,7 @@ from evidloom.llm.ngram_join import ngram_components
 from evidloom.llm.packing import pack
 from evidloom.llm.personal_data import with_personal_data
 from evidloom.llm.quality import held_out, train, with_quality
-from evidloom.llm.token_counts import prefix_counts
+from evidloom.llm.token_counts import stored_counts
 from evidloom.llm.training_order import materialise
 from evidloom.llm.vector_dedup import vector_components
 from evidloom.llm.warc import archive_round_trip
@@ -72,7 +72,8 @@ def embedding_dedup(spark, folder):
 
 
 def token_counts(spark, folder):
-    counted = prefix_counts(_read(spark, folder, "documents"), "doc_id", "text", store=False)
+    """Counts at every prefix, stored; the answers are read from them."""
+    counted = stored_counts(_read(spark, folder, "documents"), "doc_id", "text").drop("prefix")
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from evidloom.llm.bpe import SPACE, Encoder, Pieces, WordStore, default_tokenizer, encoder, gather
+from evidloom.llm.storage import stored
 from evidloom.llm.textarrays import buffers
 from evidloom.llm.workers import key_and_text, map_slices, worker_state
 from evidloom.shipping import ship_by_value
@@ -164,10 +165,24 @@ def prefix_counter(path: str) -> PrefixCounter:
     return state["prefixes", path]
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Steps from each count to the next, in one byte each, or in four behind a first byte of 4 where one is too large."""
+    steps = np.diff(counts, prepend=0)
+    if not len(steps):
+        return b""
+    small = steps.min() >= -128 and steps.max() <= 127
+    return b"\x01" + steps.astype("i1").tobytes() if small else b"\x04" + steps.astype("<i4").tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    """The counts of ``packed``."""
+    return np.cumsum(np.frombuffer(blob, "i1" if blob[:1] == b"\x01" else "<i4", offset=min(1, len(blob))), dtype=np.int64)
+
+
 def prefix_counts(df: DataFrame, key: str, text: str, path: str | None = None, store: bool = True) -> DataFrame:
     """(key, n_bytes, n_tokens, prefix) of every whole text.
 
-    ``prefix`` holds one little-endian 32-bit count for each code point; it is left out with ``store=False``. A null or
+    ``prefix`` holds the counts at all code points, as ``packed``; it is left out with ``store=False``. A null or
     empty text has no bytes, no tokens and an empty ``prefix``; rows with null or repeated keys give a row each; further
     columns are not read. ``path`` names the tokenizer file, present on every executor.
     """
@@ -181,8 +196,7 @@ def prefix_counts(df: DataFrame, key: str, text: str, path: str | None = None, s
         totals = np.append(counts, 0)[offsets[1:] - 1] * (np.diff(offsets) > 0)
         out = {"key": batch.column(0), "n_bytes": np.diff(byte_offsets), "n_tokens": totals.astype(np.int64)}
         if store:
-            flat = counts.astype("<u4")
-            out["prefix"] = pa.array([flat[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
+            out["prefix"] = pa.array([packed(counts[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
         return out
 
     fields = [StructField("key", rows.schema["key"].dataType), StructField("n_bytes", LongType()),
@@ -190,12 +204,22 @@ def prefix_counts(df: DataFrame, key: str, text: str, path: str | None = None, s
     return map_slices(rows, "text", step, StructType(fields)).withColumnRenamed("key", key)
 
 
+def stored_counts(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
+    """(key, n_bytes, n_tokens, prefix) read back from a table in the shared folder; n_tokens is the last stored count."""
+    @F.pandas_udf("long")
+    def total(prefix):
+        return prefix.map(lambda blob: int(unpacked(blob)[-1]) if blob else 0).astype("int64")
+
+    table = stored(prefix_counts(df, key, text, path).drop("n_tokens"), "prefixes")
+    return table.select(key, "n_bytes", total("prefix").alias("n_tokens"), "prefix")
+
+
 def truncation_points(counted: DataFrame, budget: int) -> DataFrame:
     """Adds ``keep_chars``: code points of the longest prefix of at most ``budget`` tokens, from the stored counts."""
     @F.pandas_udf("long")
     def longest(prefix):
         def one(blob):
-            fits = np.flatnonzero(np.frombuffer(blob, "<u4") <= budget)
+            fits = np.flatnonzero(unpacked(blob) <= budget)
             return int(fits[-1]) + 1 if len(fits) else 0
         return prefix.map(one)
 

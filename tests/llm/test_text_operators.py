@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from evidloom.llm import bpe, personal_data, queries, secrets, token_counts
+from evidloom.llm import bpe, personal_data, queries, secrets, storage, token_counts
 from evidloom.llm.decontamination import with_benchmark_hits
 from evidloom.llm.quality import Model, features, held_out, with_quality
 from evidloom.llm.token_counts import prefix_counts, truncation_points
@@ -62,6 +62,31 @@ def test_truncation_reads_stored_counts(spark, encoder):
     assert got == {1: len("one two"), 2: 0, 3: 0, None: 3}
 
 
+def test_op8_stores_the_count_at_every_prefix(spark, encoder, monkeypatch):
+    folders = []
+
+    def kept_folder(df, name):
+        folders.append(storage.stored(df, name))
+        return folders[-1]
+
+    monkeypatch.setattr(token_counts, "stored", kept_folder)
+    rows = {r.doc_id: r.n_tokens for r in queries.QUERIES["op8_token_counts"](spark, DATA).collect()}
+    assert len(folders) == 1 and all("/evidloom-prefixes-" in f for f in folders[0].inputFiles())
+    kept = folders[0].withColumnRenamed("key", "doc_id").collect()
+    texts = {r[0]: r[1] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    assert len(kept) == len(rows) == len(texts)
+    for r in kept:
+        counts, text = token_counts.unpacked(r.prefix), texts[r.doc_id]
+        assert len(counts) == len(text) and (counts[-1] if text else 0) == rows[r.doc_id]
+        for n in {1, len(text) // 3, len(text) // 2} - {0} if text else ():
+            assert counts[n - 1] == len(encoder.tokenizer.encode(text[:n], add_special_tokens=False).ids)
+
+
+def test_packed_counts_come_back():
+    for counts in ([], [1], [1, 1, 2, 1], [1, 500, 2], list(range(1, 400))):
+        assert token_counts.unpacked(token_counts.packed(np.array(counts, np.int64))).tolist() == counts
+
+
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
