@@ -19,11 +19,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that links join; documents without an id stay."""
+    """The document with the smallest id of each group that links join, and one row of equal rows.
+
+    Rows with the same id and text are one document, also where the id is null: the row whose columns come first in order
+    is kept. Rows with the same id and other texts stay; rows without an id are compared for equal texts only, and only
+    among themselves.
+    """
     found = ngram_components(docs)
     gone = stored(found.where("component_id != doc_id").select("doc_id").distinct(), "gone")
     small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*_columns(docs))
+    return _one_of_equal(docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*_columns(docs)))
+
+
+def _one_of_equal(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row for each id and text. Only ids and digests of all rows are shuffled, and whole rows of repeats."""
+    digest = F.sha2("text", 256)
+    keys = docs.select(F.col("doc_id").alias("__id"), digest.alias("__digest"))
+    repeats = stored(keys.groupBy("__id", "__digest").count().where("count > 1").drop("count"), "repeats")
+    held = F.broadcast(repeats) if repeats.count() <= BROADCAST_IDS else repeats
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & digest.eqNullSafe(F.col("__digest"))
+    first = docs.join(held, same).groupBy("__id", "__digest").agg(F.min(F.struct(*_columns(docs))).alias("__row"))
+    return docs.join(held, same, "left_anti").unionByName(first.select("__row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

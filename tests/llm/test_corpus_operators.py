@@ -255,6 +255,26 @@ def test_pipeline_stages(spark):
     assert {(r.doc_id, r.piece, r.ids_crc32) for r in corpus_pipeline.run(spark, DATA).collect()} == want
 
 
+def test_near_copies_against_brute_force_with_repeated_and_null_ids(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randint(0, 300)}" for _ in range(80)) for _ in range(8)]
+    rows = [(k, t, "a") for k, t in enumerate(texts[:6])]
+    rows += [(0, texts[0], "b"), (0, texts[0], "a"), (1, texts[6], "a"), (8, texts[2] + " more", "a"), (8, texts[2] + " more", "a"), (9, None, "a"), (9, None, "a")]
+    rows += [(None, t, x) for t in (texts[7], texts[3], None, "") for x in "cab"]
+    rng.shuffle(rows)
+    keys = [(r[0], k) for k, r in enumerate(rows) if r[0] is not None]
+    sets = {k: shingles(rows[k[1]][1]) for k in keys}
+    links = [(a, b) for a in keys for b in keys if a < b and (a[0] == b[0] or sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))]
+    top, want = tops(keys, links), {}
+    for k, r in enumerate(rows):
+        if r[0] is None or top[r[0], k][0] == r[0]:
+            want[r[:2]] = min(want.get(r[:2], r[2]), r[2])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [tuple(r) for r in corpus_pipeline.near_copies(spark, docs, DATA).collect()]
+    assert sorted(got, key=str) == sorted([(*k, v) for k, v in want.items()], key=str) and len(got) < len(rows) - 10
+
+
 def test_arrow_slices_keep_all_rows():
     from evidloom.llm.workers import slices
     import pyarrow.compute  # noqa: F401
