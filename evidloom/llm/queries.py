@@ -9,7 +9,9 @@ from evidloom.llm.decontamination import with_benchmark_hits
 from evidloom.llm.ngram_join import ngram_components
 from evidloom.llm.packing import pack
 from evidloom.llm.personal_data import with_personal_data
+from evidloom.llm.prefix_trie import conversation_trie
 from evidloom.llm.quality import held_out, train, with_quality
+from evidloom.llm.resampling import importance_resample
 from evidloom.llm.token_counts import stored_counts
 from evidloom.llm.training_order import materialise
 from evidloom.llm.vector_dedup import vector_components
@@ -85,10 +87,20 @@ def best_fit_packing(spark, folder):
     return pack(_read(spark, folder, "documents"), "doc_id", "text")
 
 
+def prefix_trie(spark, folder):
+    return conversation_trie(_read(spark, folder, "conversations"))
+
+
+def importance_resampling(spark, folder):
+    docs = _read(spark, folder, "documents").select("doc_id", "text")
+    return importance_resample(docs, _read(spark, folder, "benchmark")).drop("n_words")
+
+
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard, "op2_secret_scan": secret_scan, "op3_decontaminate": decontaminate,
     "op4_personal_data": personal_data, "op5_quality": quality_scores, "op6_warc": warc_round_trip,
     "op7_embedding_dedup": embedding_dedup, "op8_token_counts": token_counts, "op9_training_shards": training_shards,
-    "op10_best_fit_packing": best_fit_packing,
+    "op10_best_fit_packing": best_fit_packing, "op12_prefix_trie": prefix_trie,
+    "op13_importance_resampling": importance_resampling,
 }
 ORACLE: dict[str, str] = {}
