@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidloom.llm import secrets as sec
+from evidloom.llm import toxicity
 from evidloom.llm.decontamination import with_benchmark_hits
 from evidloom.llm.ngram_join import ngram_components
 from evidloom.llm.packing import pack
@@ -18,6 +19,7 @@ from evidloom.llm.vector_dedup import vector_components
 from evidloom.llm.warc import archive_round_trip
 
 TOKEN_LIMIT = 512
+TOXIC_FROM = 0.3
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -87,6 +89,13 @@ def best_fit_packing(spark, folder):
     return pack(_read(spark, folder, "documents"), "doc_id", "text")
 
 
+def toxicity_scores(spark, folder):
+    docs = _read(spark, folder, "documents").select("doc_id", "text")
+    scored = toxicity.with_toxicity(docs, "text", toxicity.train(docs, _read(spark, folder, "labels")))
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
+                         (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def prefix_trie(spark, folder):
     return conversation_trie(_read(spark, folder, "conversations"))
 
@@ -100,7 +109,7 @@ QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard, "op2_secret_scan": secret_scan, "op3_decontaminate": decontaminate,
     "op4_personal_data": personal_data, "op5_quality": quality_scores, "op6_warc": warc_round_trip,
     "op7_embedding_dedup": embedding_dedup, "op8_token_counts": token_counts, "op9_training_shards": training_shards,
-    "op10_best_fit_packing": best_fit_packing, "op12_prefix_trie": prefix_trie,
-    "op13_importance_resampling": importance_resampling,
+    "op10_best_fit_packing": best_fit_packing, "op11_toxicity": toxicity_scores,
+    "op12_prefix_trie": prefix_trie, "op13_importance_resampling": importance_resampling,
 }
 ORACLE: dict[str, str] = {}
