@@ -1,12 +1,10 @@
 """Batch classification: encoding, exact stratified split, noise, ensemble, metrics, attribution."""
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,9 +81,9 @@ def with_vector(df: DataFrame, values: str, out: str = "vector") -> DataFrame:
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Add the balanced class weight n / (classes * class count)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    everything = Window.partitionBy()
-    counts = counts.withColumn(out, F.sum("_c").over(everything) / (F.count(F.lit(1)).over(everything) * F.col("_c")))
-    return df.join(broadcast_if_small(counts.drop("_c")), label)
+    whole = counts.agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_k"))
+    counts = counts.join(F.broadcast(whole)).select(label, (F.col("_n") / (F.col("_k") * F.col("_c"))).alias(out))
+    return df.join(broadcast_if_small(counts), label)
 
 
 def fit_forest(train: DataFrame, label: str = "label_index", features: str = "vector", trees: int = 150,
@@ -98,48 +96,6 @@ def fit_forest(train: DataFrame, label: str = "label_index", features: str = "ve
     return Pipeline(stages=[forest]).fit(class_weights(train, label))
 
 
-@dataclass
-class OneVsRestBoosting:
-    """One boosted model per class; the positive probabilities of the classes are normalised."""
-
-    models: list[Transformer]
-    out: str
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        columns = df.columns
-        for i, model in enumerate(self.models):
-            df = model.transform(df).withColumn(f"_p{i}", F.get(vector_to_array(f"{self.out}_prob"), 1)).drop(
-                f"{self.out}_prob", f"{self.out}_raw", f"{self.out}_one")
-        parts = [F.col(f"_p{i}") for i in range(len(self.models))]
-        total = sum(parts[1:], parts[0])
-        scores = F.array(*[p / total for p in parts])
-        return df.select(*columns, *parts).withColumn(self.out, scores).drop(*[f"_p{i}" for i in range(len(parts))])
-
-    def save(self, path: str) -> None:
-        for i, model in enumerate(self.models):
-            model.write().overwrite().save(f"{path}/class_{i}")
-
-
-def fit_ovr_gbt(train: DataFrame, classes: int, label: str = "label_index", features: str = "vector",
-                rounds: int = 200, step: float = 0.05, depth: int = 4, min_leaf: int = 10, subsample: float = 0.8,
-                min_gain: float = 0.0, subset: str = "sqrt", out: str = "gbt_p",
-                seed: int = fv.SPLIT_SEED) -> OneVsRestBoosting:
-    """Gradient boosting for several classes, one against the rest (the library's own is binary).
-
-    ``min_gain`` stands for the split-loss penalty of the regularised variant; an L2 term on leaves is not available.
-    """
-    models = []
-    for i in range(classes):
-        binary = train.withColumn("_y", (F.col(label) == i).cast("double"))
-        booster = GBTClassifier(
-            labelCol="_y", featuresCol=features, maxIter=rounds, stepSize=step, maxDepth=depth,
-            minInstancesPerNode=min_leaf, subsamplingRate=subsample, minInfoGain=min_gain,
-            featureSubsetStrategy=subset, seed=seed, predictionCol=f"{out}_one")
-        booster.setProbabilityCol(f"{out}_prob").setRawPredictionCol(f"{out}_raw")
-        models.append(booster.fit(binary))
-    return OneVsRestBoosting(models, out)
-
-
 def soft_vote(df: DataFrame, members: list[str], out: str = "vote") -> DataFrame:
     """Add the mean of the members' class probabilities and its first largest class."""
     scored = df.withColumn(f"{out}_p", mean_scores([F.col(m) for m in members]))

@@ -1,20 +1,22 @@
 """Registered queries for batch classification on the document feature matrix, and score functions on embeddings."""
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from evidloom import fixed_values as fv
 from evidloom.functions import vectors as vc
+from evidloom.functions.scalars import display_name
 from evidloom.operators import learning as ln
+from evidloom.operators.boosting import PLAIN, REGULARISED, fit_boosting, tree_attribution
+from evidloom.operators.ensemble import fit_voting
 from evidloom.plans import fixtures as fx
 from evidloom.plans.sql import has_word, lit, query
 from evidloom.session import stored
 from evidloom.sources.tables import table
 
-# Rounds of the regularised boosting; the forest and the plain boosting have the operators' own sizes.
-STRICT_ROUNDS = 150
-
 
 def drop_label(spark, folder):
     return ln.drop_label(fx.feature_matrix(spark, folder), "label", "es").select(
@@ -60,9 +62,9 @@ def _forest(train):
         "forest_p", "forest_raw", "forest_label")
 
 
-def _boosting(train, **options):
-    classes = train.agg(F.max("label_index")).first()[0]
-    return ln.fit_ovr_gbt(train, int(classes) + 1, **options).transform
+def _boosted(train, cfg):
+    classes = int(train.agg(F.max("label_index")).first()[0]) + 1
+    return fit_boosting(train, "values", "label_index", classes, cfg)
 
 
 def _predicted(df, scores):
@@ -77,29 +79,50 @@ def rf_predict(spark, folder):
 
 def gbt_predict(spark, folder):
     train, test = _prepared(spark, folder)
-    return _predicted(_boosting(train)(test), "gbt_p")
+    return _predicted(test.withColumn("p", _boosted(train, PLAIN).probabilities("values")), "p")
 
 
-def _ensemble(train):
-    """Forest, boosting and regularised boosting, averaged."""
-    forest, plain = _forest(train), _boosting(train)
-    strict = _boosting(train, rounds=STRICT_ROUNDS, depth=5, min_gain=0.01, subsample=1.0, subset="all", min_leaf=1, out="reg_p")
-    return lambda df: ln.soft_vote(strict(plain(forest(df))), ["forest", "gbt_p", "reg_p"])
+def reg_predict(spark, folder):
+    train, test = _prepared(spark, folder)
+    return _predicted(test.withColumn("p", _boosted(train, REGULARISED).probabilities("values")), "p")
 
 
 def soft_vote(spark, folder):
     train, test = _prepared(spark, folder)
-    return _predicted(_ensemble(train)(test), "vote_p")
+    model = fit_voting(train, "label", fx.FEATURE_WORDS, [])
+    return _predicted(model.transform(test.drop("values", "vector")), "vote_p")
 
 
-def occlusion_impact(spark, folder):
+def _explained(spark, folder):
+    """Regularised model, and test rows with the class it finds most likely."""
     train, test = _prepared(spark, folder)
-    score = _boosting(train)
-    picked = score(test).withColumn("target", vc.argmax(F.col("gbt_p"))).select("doc_id", "values", "target")
-    return ln.occlusion_impact(lambda df: score(df).withColumn("score", F.col("gbt_p")), picked, "doc_id", "values",
+    model = _boosted(train, REGULARISED)
+    return model, stored(test.withColumn("target", vc.argmax(model.probabilities("values"))).select("doc_id", "values", "target"), "explained")
+
+
+def occlusion_impact(spark, folder):
+    model, picked = _explained(spark, folder)
+    return ln.occlusion_impact(lambda df: df.withColumn("score", model.probabilities("values")), picked, "doc_id", "values",
                                fx.FEATURE_WORDS, "target")
 
 
+def attribution(spark, folder):
+    model, picked = _explained(spark, folder)
+    return tree_attribution(picked, model, ["doc_id"], "values", "target", fx.FEATURE_WORDS).withColumn(
+        "feature", display_name(F.col("feature")))
+
+
+# Rounds whose trees are compared node by node with SQL; they do not depend on the rounds after them.
+TREE_ROUNDS = 2
+
+
+def boosted_trees(spark, folder):
+    """Every node of the first rounds of the regularised model: split feature, gain, hessian sum and leaf value."""
+    train, _ = _prepared(spark, folder)
+    nodes = _boosted(train, replace(REGULARISED, rounds=TREE_ROUNDS)).node_table(spark)
+    return nodes.select("round", "class", "node", "feature", *[(F.round(c, 6) + 0.0).alias(c) for c in ("gain", "cover", "value")])
+
+
 def _scores(spark, folder):
     """Class probabilities: squared embedding values over their sum."""
     squares = F.transform("embedding", lambda x: x.cast("double") * x.cast("double"))
@@ -159,6 +182,51 @@ _P = [("sq", "SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * x::
       ("probs", "SELECT vec_id, list_transform(s, lambda x: x / list_reduce(s, lambda a, b: a + b)) AS p FROM sq")]
 _LONGS = "array_to_string(list_transform({0}, lambda x: round(x * 1000000, 0)::BIGINT::VARCHAR), ',')"
 
+def _tree_sql() -> str:
+    """First rounds of second-order boosting, level by level: softmax, sums by node and feature, best split, leaves."""
+    cfg = REGULARISED
+    words = "[" + ", ".join(lit(w) for w in fx.FEATURE_WORDS) + "]"
+    ctes = [f"{n} AS ({b})" for n, b in SPLIT] + [
+        f"numbered AS (SELECT *, dense_rank() OVER (ORDER BY label) - 1 AS y FROM split)",
+        f"classes AS (SELECT DISTINCT y AS k FROM numbered)",
+        f"xs AS (SELECT doc_id, y, features FROM numbered WHERE NOT is_test)",
+        f"fs AS (SELECT unnest(range(len({words}))) AS f)",
+        f"bits AS (SELECT doc_id, f FROM xs, fs WHERE list_contains(features, {words}[f + 1]))",
+        f"score0 AS (SELECT doc_id, k, y, 0.0::DOUBLE AS s FROM xs, classes)",
+    ]
+    out = []
+    for r in range(TREE_ROUNDS):
+        ctes += [f"p{r} AS (SELECT doc_id, k, y, s, exp(s) / sum(exp(s)) OVER (PARTITION BY doc_id) AS p FROM score{r})",
+                 f"g{r} AS (SELECT doc_id, k, s, p - (y = k)::INT AS g, 2 * p * (1 - p) AS h FROM p{r})",
+                 f"at{r}_0 AS (SELECT *, 1 AS node FROM g{r})"]
+        for d in range(cfg.depth + 1):
+            here = f"at{r}_{d}"
+            low = 1 << d
+            ctes.append(f"node{r}_{d} AS (SELECT k, node, sum(g) AS g, sum(h) AS h, count(*) AS n FROM {here} WHERE node >= {low} GROUP BY k, node)")
+            if d == cfg.depth:
+                ctes.append(f"best{r}_{d} AS (SELECT k, node, 0 AS f, 0.0 AS gain FROM node{r}_{d} WHERE false)")
+                break
+            ctes += [
+                f"one{r}_{d} AS (SELECT k, node, f, sum(g) AS g1, sum(h) AS h1, count(*) AS n1 FROM {here} JOIN bits USING (doc_id) "
+                f"WHERE node >= {low} GROUP BY k, node, f)",
+                f"gain{r}_{d} AS (SELECT k, node, f, round(g1 * g1 / (h1 + {cfg.l2}) + (g - g1) * (g - g1) / (h - h1 + {cfg.l2}) - g * g / "
+                f"(h + {cfg.l2}), 9) AS gain FROM one{r}_{d} JOIN node{r}_{d} USING (k, node) WHERE n1 < n AND h1 >= {cfg.min_weight} AND "
+                f"h - h1 >= {cfg.min_weight})",
+                f"best{r}_{d} AS (SELECT * FROM gain{r}_{d} WHERE gain >= {cfg.min_gain} QUALIFY row_number() OVER (PARTITION BY k, node "
+                "ORDER BY gain DESC, f) = 1)",
+                f"at{r}_{d + 1} AS (SELECT a.doc_id, a.k, a.s, a.g, a.h, CASE WHEN b.f IS NULL THEN a.node ELSE 2 * a.node + (x.f IS NOT NULL)::INT "
+                f"END AS node FROM {here} a LEFT JOIN best{r}_{d} b USING (k, node) LEFT JOIN bits x ON x.doc_id = a.doc_id AND x.f = b.f)"]
+        every = " UNION ALL ".join(
+            f"SELECT n.k, n.node, coalesce(b.f, -1) AS feature, coalesce(b.gain, 0.0) AS gain, n.h AS cover, CASE WHEN b.f IS NULL THEN -n.g / "
+            f"(n.h + {cfg.l2}) * {cfg.step} ELSE 0.0 END AS value FROM node{r}_{d} n LEFT JOIN best{r}_{d} b USING (k, node)"
+            for d in range(cfg.depth + 1))
+        ctes += [f"tree{r} AS ({every})",
+                 f"score{r + 1} AS (SELECT a.doc_id, a.k, p.y, a.s + t.value AS s FROM at{r}_{cfg.depth} a JOIN tree{r} t USING (k, node) "
+                 f"JOIN p{r} p USING (doc_id, k))"]
+        out.append(f"SELECT {r} AS round, k AS class, node, feature, round(gain, 6) + 0.0 AS gain, round(cover, 6) + 0.0 AS cover, round(value, 6) + 0.0 AS value FROM tree{r}")
+    return "WITH " + ",\n".join(ctes) + "\n" + " UNION ALL ".join(out)
+
+
 QUERIES = {
     "drop_label": drop_label,
     "label_index": label_index,
@@ -167,13 +235,17 @@ QUERIES = {
     "weighted_metrics": weighted_metrics,
     "rf_predict": rf_predict,
     "gbt_predict": gbt_predict,
+    "reg_predict": reg_predict,
     "soft_vote": soft_vote,
     "occlusion_impact": occlusion_impact,
+    "tree_attribution": attribution,
+    "boosted_trees": boosted_trees,
     "softmax_rescale": softmax_rescale,
     "mask_renorm": mask_renorm,
     "vote_mean": vote_mean,
 }
 ORACLE = {
+    "boosted_trees": _tree_sql(),
     "drop_label": query(MATRIX, "SELECT doc_id, label, array_to_string(features, ',') AS features FROM matrix WHERE "
                                 "label IS DISTINCT FROM 'es'"),
     "label_index": "SELECT doc_id, lang AS label, dense_rank() OVER (ORDER BY lang) - 1 AS label_index FROM documents",

@@ -5,7 +5,6 @@ from conftest import DATA
 
 from evidloom.plans.registry import ORACLE, QUERIES
 
-SLOW = {"soft_vote", "occlusion_impact", "gbt_predict"}
 # Results that are empty on the smallest tables.
 MAY_BE_EMPTY = {"uncovered_topics", "fallback_candidates"}
 
@@ -20,6 +19,6 @@ def test_query_equals_sql(spark, name):
     assert diff == "" or (name in MAY_BE_EMPTY and diff == "both sides are empty")
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLE and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLE])
 def test_query_gives_rows(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0

@@ -250,24 +250,3 @@ def test_registered_plans_have_no_cross_join(spark):
     for name in ("topic_profile", "eligibility_matrix", "kb_flat", "relaxed_lookup", "fuzzy_best_match", "cart_adjust"):
         plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
-
-
-def test_registered_models_are_of_full_size(spark, monkeypatch):
-    sizes = []
-    forest, booster = ln.RandomForestClassifier.fit, ln.GBTClassifier.fit
-
-    def small_forest(self, df):
-        sizes.append(("trees", self.getNumTrees(), self.getMaxDepth()))
-        return forest(self.copy({self.numTrees: 1}), df)
-
-    def small_booster(self, df):
-        sizes.append(("rounds", self.getMaxIter(), self.getMaxDepth()))
-        return booster(self.copy({self.maxIter: 1}), df)
-
-    monkeypatch.setattr(ln.RandomForestClassifier, "fit", small_forest)
-    monkeypatch.setattr(ln.GBTClassifier, "fit", small_booster)
-    for name in ("rf_predict", "gbt_predict", "soft_vote", "occlusion_impact"):
-        QUERIES[name](spark, DATA)
-    forests, plain, strict = ("trees", 150, 8), ("rounds", 200, 4), ("rounds", 150, 5)
-    assert set(sizes) == {forests, plain, strict}
-    assert sizes.count(forests) == 2 and sizes.count(plain) == 3 * sizes.count(strict) > 0
