@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from evidloom.llm.columns import carried
 from evidloom.llm.textarrays import LOWER, Words, buffers, mix, separators
 from evidloom.llm.workers import in_arrow, slices
 from evidloom.shipping import ship_by_value
@@ -157,8 +158,8 @@ def benchmark_sets(benchmark: DataFrame, item: str, text: str, size: int) -> lis
             ids.clear()
             texts.clear()
 
-    for r in rows.where("t is not null").toLocalIterator(prefetchPartitions=False):
-        ids.append(r["i"] if r["i"] is not None else "")
+    for r in rows.where("i is not null and t is not null").toLocalIterator(prefetchPartitions=False):
+        ids.append(r["i"])
         texts.append(r["t"])
         n += r["t"].count(" ") + 1
         if n >= WINDOWS_PER_SET:
@@ -172,7 +173,7 @@ def with_benchmark_hits(df: DataFrame, text: str, benchmark: DataFrame, item: st
                         item_text: str = "text", size: int = WINDOW, prefix: str = "") -> DataFrame:
     """``df`` with n_words, n_hit, n_items, items_sha256 and contaminated (names after ``prefix``); nothing is shuffled.
 
-    A null or empty text has no words and no hits; an empty benchmark hits nothing; items without words are ignored;
+    A null or empty text has no words and no hits; an empty benchmark hits nothing; items without words or without id are ignored;
     items of one id count once; added columns replace columns of the same name. A benchmark beyond WINDOWS_PER_SET
     windows is searched in several sets, one after another for each slice of texts, so that one set's tables are in memory.
     """
@@ -181,11 +182,10 @@ def with_benchmark_hits(df: DataFrame, text: str, benchmark: DataFrame, item: st
     sets = [df.sparkSession.sparkContext.broadcast(s) for s in benchmark_sets(benchmark, item, item_text, size)]
     names = [f"{prefix}{n}" for n in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")]
     types = ["long", "long", "long", "string", "boolean"]
-    kept = [c for c in df.columns if c not in names and c != "__text"]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = StructType([source.schema[c] for c in kept])
-    for n, t in zip(names, types):
-        schema = schema.add(n, t)
+    source = carried(df, names, F.col(f"`{text}`").cast("string").alias("text"))
+    schema = StructType([source.schema["row"]])
+    for k, t in enumerate(types):
+        schema = schema.add(f"v{k}", t)
 
     def run(batches):
         import pyarrow.compute  # noqa: F401
@@ -197,8 +197,8 @@ def with_benchmark_hits(df: DataFrame, text: str, benchmark: DataFrame, item: st
         for batch in batches:
             if len(sets) == 1 and not tables:
                 tables = [load(sets[0])]
-            for part in slices(batch, "__text"):
-                words = Words(*buffers(part.column(len(kept))), SEPARATOR)
+            for part in slices(batch, "text"):
+                words = Words(*buffers(part.column(1)), SEPARATOR)
                 hit, found = np.zeros(len(words.hash), bool), [set() for _ in range(part.num_rows)]
                 for table in tables or map(load, sets):
                     flags, pairs = table.hits(words)
@@ -209,11 +209,11 @@ def with_benchmark_hits(df: DataFrame, text: str, benchmark: DataFrame, item: st
                 n_hit = total[words.first[1:]] - total[words.first[:-1]]
                 digests = [hashlib.sha256(",".join(sorted(s)).encode()).hexdigest() for s in found]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:len(kept)], pa.array(words.count.astype(np.int64)), pa.array(n_hit.astype(np.int64)),
+                    [part.column(0), pa.array(words.count.astype(np.int64)), pa.array(n_hit.astype(np.int64)),
                      pa.array([len(s) for s in found], pa.int64()), pa.array(digests, pa.string()),
                      pa.array(n_hit > 0)], schema.fieldNames())
 
-    return in_arrow(source, run, schema)
+    return in_arrow(source, run, schema).select("row.*", *[F.col(f"v{k}").alias(n) for k, n in enumerate(names)])
 
 
 ship_by_value(__name__)

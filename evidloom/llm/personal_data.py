@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
+from evidloom.llm.columns import carried
 from evidloom.llm.workers import in_arrow, slices
 from evidloom.shipping import ship_by_value
 
@@ -27,11 +28,15 @@ KINDS = ["email", "ip", "card", "phone", "iban"]
 START = {"email": 0.8, "ip": 0.5, "card": 0.8, "phone": 0.6, "iban": 0.9}
 #: characters around a span that are searched for context words
 REACH = 40
-FOR = {"email": ["mail", "contact", "write to"], "ip": ["ip", "address", "host", "server"],
-       "card": ["card", "visa", "credit", "payment"], "phone": ["call", "phone", "tel", "mobile", "fax"],
-       "iban": ["iban", "account", "bank", "transfer"]}
-AGAINST = {"email": ["example"], "ip": ["version", "release", "section"], "card": ["isbn", "order", "serial"],
-           "phone": ["order", "total"], "iban": ["example"]}
+#: whole words near a span that speak for it and against it: English, German, French, Spanish
+FOR = {"email": {"mail", "email", "contact", "write", "kontakt", "courriel", "correo", "contacto"},
+       "ip": {"ip", "address", "host", "server", "adresse", "serveur", "servidor"},
+       "card": {"card", "visa", "credit", "payment", "karte", "kreditkarte", "carte", "tarjeta"},
+       "phone": {"call", "phone", "tel", "telephone", "mobile", "fax", "telefon", "handy", "téléphone", "teléfono"},
+       "iban": {"iban", "account", "bank", "transfer", "konto", "compte", "cuenta"}}
+AGAINST = {"email": {"example", "beispiel", "exemple", "ejemplo"}, "ip": {"version", "release", "section"},
+           "card": {"isbn", "order", "serial"}, "phone": {"order", "total"}, "iban": {"example", "beispiel", "exemple", "ejemplo"}}
+WORDS = re.compile(r"[^\W\d_]+")
 SPAN = StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType()),
                    StructField("score", DoubleType())])
 
@@ -88,9 +93,9 @@ def added_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
-    near = f"{text[max(0, start - REACH):start]} {text[end:end + REACH]}".lower()
+    near = set(WORDS.findall(f"{text[max(0, start - REACH):start]} {text[end:end + REACH]}".lower()))
     value = START[kind] + (0.1 if kind in ("card", "iban") else 0)
-    value += 0.2 * any(w in near for w in FOR[kind]) - 0.3 * any(w in near for w in AGAINST[kind])
+    value += 0.2 * bool(near & FOR[kind]) - 0.3 * bool(near & AGAINST[kind])
     return round(min(1.0, max(0.0, value)), 3)
 
 
@@ -100,23 +105,22 @@ def with_personal_data(df: DataFrame, text: str) -> DataFrame:
     Null and empty texts have no spans; rows are taken one by one, so keys may be null or repeated; a column named
     ``personal_data`` is replaced.
     """
-    kept = [c for c in df.columns if c != "personal_data"]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = StructType([source.schema[c] for c in kept]).add("personal_data", ArrayType(SPAN))
+    source = carried(df, ["personal_data"], F.col(f"`{text}`").cast("string").alias("text"))
+    schema = StructType([source.schema["row"]]).add("personal_data", ArrayType(SPAN))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches):
         import pyarrow.compute  # noqa: F401
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "text"):
                 found = []
-                for t in part.column(len(kept)).to_pylist():
+                for t in part.column(1).to_pylist():
                     t = t or ""
                     found.append([{"kind": k, "start": a, "end": b, "score": score(t, k, a, b)}
                                   for k, a, b in base_spans(t) + added_spans(t)])
-                yield pa.RecordBatch.from_arrays([*part.columns[:len(kept)], pa.array(found, kind)], schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], schema.fieldNames())
 
-    return in_arrow(source, run, schema)
+    return in_arrow(source, run, schema).select("row.*", "personal_data")
 
 
 ship_by_value(__name__)

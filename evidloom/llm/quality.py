@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from evidloom.llm.columns import carried
 from evidloom.llm.textarrays import Words, buffers, mix, separators
 from evidloom.llm.workers import give_back, in_arrow, slices
 from evidloom.shipping import ship_by_value
 
 WORD_SEPARATOR = separators((0x00, 0x20))
-#: labelled documents of each class that the classifier is fitted on at most, and bytes of text of the sample
+#: labelled documents of each class that the classifier is fitted on at most, and bytes of text of the sample; a labelled
+#: text of more than a hundredth of these bytes (240,000) is not fitted on, so that no single one fills the sample
 SAMPLE_ROWS, SAMPLE_BYTES = 1_500, 24_000_000
 BUCKETS, DIM, EPOCHS, RATE, SHARED = 1 << 17, 12, 4, 0.2, 20.0
 #: gradient steps at least; a small sample is gone through more often
@@ -147,23 +149,22 @@ def with_quality(df: DataFrame, text: str, model: Model, score: str = "score") -
     """
     logit, bias = model.logits()
     sent = df.sparkSession.sparkContext.broadcast((logit, bias))
-    kept = [c for c in df.columns if c != score]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = StructType([source.schema[c] for c in kept]).add(score, "double")
+    source = carried(df, [score], F.col(f"`{text}`").cast("string").alias("text"))
+    schema = StructType([source.schema["row"]]).add("score", "double")
 
     def run(batches):
         import pyarrow.compute  # noqa: F401
         weights, base = sent.value
         for batch in batches:
-            for part in slices(batch, "__text", 500_000):
-                found, owner = features(part.column(len(kept)), len(weights))
+            for part in slices(batch, "text", 500_000):
+                found, owner = features(part.column(1), len(weights))
                 total = np.bincount(owner, weights[found], part.num_rows)
                 count = np.bincount(owner, minlength=part.num_rows)
                 z = total / np.maximum(count, 1) + base
-                yield pa.RecordBatch.from_arrays([*part.columns[:len(kept)], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))],
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))],
                                                  schema.fieldNames())
 
-    return in_arrow(source, run, schema)
+    return in_arrow(source, run, schema).select("row.*", F.col("score").alias(score))
 
 
 ship_by_value(__name__)

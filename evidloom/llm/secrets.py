@@ -15,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidloom.llm.columns import carried
+
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: the run of characters is matched whole, so asking for the least length in the pattern drops the same matches
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -37,23 +39,48 @@ LETTERS_REPEAT = 0.06
 #: added to the length class of candidates without a digit
 NO_DIGIT = 1000
 MASK = "[secret]"
+#: values of a block of a running sum, and spans from which a text is masked by its list of characters
+RUN, MANY = 64, 64
+_FAR = 2147483647
+
+
+def _let(value: Column, build) -> Column:
+    """``build`` of a value that is computed once, also where it stands inside a function of array elements."""
+    return F.get(F.transform(F.array(value), build), 0)
+
+
+def _running(values: Column, zero: int, op) -> Column:
+    """Array of ``op`` over all values up to each one. An array grows by copying, so this goes by blocks: about
+    n * RUN + (n / RUN)^2 copied values instead of n^2. ``values`` is not empty."""
+    none = F.expr("cast(array() as array<int>)")
+    last = lambda v: F.floor((F.size(v) - 1) / RUN).cast("int")
+    cut = _let(values, lambda v: F.transform(F.sequence(F.lit(0), last(v)), lambda k: F.slice(v, k * RUN + 1, RUN)))
+
+    def before(acc, x):
+        return F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def upto(acc, x):
+        now = op(acc["at"], x)
+        return F.struct(now.alias("at"), F.concat(acc["out"], F.array(now)).alias("out"))
+
+    def whole(blocks):
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(zero), op))
+        starts = F.aggregate(totals, F.struct(F.lit(zero).alias("at"), none.alias("out")), before)["out"]
+        return F.flatten(F.zip_with(blocks, starts, lambda b, s: F.aggregate(
+            b, F.struct(s.alias("at"), none.alias("out")), upto)["out"]))
+
+    return _let(cut, whole)
 
 
 def _matches(text: Column, pattern: str) -> Column:
     """(s, e, m) of all matches from left to right: code points, end exclusive."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-
-    def step(acc, x):
-        low = acc["at"] + F.length(x["p"])
-        high = low + F.length(x["m"])
-        return F.struct(high.alias("at"), F.concat(acc["out"], F.array(F.struct(
-            low.alias("s"), high.alias("e"), x["m"].alias("m")))).alias("out"))
-
     empty = F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
-                  ).otherwise(empty)
+    sizes = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda p, m: F.length(p) + F.length(m))
+    ends = _running(sizes, 0, lambda a, b: a + b)
+    return F.when(F.size(found) > 0, F.zip_with(ends, found, lambda e, m: F.struct(
+        (e - F.length(m)).alias("s"), e.alias("e"), m.alias("m")))).otherwise(empty)
 
 
 def _encoding(m: Column) -> Column:
@@ -152,23 +179,33 @@ def with_secrets(df: DataFrame, text: str, rate: float = RATE) -> DataFrame:
     ``secrets`` is replaced.
     """
     bins = discovery_bins(df, text, rate)
-    own = F.coalesce(F.col("__text"), F.lit(""))
-    kept = [F.col(f"`{c}`") for c in df.columns if c != "secrets"]
-    found = df.select(*kept, F.col(f"`{text}`").cast("string").alias("__text")).select(
-        *kept, F.filter(_matches(own, ASSIGN), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 6).alias("__a"),
-        _matches(own, ACCESS).alias("__b"), _matches(own, HEX).alias("__c"), _matches(own, CANDIDATE).alias("__d"))
+    own = F.coalesce(F.col("own"), F.lit(""))
+    found = carried(df, ["secrets"], F.col(f"`{text}`").cast("string").alias("own")).select(
+        "row", F.filter(_matches(own, ASSIGN), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 6).alias("a"),
+        _matches(own, ACCESS).alias("b"), _matches(own, HEX).alias("c"), _matches(own, CANDIDATE).alias("d"))
 
     def as_kind(column, kind):
         return F.transform(column, lambda x: F.struct(x["s"].alias("start"), F.lit(kind).alias("kind"), x["e"].alias("end")))
 
-    base = F.concat(*(as_kind(F.col(f"__{c}"), k) for k, c in enumerate("abc")))
+    base = F.concat(*(as_kind(F.col(c), k) for k, c in enumerate("abc")))
     least = F.expr("cast(map() as map<int,int>)") if not bins else F.create_map(
         *[F.lit(x) for pair in sorted(bins.items()) for x in pair])
-    accepted = F.filter(_battery(F.col("__d")), lambda x: x["bin"] >= F.coalesce(F.try_element_at(least, x["length_class"]), F.lit(601)))
-    added = F.when(F.size("__d") > 0, as_kind(accepted, 3)).otherwise(F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)"))
-    free = F.filter(F.col("__added"), lambda x: ~F.exists(F.col("__base"), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    return (found.withColumns({"__base": base, "__added": added})
-            .withColumn("secrets", F.array_sort(F.concat("__base", free))).drop("__a", "__b", "__c", "__d", "__base", "__added"))
+    accepted = F.filter(_battery(F.col("d")), lambda x: x["bin"] >= F.coalesce(F.try_element_at(least, x["length_class"]), F.lit(601)))
+    added = F.when(F.size("d") > 0, as_kind(accepted, 3)).otherwise(F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)"))
+    return (found.select("row", base.alias("base"), added.alias("added"))
+            .select("row", F.when(F.size("added") > 0, _free(F.col("base"), F.col("added"))).otherwise(F.array_sort("base")).alias("secrets"))
+            .select("row.*", "secrets"))
+
+
+def _free(base: Column, added: Column) -> Column:
+    """Base spans, and added ones that overlap none of them, in order: one pass over all from either side."""
+    spans = F.array_sort(F.concat(base, added))
+    is_base = lambda x: x["kind"] < 3
+    ends = _running(F.transform(spans, lambda x: F.when(is_base(x), x["end"]).otherwise(0)), 0, lambda a, b: F.greatest(a, b))
+    starts = F.reverse(_running(F.reverse(F.transform(spans, lambda x: F.when(is_base(x), x["start"]).otherwise(_FAR))), _FAR, lambda a, b: F.least(a, b)))
+    told = F.zip_with(F.zip_with(spans, ends, lambda x, e: F.struct(x.alias("x"), e.alias("e"))), starts,
+                      lambda t, s: F.struct(t["x"].alias("x"), ((t["x"]["kind"] < 3) | ((t["e"] <= t["x"]["start"]) & (s >= t["x"]["end"]))).alias("ok")))
+    return F.transform(F.filter(told, lambda t: t["ok"]), lambda t: t["x"])
 
 
 def span_text(spans: Column) -> Column:
@@ -180,11 +217,14 @@ def span_text(spans: Column) -> Column:
 
 def masked(text: Column, spans: Column) -> Column:
     """The text with each span, or run of overlapping spans, put as one mark."""
-    def step(acc, x):
-        apart = x["start"] >= acc["at"]
-        piece = F.when(apart, F.concat(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(MASK))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    upto = _running(F.transform(spans, lambda x: x["end"]), 0, lambda a, b: F.greatest(a, b))
+
+    def whole(part) -> Column:
+        pieces = F.zip_with(spans, F.slice(F.concat(F.array(F.lit(0)), upto), 1, F.size(spans)), lambda x, at: F.when(
+            x["start"] >= at, F.concat(part(at, x["start"] - at), F.lit(MASK))).otherwise(F.lit("")))
+        return F.concat(F.array_join(pieces, ""), part(F.element_at(upto, -1), F.length(text)))
+
+    few = whole(lambda at, n: F.substring(text, at + 1, n))
+    # cutting far into a text walks over all before it, so many cuts are made in a list of its characters
+    many = _let(F.split(text, ""), lambda chars: whole(lambda at, n: F.array_join(F.slice(chars, at + 1, n), "")))
+    return F.when(F.size(spans) > MANY, many).when(F.size(spans) > 0, few).otherwise(text)

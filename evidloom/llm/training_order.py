@@ -93,6 +93,8 @@ def in_training_order(df: DataFrame, key: str, text: str, stride: int = STRIDE,
     of each task's sequences reaches the driver. A task that finds other counts than the first time fails.
     """
     path = path or default_tokenizer()
+    if encoder(path).tokenizer.get_vocab_size() > 1 << 16:
+        raise ValueError("shards hold ids as 16-bit numbers; this vocabulary has more than 65,536")
     rows = key_and_text(df, key, text)
     counts = {r.part: r.n for r in sequence_counts(rows, stride, path).collect()}
     before, total = {}, 0

@@ -34,6 +34,12 @@ def rotation(dim: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; first divided by their largest component, so that squares neither overflow nor vanish."""
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1)[:, None]
+
+
 def table_sizes(n: int, threshold: float, recall: float) -> tuple[int, int]:
     """Signs for each table, and tables, so that a pair at the threshold shares a bucket with the chance ``recall``."""
     bits = min(24, max(4, math.ceil(math.log2(max(n, 1) / BUCKET + 1))))
@@ -92,15 +98,19 @@ def vector_components(df: DataFrame, key: str = "vec_id", vector: str = "embeddi
     """(key, n_links, component_id, kept) for every row of ``df``.
 
     Null, empty and zero vectors and those with null or non-finite components are linked with nothing; vectors of
-    different length are not compared. Rows with equal vectors are linked with one another. An empty table gives an
+    different length are not compared. Rows with equal vectors are linked with one another. Rows of one id are rows of their
+    own, whatever their vectors; a row without an id is linked with nothing and has a null component. An empty table gives an
     empty result; further columns are not read. ``recall`` is the chance to find a pair just at the threshold; closer
     pairs are found with a higher one. No link is below the threshold.
     """
     rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
     rows = rows.withColumn("ok", F.coalesce(F.expr(_valid("v")), F.lit(False)))
     rows = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(1)), "d": F.size("v")})
-    classes = stored(rows.where("ok and key is not null").groupBy("h1", "h2", "d")
-                     .agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")), "classes")
+    rows = rows.withColumn("ok", F.col("ok") & F.col("key").isNotNull())
+    # a class has a number of its own, as ids may repeat with other vectors
+    classes = stored(rows.where("ok").groupBy("h1", "h2", "d")
+                     .agg(F.min("key").alias("first"), F.count("*").alias("copies"), F.first("v").alias("v"))
+                     .withColumn("rep", F.monotonically_increasing_id()), "classes")
     bits, tables = table_sizes(classes.count(), threshold, recall)
 
     def tabled(batches):
@@ -111,7 +121,7 @@ def vector_components(df: DataFrame, key: str = "vec_id", vector: str = "embeddi
             for d in np.unique(dims):
                 part = batch.take(pa.array(np.flatnonzero(dims == d)))
                 v = part.column(3).flatten().to_numpy().reshape(-1, d)
-                codes = bucket_codes(v / np.linalg.norm(v, axis=1)[:, None], bits, tables)
+                codes = bucket_codes(unit(v), bits, tables)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3),
                                                   pa.array(list(codes))], ["rep", "copies", "d", "v", "codes"])
 
@@ -145,9 +155,12 @@ def vector_components(df: DataFrame, key: str = "vec_id", vector: str = "embeddi
                             "rep long, least long, n long"), "links")
     counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
     found = components(links.select(F.col("rep").alias("u"), F.col("least").alias("v"))).withColumnRenamed("id", "rep")
-    told = (classes.select("h1", "h2", "d", "rep", "copies").join(counts, "rep", "left").join(found, "rep", "left")
+    joined = stored(classes.select("rep", "first").join(found, "rep"), "joined")
+    least = joined.groupBy("component").agg(F.min("first").alias("least"))
+    joined = joined.join(least, "component").select("rep", "least")
+    told = (classes.select("h1", "h2", "d", "rep", "first", "copies").join(counts, "rep", "left").join(joined, "rep", "left")
             .select("h1", "h2", "d", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"),
-                    F.coalesce("component", "rep").alias("c"), F.lit(True).alias("ok")))
+                    F.coalesce("least", "first").alias("c"), F.lit(True).alias("ok")))
     return (rows.drop("v").join(told, ["h1", "h2", "d", "ok"], "left")
             .select("key", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
                     F.coalesce(F.when(F.col("key").isNotNull(), F.col("c")), "key").alias("component_id"))
@@ -168,7 +181,7 @@ def _search(current, held: list, threshold: float) -> pa.RecordBatch:
         v = side.column("v").combine_chunks().flatten().to_numpy().reshape(-1, d)
         codes = np.array(side.column("codes").to_pylist(), np.int64).reshape(side.num_rows, -1)[:, :t]
         sides.append((side.column("rep").to_numpy(), side.column("copies").to_numpy(), codes,
-                      v / np.linalg.norm(v, axis=1)[:, None]))
+                      unit(v)))
     (ra, ca, ka, va), (rb, cb, kb, vb) = sides
     turn = rotation(d, 7)
     reps, place = np.unique(np.concatenate([ra, rb]), return_inverse=True)

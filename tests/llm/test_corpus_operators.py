@@ -263,16 +263,39 @@ def test_near_copies_against_brute_force_with_repeated_and_null_ids(spark):
     rows += [(0, texts[0], "b"), (0, texts[0], "a"), (1, texts[6], "a"), (8, texts[2] + " more", "a"), (8, texts[2] + " more", "a"), (9, None, "a"), (9, None, "a")]
     rows += [(None, t, x) for t in (texts[7], texts[3], None, "") for x in "cab"]
     rng.shuffle(rows)
-    keys = [(r[0], k) for k, r in enumerate(rows) if r[0] is not None]
-    sets = {k: shingles(rows[k[1]][1]) for k in keys}
-    links = [(a, b) for a in keys for b in keys if a < b and (a[0] == b[0] or sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))]
-    top, want = tops(keys, links), {}
+    rows += [(20, texts[0] + " x", "a"), (20, "quite another text", "b"), (21, "quite another text", "c")]
+    sets = [shingles(r[1]) for r in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    top, best = tops(range(len(rows)), links), {}
     for k, r in enumerate(rows):
-        if r[0] is None or top[r[0], k][0] == r[0]:
-            want[r[:2]] = min(want.get(r[:2], r[2]), r[2])
+        best[top[k]] = min(best.get(top[k], (True, 99, 99)), (r[0] is None, r[0] or 0, k))
+    want = [rows[k] for *_, k in best.values()]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = [tuple(r) for r in corpus_pipeline.near_copies(spark, docs, DATA).collect()]
-    assert sorted(got, key=str) == sorted([(*k, v) for k, v in want.items()], key=str) and len(got) < len(rows) - 10
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) < len(rows) - 10
+    assert (20, "quite another text", "b") in got
+
+
+def test_vectors_of_any_size_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [0.1, 1.0]), (10, [1e200, 1e200]), (11, [1e-200, 1e-200]),
+            (12, [-1e300, 1e300]), (13, [-5e-310, 5e-310]), (None, [1.0, 0.0]), (20, [0.0, 0.0]), (21, [float("nan"), 1.0]), (22, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in vector_dedup.vector_components(df).collect()), key=str)
+    want = [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (10, 1, 10, True), (11, 1, 10, False),
+            (12, 1, 12, True), (13, 1, 12, False), (None, 0, None, True), (20, 0, 20, True), (21, 0, 21, True), (22, 0, 22, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_op7_links_lie_between_exact_bounds(spark):
+    """No link below 0.9: n_links of every vector is at most the exact count, and recall is that of close pairs."""
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding").collect()
+    good = [(r.vec_id, np.array(r.embedding, float)) for r in rows if r.embedding and np.isfinite(np.array(r.embedding, float)).all() and np.any(r.embedding)]
+    unit = np.stack([v / np.linalg.norm(v) for _, v in good])
+    close = (unit @ unit.T >= 0.9).sum(1) - 1
+    exact = dict(zip([k for k, _ in good], close.tolist()))
+    got = {r.vec_id: r.n_links for r in queries.QUERIES["op7_embedding_dedup"](spark, DATA).collect()}
+    assert all(got[k] <= exact.get(k, 0) for k in got)
+    assert sum(got.values()) >= 0.95 * sum(exact.values())
 
 
 def test_arrow_slices_keep_all_rows():

@@ -241,3 +241,50 @@ def test_quality_edge_cases(spark):
     assert len(got) == 4 and got[0] == got[1] and got[2] == got[3]
     assert len(features(pa.array([None, ""], pa.string()))[0]) == 0
     assert df.select(held_out("k")).count() == 4
+
+
+def _names_of_temporary_columns(df):
+    names = ["__text", "__a", "__base", "row", "own", "value", "v0", "a", "score0", "added", "base"]
+    return df.withColumns({n: F.lit(i) for i, n in enumerate(names)}), names
+
+
+def test_input_columns_of_any_name_pass_through(spark):
+    df, names = _names_of_temporary_columns(spark.createDataFrame([(1, "password: abcdef12 one two"), (2, None), (3, "")], "k long, text string"))
+    items = spark.createDataFrame([(7, "abcdef12 one"), (None, "one two"), (8, None), (9, "")], "item_id long, text string")
+    outs = {"secrets": secrets.with_secrets(df, "text"), "personal_data": personal_data.with_personal_data(df, "text"),
+            "score": with_quality(df, "text", Model()), "contaminated": with_benchmark_hits(df, "text", items)}
+    for added, out in outs.items():
+        rows = out.orderBy("k").collect()
+        assert [r.k for r in rows] == [1, 2, 3] and added in out.columns
+        assert all(r[n] == i for r in rows for i, n in enumerate(names))
+        assert out.where("false").count() == 0
+    hit = outs["contaminated"].orderBy("k").first()
+    assert (hit.n_items, hit.items_sha256, hit.n_hit) == (1, hashlib.sha256(b"7").hexdigest(), 2)
+
+
+def test_context_words_are_whole_words():
+    phone = "+49 170 1234567"
+    assert personal_data.score(f"hotel {phone}", "phone", 6, 6 + len(phone)) == personal_data.START["phone"]
+    assert personal_data.score(f"Telefon: {phone}", "phone", 9, 9 + len(phone)) == pytest.approx(personal_data.START["phone"] + 0.2)
+
+
+def test_secrets_of_very_long_texts_in_linear_time(spark):
+    import time
+    one = "token=" + "ab1" * 4 + " and some words; "
+    text = one * 40_000
+    df = spark.createDataFrame([(1, text), (2, "x " * 400_000)], "k long, text string")
+    start = time.time()
+    got = secrets.with_secrets(df, "text").select("k", "secrets", secrets.masked(F.col("text"), F.col("secrets")).alias("m")).orderBy("k").collect()
+    assert time.time() - start < 60
+    assert len(got[0].secrets) == 40_000 and [tuple(s) for s in got[0].secrets[-1:]] == [(39_999 * len(one), 0, 39_999 * len(one) + 18)]
+    assert got[0].m == (secrets.MASK + " and some words; ") * 40_000 and got[1].m == "x " * 400_000
+
+
+@pytest.mark.parametrize("name", ["decontamination", "quality", "ngram_join", "token_counts", "toxicity", "resampling"])
+def test_every_module_ships_what_it_needs(name):
+    """An operator imported alone pickles the helpers that its tasks use by value."""
+    import subprocess
+    import sys
+    code = (f"import evidloom.llm.{name}; from pyspark import cloudpickle; "
+            "assert 'evidloom.llm.textarrays' in cloudpickle.list_registry_pickle_by_value()")
+    assert subprocess.run([sys.executable, "-c", code], cwd=__file__.rsplit("/tests/", 1)[0]).returncode == 0
