@@ -15,45 +15,50 @@ from evidloom.llm.storage import stored
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labels of the documents given."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return with_quality(docs, "text", model, "__score").where("__score >= 0.5").select(*_columns(docs))
+    score = _free_name(docs, "score")
+    return with_quality(docs, "text", model, score).where(F.col(score) >= 0.5).select(*_columns(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that links join, and one row of equal rows.
+    """One row of each group of rows that links join: that with the smallest id, null last, then the first row.
 
-    Rows with the same id and text are one document, also where the id is null: the row whose columns come first in order
-    is kept. Rows with the same id and other texts stay; rows without an id are compared for equal texts only, and only
-    among themselves.
+    Every row is a document of its own, also where ids are null or repeat with the same or other texts. Rows without
+    words are linked with nothing, so all of them stay.
     """
-    found = ngram_components(docs)
-    gone = stored(found.where("component_id != doc_id").select("doc_id").distinct(), "gone")
-    small = gone.count() <= BROADCAST_IDS
-    return _one_of_equal(docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*_columns(docs)))
-
-
-def _one_of_equal(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row for each id and text. Only ids and digests of all rows are shuffled, and whole rows of repeats."""
-    digest = F.sha2("text", 256)
-    keys = docs.select(F.col("doc_id").alias("__id"), digest.alias("__digest"))
-    repeats = stored(keys.groupBy("__id", "__digest").count().where("count > 1").drop("count"), "repeats")
-    held = F.broadcast(repeats) if repeats.count() <= BROADCAST_IDS else repeats
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & digest.eqNullSafe(F.col("__digest"))
-    first = docs.join(held, same).groupBy("__id", "__digest").agg(F.min(F.struct(*_columns(docs))).alias("__row"))
-    return docs.join(held, same, "left_anti").unionByName(first.select("__row.*"))
+    rows = stored(docs.withColumn(_free_name(docs, "row"), F.monotonically_increasing_id()), "rows")
+    row = rows.columns[-1]
+    found = stored(ngram_components(rows, key=row).select(F.col(row).alias("member"), F.col("component_id").alias("top"))
+                   .where("member != top"), "copies")
+    grouped = stored(found.unionByName(found.select(F.col("top").alias("member"), "top").distinct()), "groups")
+    ids = rows.select(F.col(row).alias("member"), F.col("doc_id").alias("id"))
+    small = grouped.count() <= BROADCAST_IDS
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "member")
+    first = (ids.join(F.broadcast(grouped) if small else grouped, "member").groupBy("top")
+             .agg(F.min(place)["member"].alias("member")).select("member"))
+    gone = stored(grouped.join(first, "member", "left_anti").select(F.col("member").alias(row)), "gone")
+    return rows.join(F.broadcast(gone) if small else gone, row, "left_anti").select(*_columns(docs))
+
+
+def _free_name(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    marked = with_benchmark_hits(docs, "text", spark.read.parquet(f"{sf_dir}/benchmark.parquet"), prefix="__")
-    return marked.where("not __contaminated").select(*_columns(docs))
+    mark = _free_name(docs, "mark_")
+    marked = with_benchmark_hits(docs, "text", spark.read.parquet(f"{sf_dir}/benchmark.parquet"), prefix=mark)
+    return marked.where(~F.col(f"{mark}contaminated")).select(*_columns(docs))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets masked and their length as it is then."""
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]
     clean = with_secrets(docs, "text").select(*kept, masked(F.col("text"), F.col("secrets")).alias("text"))
-    counted = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return counted.select(*_columns(docs))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*_columns(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
