@@ -55,7 +55,7 @@ LOW_SEVERITY_WORDS = ["mild", "slight", "little", "minor", "bearable"]
 SUGGEST_POOL_EMPTY = ["headache", "high_fever", "stomach_pain", "fatigue", "nausea", "chills", "cough"]
 SUGGEST_POOL_FEW = ["headache", "fatigue", "nausea", "chills", "sweating", "stomach_pain", "cough"]
 CRITICAL_FOLLOW_UPS = ["dizziness", "blurred_vision", "unsteadiness", "stiff_neck"]
-FOLLOW_UP_SEPARATOR = ". I also have "
+FOLLOW_UP = (". I also have ", ".")
 
 # Reply texts.
 REPLY_ERROR = (

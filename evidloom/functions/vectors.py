@@ -12,11 +12,19 @@ def feature_array(features: Column, vocab: list[str]) -> Column:
     return F.array(*[F.array_contains(features, v).cast("double") for v in vocab])
 
 
+def let(value: Column, build) -> Column:
+    """``build(value)`` with the value computed once for each row, however often ``build`` uses it."""
+    return F.get(F.transform(F.array(value), build), 0)
+
+
+def _total(scores: Column) -> Column:
+    return F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + x)
+
+
 def softmax_rescale(p: Column, temperature: float = 1.0) -> Column:
     """exp(p/t) divided by its sum."""
-    e = F.transform(p, lambda x: F.exp(x / F.lit(temperature)))
-    total = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / total)
+    powers = F.transform(p, lambda x: F.exp(x / F.lit(temperature)))
+    return let(powers, lambda e: let(_total(e), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def argmax(p: Column) -> Column:
@@ -31,13 +39,14 @@ def mask_scores(p: Column, masked: Column) -> Column:
 
 def mask_renorm(p: Column, masked: Column, final: Column) -> Column:
     """struct(top, confidence): on a final check masked classes score zero and the top is renormalised."""
-    scores = F.when(final, mask_scores(p, masked)).otherwise(p)
-    top = F.array_max(scores)
-    total = F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + x)
-    return F.struct(
-        argmax(scores).alias("top"),
-        F.when(final, top / (total + F.lit(1e-9))).otherwise(top).alias("confidence"),
-    )
+    def picked(scores: Column) -> Column:
+        top = F.array_max(scores)
+        return F.struct(
+            argmax(scores).alias("top"),
+            F.when(final, top / (_total(scores) + F.lit(1e-9))).otherwise(top).alias("confidence"),
+        )
+
+    return let(p, lambda q: let(F.when(final, mask_scores(q, masked)).otherwise(q), picked))
 
 
 def mean_scores(members: list[Column]) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from evidloom import fixed_values as fv
+from evidloom.functions.vectors import let
 from evidloom.session import stored
 from evidloom.shipping import ship_by_value
 
@@ -380,11 +381,11 @@ def _packed(paths: list, depth: int) -> tuple:
     return value, feature, z, want, size
 
 
-def tree_attribution(df: DataFrame, model: BoostedTrees, keys: list[str], values: str, target: str, vocab: list[str]) -> DataFrame:
-    """(keys, feature, impact, rank) of the active features of every row for its ``target`` class, largest impact first.
+def impacts(model: BoostedTrees, values: str | Column, target: str | Column, vocab: list[str]) -> Column:
+    """Array of (feature, impact) of the active features of a row for its ``target`` class, largest impact first.
 
     ``impact`` is the exact Shapley value of the feature in the score before the softmax, at four decimals; ties go by
-    name. Rows without values or target have none. Equal patterns are explained once in a batch.
+    name. Null without values or target. Equal patterns are explained once in a batch.
     """
     explain = Attribution(model)
 
@@ -402,12 +403,18 @@ def tree_attribution(df: DataFrame, model: BoostedTrees, keys: list[str], values
             out.append(known[key])
         return pd.Series(out, dtype=object)
 
+    x, k = (F.col(c) if isinstance(c, str) else c for c in (values, target))
     named = F.array(*[F.lit(v) for v in vocab])
-    rows = df.select(*keys, values, shares(F.col(values), F.col(target)).alias("_s"))
-    parts = F.transform(F.filter(F.sequence(F.lit(0), F.lit(len(vocab) - 1)), lambda i: F.get(F.col(values), i) > 0.5),
-                        lambda i: F.struct((-F.round(F.get("_s", i), 4)).alias("down"), F.get(named, i).alias("feature")))
-    ranked = rows.where("_s is not null").select(*keys, F.posexplode(F.array_sort(parts)).alias("at", "p"))
-    return ranked.select(*keys, F.col("p.feature").alias("feature"), (F.lit(0.0) - F.col("p.down")).alias("impact"), (F.col("at") + 1).alias("rank"))
+    places = F.filter(F.sequence(F.lit(0), F.lit(len(vocab) - 1)), lambda i: F.get(x, i) > 0.5)
+    parts = let(shares(x, k), lambda s: F.when(s.isNotNull(), F.array_sort(F.transform(places, lambda i: F.struct(
+        (-F.round(F.get(s, i), 4)).alias("down"), F.get(named, i).alias("feature"))))))
+    return F.transform(parts, lambda p: F.struct(p["feature"].alias("feature"), (F.lit(0.0) - p["down"]).alias("impact")))
+
+
+def tree_attribution(df: DataFrame, model: BoostedTrees, keys: list[str], values: str, target: str, vocab: list[str]) -> DataFrame:
+    """(keys, feature, impact, rank): one row for each of the ``impacts`` of every row, rank 1 for the largest."""
+    rows = df.select(*keys, F.posexplode(impacts(model, values, target, vocab)).alias("at", "p"))
+    return rows.select(*keys, "p.feature", "p.impact", (F.col("at") + 1).alias("rank"))
 
 
 def parameters(cfg: Boosting) -> dict:

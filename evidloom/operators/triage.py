@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 from evidloom import fixed_values as fv
 from evidloom.bounds import string_array
 from evidloom.functions.text import strip_marker
-from evidloom.functions.vectors import mask_renorm, softmax_rescale, suggest
+from evidloom.functions.scalars import display_name
+from evidloom.functions.vectors import let, mask_renorm, softmax_rescale, suggest
+from evidloom.operators.boosting import impacts
+from evidloom.operators.ensemble import VotingModel
+from evidloom.operators.common import compute_once
 from evidloom.operators.features import IntakeLexicon, extract_features
 from evidloom.operators.rules import rule_match
+from evidloom.session import stored
 
 
 @dataclass
@@ -38,8 +43,8 @@ def label_choice(df: DataFrame, model_label: Column, model_confidence: Column, r
 def best_score(scores: Column, labels: list[str], critical: list[str], final: Column) -> Column:
     """struct(label, confidence) of the best model score after the softmax; on a final check critical labels are masked."""
     masked = F.array(*[F.lit(x in critical) for x in labels])
-    picked = mask_renorm(softmax_rescale(scores), masked, final)
-    return F.struct(F.get(string_array(labels), picked["top"]).alias("label"), picked["confidence"].alias("confidence"))
+    return let(mask_renorm(softmax_rescale(scores), masked, final), lambda picked: F.struct(
+        F.get(string_array(labels), picked["top"]).alias("label"), picked["confidence"].alias("confidence")))
 
 
 def _spaced(name: Column) -> Column:
@@ -98,33 +103,67 @@ def triage(messages: DataFrame, keys: list[str], lex: IntakeLexicon, rules: Data
     return route(label_choice(rows, model_label, model_confidence, rule_confidence=cfg.rule_confidence), cfg)
 
 
-def triage_log_rows(triaged: DataFrame, user: str) -> DataFrame:
-    """Rows to log: emergencies and completed diagnoses only."""
+def triage_with_model(messages: DataFrame, keys: list[str], lex: IntakeLexicon, rules: DataFrame, cfg: TriageConfig,
+                      model: VotingModel) -> DataFrame:
+    """Whole intake step with the ensemble: only rows that have features and fit no rule are scored.
+
+    Adds ``contributions``, (symptom, impact_score) of the active features of a scored row by the regularised member, for
+    the label it got; null for other rows. Features are extracted once: the rows are written before they are split.
+    """
+    rows = extract_features(messages.withColumn("text", strip_marker(F.col("text"))), keys, lex)
+    rows = stored(rule_match(rows, rules, keys), "featured")
+    unscored = F.col("rule_label").isNotNull() | (F.size("features") == 0)
+    none = F.lit(None)
+    told = rows.where(unscored).withColumns({
+        "label": F.col("rule_label"), "confidence": F.when(F.col("rule_label").isNotNull(), F.lit(cfg.rule_confidence)),
+        "contributions": none.cast("array<struct<symptom:string,impact_score:double>>")})
+    return route(told.unionByName(_scored(rows.where(~unscored), cfg, model)), cfg)
+
+
+def _scored(rows: DataFrame, cfg: TriageConfig, model: VotingModel) -> DataFrame:
+    final = F.coalesce(F.col("is_final_check"), F.lit(False))
+    best = best_score(F.col("vote_p"), model.labels, cfg.critical, final)
+    scored = compute_once(model.transform(rows.withColumnRenamed("features", model.features)), _best=best)
+    place = (F.array_position(string_array(model.labels), F.col("_best.label")) - 1).cast("int")
+    shares = impacts(model.strict, "values", place, model.vocab)
+    return scored.select(
+        *rows.columns, F.col("_best.label").alias("label"), F.col("_best.confidence").alias("confidence"),
+        F.transform(shares, lambda p: F.struct(display_name(p["feature"]).alias("symptom"), p["impact"].alias("impact_score")))
+        .alias("contributions"))
+
+
+def triage_log_rows(triaged: DataFrame, user: str, at: Column | None = None) -> DataFrame:
+    """Rows to log, with the time ``at`` (now, if not given): emergencies and completed diagnoses only."""
     status = F.when(F.col("status") == "CRITICAL", "EMERGENCY").when(F.col("status") == "success", "COMPLETED")
     return triaged.where(F.col("status").isin("CRITICAL", "success")).select(
         F.col(user).alias("username"), F.col("text").alias("symptoms"), F.col("label").alias("predicted_disease"),
-        status.alias("status"), "confidence")
+        status.alias("status"), "confidence", (F.current_timestamp() if at is None else at).alias("timestamp"))
 
 
-def dialogue_accumulate(turns: DataFrame, key: str, order: str, text: str = "text",
-                        separator: str = fv.FOLLOW_UP_SEPARATOR, block: int = 512) -> DataFrame:
-    """Add ``dialogue``: all texts of the conversation up to and including the turn.
+def dialogue_accumulate(turns: DataFrame, key: str, order: str, text: str = "text", block: int = 512) -> DataFrame:
+    """Add ``dialogue``: the first text of the conversation, and each later one up to the turn as a follow-up sentence.
 
-    Work is split by ``(key, block of turns)``, ``order`` being an integer turn number (of either sign), so that a long
-    conversation is not one task. Every row gets the joined texts of the blocks before, one row per block. NULL texts
-    add nothing; a turn without any text up to it has an empty dialogue.
+    A follow-up is put as ``. I also have <text>.`` with spaces for underscores. Work is split by ``(key, block of
+    turns)``, ``order`` being an integer turn number (of either sign), so that a long conversation is not one task. Every
+    row gets the joined texts of the blocks before, one row per block. NULL texts add nothing; a turn without any text up
+    to it has an empty dialogue.
     """
+    of_block = [key, "_block"]
     rows = turns.withColumn("_block", F.floor(F.col(order) / block))
-    within = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    own = F.collect_list(text).over(within)
-    rows = rows.withColumn("_list", own).withColumn(
-        "_text", F.when(F.size("_list") > 0, F.array_join("_list", separator))).drop("_list")
-    blocks = turns.where(F.col(text).isNotNull()).withColumn("_block", F.floor(F.col(order) / block))
-    blocks = blocks.groupBy(key, "_block").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct(order, text))), lambda s: s[text]), separator).alias("_joined"))
-    seen = turns.select(key, F.floor(F.col(order) / block).alias("_block")).distinct()
-    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = seen.join(blocks, [key, "_block"], "left").withColumn("_list", F.collect_list("_joined").over(before))
-    blocks = blocks.where(F.size("_list") > 0).select(key, "_block", F.array_join("_list", separator).alias("_before"))
-    return rows.join(blocks, [key, "_block"], "left").withColumn(
-        "dialogue", F.concat_ws(separator, "_before", "_text")).drop("_block", "_text", "_before")
+    first = Window.partitionBy(key)
+    before = first.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*of_block).agg(
+        F.min(F.when(F.col(text).isNotNull(), F.col(order))).alias("_least"),
+        F.array_sort(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))).alias("_items"))
+    blocks = blocks.withColumn("_first", F.min("_least").over(first)).withColumn("_joined", F.array_join(F.transform(
+        "_items", lambda s: _sentence(s["t"], s["o"] == F.col("_first"))), ""))
+    blocks = blocks.select(*of_block, "_first", F.array_join(F.collect_list("_joined").over(before), "").alias("_before"))
+    within = Window.partitionBy(*of_block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(blocks, of_block)
+    own = F.collect_list(_sentence(F.col(text), F.col(order) == F.col("_first"))).over(within)
+    return joined.withColumn("dialogue", F.concat("_before", F.array_join(own, ""))).drop("_block", "_first", "_before")
+
+
+def _sentence(text: Column, is_first: Column) -> Column:
+    a, b = fv.FOLLOW_UP
+    return F.when(is_first, text).otherwise(F.concat(F.lit(a), _spaced(text), F.lit(b)))

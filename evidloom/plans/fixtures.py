@@ -11,9 +11,13 @@ from evidloom.functions.lexicon import word_terms
 from evidloom.operators.common import compute_once
 from evidloom.operators.corpus import sentences
 from evidloom.operators.evidence import EvidenceLexicon, extractions
-from evidloom.operators.features import IntakeLexicon
+from evidloom.operators.commerce import listing
+from evidloom.operators.ensemble import VotingModel, fit_voting
+from evidloom.operators.features import IntakeLexicon, extract_features
 from evidloom.operators.profile import expand_kb, topic_profile
-from evidloom.operators.triage import TriageConfig, best_score, triage
+from evidloom.operators.rules import rule_match
+from evidloom.operators.triage import TriageConfig, best_score, triage, triage_log_rows
+from evidloom.session import stored
 from evidloom.sources.tables import table, text_table
 
 # Evidence extraction.
@@ -158,6 +162,28 @@ def triaged_messages(spark: SparkSession, messages: DataFrame) -> DataFrame:
     return triage(messages, MESSAGE_KEYS, intake_lexicon(spark), rules_table(spark), triage_config(), label, confidence)
 
 
+def dialogue_messages(dialogues: DataFrame) -> DataFrame:
+    """The running text of every user turn as a message of its own."""
+    return dialogues.select("conv_id", "turn", F.col("dialogue").alias("text"), (F.col("turn") % 4 == 2).alias("is_final_check"))
+
+
+def log_time() -> Column:
+    """Time of a logged message: ten minutes for a conversation, one for a turn."""
+    return F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 600 + F.col("turn") * 60)
+
+
+def log_rows(triaged: DataFrame) -> DataFrame:
+    rows = triage_log_rows(triaged.withColumn("user", F.col("conv_id").cast("string")), "user", log_time())
+    return listing(rows.withColumn("confidence", F.round("confidence", 6)), "timestamp", ["username"])
+
+
+def intake_model(spark: SparkSession, folder: str) -> VotingModel:
+    """Ensemble that learns the rule labels of the messages that a rule fits."""
+    rows = extract_features(user_messages(spark, folder), MESSAGE_KEYS, intake_lexicon(spark))
+    known = rule_match(rows, rules_table(spark), MESSAGE_KEYS).where(F.col("rule_label").isNotNull())
+    return fit_voting(stored(known.select("features", "rule_label"), "rule-labels"), "rule_label", VOCAB, CRITICAL)
+
+
 # Customer profiles and remedy rules from parts; two parts make up one remedy topic, so both sides grow together.
 def profiles(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("c_custkey")

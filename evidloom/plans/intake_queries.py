@@ -107,16 +107,33 @@ def triage(spark, folder):
 
 
 def triage_log_rows(spark, folder):
-    rows = fx.triaged_messages(spark, fx.user_messages(spark, folder))
-    rows = rows.withColumn("user", F.col("conv_id").cast("string"))
-    return tr.triage_log_rows(rows, "user").withColumn("confidence", F.round("confidence", 6))
+    return fx.log_rows(fx.triaged_messages(spark, fx.user_messages(spark, folder)))
 
 
-def dialogue_accumulate(spark, folder):
+def triage_model(spark, folder):
+    """Triage with the ensemble; contributions as text."""
+    rows = tr.triage_with_model(fx.user_messages(spark, folder), KEYS, fx.intake_lexicon(spark), fx.rules_table(spark),
+                                fx.triage_config(), fx.intake_model(spark, folder))
+    shares = F.transform("contributions", lambda c: F.concat_ws(":", c["symptom"], c["impact_score"].cast("string")))
+    return rows.select(*KEYS, F.array_join("features", ",").alias("features"), "rule_label", "status", "top_label",
+                       F.round("confidence", 6).alias("confidence"), F.array_join(shares, ",").alias("contributions"))
+
+
+def _dialogues(spark, folder):
     turns = fx.user_messages(spark, folder).select("conv_id", "turn", "text")
     return tr.dialogue_accumulate(turns, "conv_id", "turn").select("conv_id", "turn", "dialogue")
 
 
+def dialogue_accumulate(spark, folder):
+    return _dialogues(spark, folder)
+
+
+def dialogue_triage(spark, folder):
+    """Every turn triaged by the whole text of its conversation so far."""
+    rows = fx.triaged_messages(spark, fx.dialogue_messages(_dialogues(spark, folder)))
+    return rows.select(*KEYS, F.array_join("features", ",").alias("features"), "status", "top_label", "confidence_pct")
+
+
 def indel_ratio(spark, folder):
     """Scores of all distinct words with every condition, by the general expression."""
     words = fx.user_messages(spark, folder).select(tx.clean_words(F.col("text")).alias("words"))
@@ -264,12 +281,19 @@ TRIAGE = MESSAGES + [
                f"WHEN 'c' THEN {lit(','.join(fv.CRITICAL_FOLLOW_UPS))} "
                f"WHEN 'd' THEN array_to_string({suggest_sql(fx.POOL_FEW, 4)}, ',') END AS follow_ups FROM stated"),
 ]
-TRIAGE_LOG = query(
-    TRIAGE, "SELECT conv_id::VARCHAR AS username, text AS symptoms, label AS predicted_disease, CASE status WHEN "
-            "'CRITICAL' THEN 'EMERGENCY' ELSE 'COMPLETED' END AS status, round(confidence, 6) AS confidence "
-            "FROM routed WHERE status IN ('CRITICAL', 'success')")
-DIALOGUE = ("SELECT conv_id, turn, string_agg(text, '. I also have ') OVER (PARTITION BY conv_id ORDER BY turn ROWS "
-            "UNBOUNDED PRECEDING) AS dialogue FROM conversations WHERE role = 'user'")
+_LOGGED = ("SELECT conv_id::VARCHAR AS username, text AS symptoms, label AS predicted_disease, CASE status WHEN 'CRITICAL' THEN "
+           "'EMERGENCY' ELSE 'COMPLETED' END AS status, round(confidence, 6) AS confidence, strftime(make_timestamp((1704067200 + "
+           "conv_id * 600 + turn * 60) * 1000000), '%Y-%m-%d %H:%M') AS timestamp FROM routed WHERE status IN ('CRITICAL', 'success')")
+TRIAGE_LOG = query(TRIAGE, _LOGGED)
+DIALOGUE = ("SELECT conv_id, turn, coalesce(string_agg(CASE WHEN turn = first THEN text ELSE "
+            f"{lit(fv.FOLLOW_UP[0])} || replace(text, '_', ' ') || {lit(fv.FOLLOW_UP[1])} END, '') OVER (PARTITION BY conv_id "
+            "ORDER BY turn ROWS UNBOUNDED PRECEDING), '') AS dialogue FROM (SELECT *, min(turn) FILTER (text IS NOT NULL) OVER "
+            "(PARTITION BY conv_id) AS first FROM conversations WHERE role = 'user')")
+DIALOGUE_TRIAGE = [
+    ("dialogues", DIALOGUE),
+    ("messages", MESSAGES[0][1].replace("text", "dialogue").replace("AS dialogue", "AS text").replace("conversations WHERE role = 'user'", "dialogues")),
+] + TRIAGE[1:]
+DIALOGUE_LOG = query(DIALOGUE_TRIAGE, _LOGGED)
 
 
 def _shown(name: str) -> str:
@@ -293,7 +317,9 @@ QUERIES = {
     "display_name": display_name,
     "triage": triage,
     "triage_log_rows": triage_log_rows,
+    "triage_model": triage_model,
     "dialogue_accumulate": dialogue_accumulate,
+    "dialogue_triage": dialogue_triage,
     "indel_ratio": indel_ratio,
     "similar_words": similar_words,
     "fuzzy_best_match": fuzzy_best_match,
@@ -333,6 +359,9 @@ ORACLE = {
                 "top_label, confidence_pct, follow_ups FROM routed"),
     "triage_log_rows": TRIAGE_LOG,
     "dialogue_accumulate": DIALOGUE,
+    "dialogue_triage": query(
+        DIALOGUE_TRIAGE, "SELECT conv_id, turn, array_to_string(features, ',') AS features, status, top_label, confidence_pct "
+                         "FROM routed"),
     "indel_ratio": query(MESSAGES, "SELECT a, b, score FROM scored"),
     "similar_words": query(MESSAGES, f"SELECT a, b, score FROM scored WHERE score >= {fx.FUZZY_CUTOFF}"),
     "fuzzy_best_match": query(_PARTS, "SELECT a, key, score FROM part_names LEFT JOIN part_best USING (a)"),

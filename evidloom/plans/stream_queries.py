@@ -3,9 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidloom.operators.triage import triage_log_rows
 from evidloom.plans import fixtures as fx
-from evidloom.plans.intake_queries import DIALOGUE, TRIAGE_LOG
+from evidloom.plans.intake_queries import DIALOGUE, DIALOGUE_LOG, TRIAGE_LOG
 from evidloom.session import work_folder
 from evidloom.sources.tables import table
 from evidloom.streaming import feeds
@@ -19,9 +18,7 @@ def _turns(spark, folder):
 
 def triage_stream(spark, folder):
     def log_rows(batch):
-        rows = fx.triaged_messages(spark, fx.with_final_check(batch))
-        rows = triage_log_rows(rows.withColumn("user", F.col("conv_id").cast("string")), "user")
-        return rows.withColumn("confidence", F.round("confidence", 6))
+        return fx.log_rows(fx.triaged_messages(spark, fx.with_final_check(batch)))
 
     work = work_folder(spark, "triage-stream")
     feeds.start_triage_stream(_turns(spark, folder), log_rows, f"{work}/log", f"{work}/checkpoint",
@@ -29,16 +26,30 @@ def triage_stream(spark, folder):
     return spark.read.parquet(f"{work}/log").drop("batch")
 
 
+def _user_turns(spark, folder):
+    return _turns(spark, folder).where(F.col("role") == "user").select("conv_id", "turn", "text")
+
+
 def dialogue_stream(spark, folder):
     work = work_folder(spark, "dialogue-stream")
-    turns = _turns(spark, folder).where(F.col("role") == "user").select("conv_id", "turn", "text")
     query = (
-        feeds.dialogue_stream(turns).writeStream.format("parquet").option("path", f"{work}/out")
+        feeds.dialogue_stream(_user_turns(spark, folder)).writeStream.format("parquet").option("path", f"{work}/out")
         .option("checkpointLocation", f"{work}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{work}/out")
+    return spark.read.parquet(f"{work}/out").where("not late").drop("late")
+
+
+def dialogue_triage_stream(spark, folder):
+    """The running text of every turn, triaged and logged as it arrives."""
+    def log_rows(batch):
+        return fx.log_rows(fx.triaged_messages(spark, fx.dialogue_messages(batch.where("not late"))))
+
+    work = work_folder(spark, "dialogue-triage")
+    dialogues = feeds.dialogue_stream(_user_turns(spark, folder))
+    feeds.start_triage_stream(dialogues, log_rows, f"{work}/log", f"{work}/checkpoint", once=True).awaitTermination()
+    return spark.read.parquet(f"{work}/log").drop("batch")
 
 
-QUERIES = {"triage_stream": triage_stream, "dialogue_stream": dialogue_stream}
-ORACLE = {"triage_stream": TRIAGE_LOG, "dialogue_stream": DIALOGUE}
+QUERIES = {"triage_stream": triage_stream, "dialogue_stream": dialogue_stream, "dialogue_triage_stream": dialogue_triage_stream}
+ORACLE = {"triage_stream": TRIAGE_LOG, "dialogue_stream": DIALOGUE, "dialogue_triage_stream": DIALOGUE_LOG}

@@ -29,28 +29,34 @@ def start_triage_stream(source: DataFrame, log_rows: Callable[[DataFrame], DataF
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def dialogue_stream(source: DataFrame, separator: str = fv.FOLLOW_UP_SEPARATOR,
-                    idle_ms: int | None = None) -> DataFrame:
-    """Running text of every conversation from a stream of ``(conv_id, turn, text)``.
+def dialogue_stream(source: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Running text of every conversation from a stream of ``(conv_id, turn, text)``, as ``dialogue_accumulate`` gives it.
 
-    The state of a key is its text so far. Turns of one micro-batch are sorted; a turn is expected not to arrive in an
-    earlier batch than its predecessor. With ``idle_ms`` the state of a silent conversation is dropped after that time.
+    The state of a key is its text and its last turn. Turns of one micro-batch are sorted. A turn that arrives after a
+    later one was given out can't change what was said: it comes out with ``late`` set and no text, and the state stays.
+    NULL texts add nothing. With ``idle_ms`` the state of a silent conversation is dropped after that time.
     """
+    before, after = fv.FOLLOW_UP
+
     def advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        turns = pd.concat(list(chunks)).sort_values("turn")
-        text = state.get[0] if state.exists else None
-        texts = []
-        for part in turns["text"]:
-            text = part if text is None else f"{text}{separator}{part}"
-            texts.append(text)
-        state.update((text,))
+        turns = pd.concat(list(chunks)).sort_values("turn", kind="stable")
+        text, last = state.get if state.exists else (None, None)
+        texts, late = [], []
+        for turn, part in zip(turns["turn"], turns["text"]):
+            late.append(last is not None and turn < last)
+            if not late[-1]:
+                last = int(turn)
+                if part is not None:
+                    text = part if text is None else f"{text}{before}{part.replace('_', ' ')}{after}"
+            texts.append(None if late[-1] else text or "")
+        state.update((text, last))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame({"conv_id": key[0], "turn": turns["turn"], "dialogue": texts})
+        yield pd.DataFrame({"conv_id": key[0], "turn": turns["turn"], "dialogue": texts, "late": late})
 
     timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return source.groupBy("conv_id").applyInPandasWithState(
-        advance, "conv_id long, turn long, dialogue string", "text string", "append", timeout)
+        advance, "conv_id long, turn long, dialogue string, late boolean", "text string, last long", "append", timeout)

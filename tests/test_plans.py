@@ -143,13 +143,18 @@ def test_cart_adjust_with_one_hot_key(spark):
         assert {x.k: x.qty for x in out.collect()} == want
 
 
+def said(texts):
+    texts = [t for t in texts if t is not None]
+    return "".join(texts[:1] + [f". I also have {t.replace('_', ' ')}." for t in texts[1:]])
+
+
 def test_dialogue_over_many_blocks(spark):
     turns = [(c, t, f"{c}.{t}" if t % 5 else "") for c, n in ((1, 60), (2, 1), (3, 7)) for t in range(n)]
     df = local_table(spark, turns, "conv_id long, turn long, text string")
     for block in (1, 4, 512):
         out = tr.dialogue_accumulate(df, "conv_id", "turn", block=block).collect()
         for r in out:
-            assert r.dialogue == ". I also have ".join(x for c, t, x in turns if c == r.conv_id and t <= r.turn)
+            assert r.dialogue == said([x for c, t, x in turns if c == r.conv_id and t <= r.turn])
         assert len(out) == len(turns)
 
 
@@ -241,7 +246,23 @@ def test_dialogue_stream_keeps_state_over_batches(spark, tmp_path):
     query.awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").where("turn = 2").collect()
     assert len(got) == 4
-    assert all(r.dialogue == ". I also have ".join(f"{r.conv_id}-{t}" for t in range(3)) for r in got)
+    assert all(r.dialogue == said([f"{r.conv_id}-{t}" for t in range(3)]) for r in got)
+
+
+def test_dialogue_stream_of_late_and_empty_turns(spark, tmp_path):
+    from evidloom.streaming.feeds import dialogue_stream
+
+    batches = [[(1, 0, None), (1, 2, "sore_throat"), (2, 5, "x")], [(1, 1, "too late"), (1, 3, "high_fever"), (2, 6, None)]]
+    for rows_of_batch in batches:
+        local_table(spark, rows_of_batch, "conv_id long, turn long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("conv_id long, turn long, text string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = dialogue_stream(source, idle_ms=3_600_000).writeStream.format("parquet").option("path", f"{tmp_path}/out").option(
+        "checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {(r.conv_id, r.turn): (r.dialogue, r.late) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got[1, 0] == ("", False) and got[1, 2] == ("sore_throat", False) and got[1, 1] == (None, True)
+    assert got[1, 3] == ("sore_throat. I also have high fever.", False)
+    assert got[2, 5] == got[2, 6] == ("x", False)
 
 
 def test_registered_plans_have_no_cross_join(spark):
@@ -250,3 +271,49 @@ def test_registered_plans_have_no_cross_join(spark):
     for name in ("topic_profile", "eligibility_matrix", "kb_flat", "relaxed_lookup", "fuzzy_best_match", "cart_adjust"):
         plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_model_scores_only_rows_without_a_rule(spark):
+    """Label, confidence and contributions of the ensemble, recomputed from its members in numpy."""
+    from dataclasses import replace
+
+    import numpy as np
+
+    from evidloom.operators import boosting as bo
+    from evidloom.operators.ensemble import fit_voting
+
+    messages = fx.user_messages(spark, DATA)
+    lex, rules = fx.intake_lexicon(spark), fx.rules_table(spark)
+    found = rule_match(ft.extract_features(messages, fx.MESSAGE_KEYS, lex), rules, fx.MESSAGE_KEYS).where("rule_label is not null")
+    model = fit_voting(found, "rule_label", fx.VOCAB, fx.CRITICAL, trees=5, plain=replace(bo.PLAIN, rounds=3), strict=replace(bo.REGULARISED, rounds=9))
+    seen = []
+    transform = model.transform
+
+    def spy(df):
+        seen.append(df.count())
+        return transform(df)
+
+    model.transform = spy
+    out = tr.triage_with_model(messages, fx.MESSAGE_KEYS, lex, rules, fx.triage_config(), model).collect()
+    assert len(out) == messages.count()
+    open_rows = [r for r in out if r.rule_label is None and r.features]
+    assert seen == [len(open_rows)] and 0 < len(open_rows) < len(out)
+    votes = {(r.conv_id, r.turn): np.array(r.vote_p) for r in transform(messages.sparkSession.createDataFrame(
+        [(r.conv_id, r.turn, r.features) for r in open_rows], "conv_id long, turn long, features array<string>")).collect()}
+    explain = bo.Attribution(model.strict)
+    for r in out:
+        if r.rule_label is not None:
+            assert (r.label, r.confidence, r.contributions) == (r.rule_label, 0.98, None)
+        elif not r.features:
+            assert r.label is None and r.contributions is None
+        else:
+            p = np.exp(votes[r.conv_id, r.turn])
+            p = p / p.sum()
+            if r.is_final_check:
+                p[[k for k, name in enumerate(model.labels) if name in fx.CRITICAL]] = 0
+            k = int(np.argmax(np.round(p, 15)))
+            assert r.label == model.labels[k] and r.confidence == pytest.approx(p[k] / (p.sum() + 1e-9) if r.is_final_check else p[k])
+            x = np.array([[int(v in r.features) for v in fx.VOCAB]])
+            shares = explain.values(x, k)[0]
+            assert sorted(c.impact_score for c in r.contributions) == pytest.approx(sorted(round(shares[i], 4) for i in np.flatnonzero(x[0])), abs=1.1e-4)
+            assert [c.impact_score for c in r.contributions] == sorted((c.impact_score for c in r.contributions), reverse=True)
