@@ -11,7 +11,7 @@ from evidloom.bounds import HIT_ROWS, LITERAL_ROWS, broadcast_if_small, local_ta
 from evidloom.functions import text as tx
 from evidloom.functions.lexicon import severity_by_last_cue
 from evidloom.operators.common import compute_once, first_by
-from evidloom.operators.matching import match_terms
+from evidloom.operators.scanning import occurring, pair_values
 from evidloom.operators.similar import similar_pairs
 
 
@@ -101,11 +101,9 @@ def lexicon_features(df: DataFrame, keys: list[str], text: str, lexicon: DataFra
         hits = [f"if(contains({text}, {sql_text(r.entry)}), {sql_array(list(r.features))}, {none})" for r in rows]
         found = f"concat({', '.join(hits)})" if hits else none
         return df.withColumn(out, F.expr(f"array_sort(array_distinct({found}))"))
-    entries = lexicon.select(F.monotonically_increasing_id().alias("entry_ord"), "entry", "features")
-    hits = match_terms(df.select(*keys, text), keys, text, entries, "entry", "entry_ord", "substring", "found", 0, False)
-    found = hits.select(*keys, F.explode("found").alias("entry")).join(
-        broadcast_if_small(lexicon.select("entry", "features")), "entry")
-    return _collected(df, found.select(*keys, F.explode("features").alias("value")), keys, out)
+    named = F.transform("features", lambda f: F.struct(F.lit(0).cast("long").alias("ord"), f.alias("value")))
+    found = occurring(text, lexicon.select("entry", named.alias("found")), "entry", "found")
+    return df.withColumn(out, F.transform(found, lambda x: x["value"]))
 
 
 def phrase_features(df: DataFrame, keys: list[str], lex: IntakeLexicon) -> DataFrame:
@@ -129,12 +127,9 @@ def cooc_features(df: DataFrame, keys: list[str], lex: IntakeLexicon) -> DataFra
         found = f"array_compact(array({', '.join(hits)}))" if hits else sql_array([])
         return df.withColumn(out, F.expr(f"array_sort(array_distinct({found}))"))
     words = lex.pairs.select(F.col("w1").alias("w")).union(lex.pairs.select("w2")).distinct()
-    words = words.withColumn("w_ord", F.monotonically_increasing_id())
-    hits = match_terms(df.select(*keys, "haystack"), keys, "haystack", words, "w", "w_ord", "substring", "found", 0, False)
-    found = hits.select(*keys, "found", F.explode("found").alias("w1")).join(
-        broadcast_if_small(lex.pairs.select("w1", "w2", "feature")), "w1")
-    found = found.where(F.array_contains("found", F.col("w2"))).select(*keys, F.col("feature").alias("value"))
-    return _collected(df, found, keys, out)
+    named = F.array(F.struct(F.lit(0).cast("long").alias("ord"), F.col("w").alias("value")))
+    found = occurring("haystack", words.select("w", named.alias("found")), "w", "found")
+    return df.withColumn(out, pair_values(F.transform(found, lambda x: x["value"]), lex.pairs))
 
 
 def word_hits(df: DataFrame, keys: list[str], hits: DataFrame, out: str, hit_rows: int = HIT_ROWS) -> DataFrame:

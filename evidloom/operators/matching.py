@@ -1,16 +1,16 @@
 """Lexicon matching on DataFrames, with a plan for lexicons of any size.
 
 Up to ``LITERAL_ROWS`` entries a lexicon becomes literals in one narrow projection (no shuffle, no explode). A larger
-one is matched through an inverted index: every text position is joined on the first characters of the terms, then
-the whole term is compared. No pair of text and term is formed without that equality.
+one is an automaton that reads each text once, in the same projection (``scanning``).
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidloom.bounds import LITERAL_ROWS, broadcast_if_small, small_rows, string_array
+from evidloom.bounds import LITERAL_ROWS, small_rows
 from evidloom.functions import lexicon as lx
+from evidloom.operators.scanning import occurring
 
 
 def match_terms(df: DataFrame, keys: list[str], low: str, lexicon: DataFrame, term: str, order: str, mode: str,
@@ -18,41 +18,21 @@ def match_terms(df: DataFrame, keys: list[str], low: str, lexicon: DataFrame, te
     """Add array ``out`` with the terms found in ``low`` (a column of lower-case text), in lexicon order.
 
     ``mode`` is ``substring`` or ``word``. Terms are lower-cased before the comparison with ``fold``, else compared as
-    given; substrings are folded and words are not unless it is set. ``keys`` must identify a row; only the indexed plan uses them.
+    given; substrings are folded and words are not unless it is set. No plan shuffles the rows, so ``keys`` are not used.
     """
     fold = mode == "substring" if fold is None else fold
     rows = small_rows(lexicon, literal_rows)
     if rows is None:
-        return _match_indexed(df, keys, low, lexicon, term, order, mode, out, fold)
+        return _match_scanned(df, low, lexicon, term, order, mode, out, fold)
     terms = [r[term] for r in sorted(rows, key=lambda r: r[order])]
     find = lx.substring_terms if mode == "substring" else lx.word_terms
     return df.withColumn(out, find(F.col(low), terms, fold))
 
 
-def _is_word(c: Column) -> Column:
-    return F.rlike(c, F.lit(r"[\p{L}\p{N}_]"))
-
-
-def _match_indexed(df: DataFrame, keys: list[str], low: str, lexicon: DataFrame, term: str, order: str, mode: str,
-                   out: str, fold: bool) -> DataFrame:
+def _match_scanned(df: DataFrame, low: str, lexicon: DataFrame, term: str, order: str, mode: str, out: str,
+                   fold: bool) -> DataFrame:
     compared = F.lower(term) if fold else F.col(term)
-    entries = lexicon.select(F.col(order).alias("_ord"), F.col(term).alias("_term"), compared.alias("_low"))
-    sizes = entries.agg(F.min(F.length("_low")), F.max(F.length("_low"))).first()
-    gram, longest = sizes[0], sizes[1]
-    entries = broadcast_if_small(entries.withColumn("_gram", F.substring("_low", 1, gram)))
-    low = F.col(low)
-    starts = F.sequence(F.lit(1), F.length(low) - gram + 1)
-    # One character before the position, then as many as the longest term and its right neighbour need.
-    windows = F.transform(starts, lambda i: F.substring(F.concat(F.lit(" "), low, F.lit(" ")), i, longest + 2))
-    at = df.where(F.length(low) >= gram).select(*keys, F.explode(F.array_distinct(windows)).alias("_window"))
-    at = at.withColumn("_gram", F.substring("_window", F.lit(2), F.lit(gram)))
-    hit = F.substring("_window", F.lit(2), F.length("_low")) == F.col("_low")
-    if mode == "word":
-        before, after = F.substring("_window", 1, 1), F.col("_window").substr(F.length("_low") + 2, F.lit(1))
-        first, last = F.substring("_low", 1, 1), F.substring("_low", -1, 1)
-        hit = hit & (_is_word(before) != _is_word(first)) & (_is_word(after) != _is_word(last))
-    found = at.join(entries, "_gram").where(hit).select(*keys, "_ord", "_term").distinct()
-    found = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_ord", "_term"))).alias("_found"))
-    joined = df.join(found, keys, "left")
-    return joined.withColumn(
-        out, F.coalesce(F.transform("_found", lambda s: s["_term"]), string_array([]))).drop("_found")
+    hit = F.array(F.struct(F.col(order).cast("long").alias("ord"), F.col(term).alias("value")))
+    entries = lexicon.select(compared.alias("_low"), hit.alias("_found"))
+    found = occurring(low, entries, "_low", "_found", mode == "word")
+    return df.withColumn(out, F.transform(found, lambda s: s["value"]))
