@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import re
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,17 +45,42 @@ def normalize_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE + "+", " "))
 
 
+#: character references: decimal, hexadecimal, or one of the named ones of HTML 4
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+NAMED = {f"&{n};": html5[f"{n};"] for n in sorted(name2codepoint)} | {"&apos;": "'"}
+
+
+def dropped_parts(dropped: list[str] = DROPPED_HTML_TAGS) -> str:
+    """Regex of comments and dropped elements with all they hold. What opens first decides; what is never closed goes on
+    to the end of the page."""
+    elements = [rf"<{tag}(?:\s[^>]*)?>.*?(?:</{tag}\s*>|\z)" for tag in dropped]
+    return "(?is)" + "|".join([*elements, r"<!--.*?(?:-->|\z)"])
+
+
+def _character(reference: Column) -> Column:
+    """Text of a reference; an unknown name stays, a number that is no character becomes the replacement character."""
+    low, n = F.lower(reference), F.length(reference)
+    digits = F.when(F.startswith(low, F.lit("&#x")), F.conv(F.substring(reference, F.lit(4), n - 4), 16, 10)).otherwise(
+        F.substring(reference, F.lit(3), n - 3))
+    code = digits.try_cast("int")
+    real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(real, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    named = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+    return F.when(F.startswith(low, F.lit("&#")), char).otherwise(F.coalesce(F.try_element_at(named, reference), reference))
+
+
+def decode_references(text: Column) -> Column:
+    """Every character reference decoded once, so that ``&amp;lt;`` gives ``&lt;``."""
+    found = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
+    between = F.split(text, REFERENCE, -1)
+    pieces = F.zip_with(F.slice(between, 1, F.size(found)), F.transform(found, _character), lambda a, b: F.concat(a, b))
+    return F.when(F.size(found) > 0, F.concat(F.array_join(pieces, ""), F.element_at(between, -1))).otherwise(text)
+
+
 def html_to_text(html: Column, dropped: list[str] = DROPPED_HTML_TAGS) -> Column:
-    """Visible text of a page: dropped elements, comments and tags out, entities decoded, white space collapsed."""
-    out = html
-    for tag in dropped:
-        out = F.regexp_replace(out, rf"(?is)<{tag}(\s[^>]*)?>.*?</{tag}\s*>", " ")
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
-    for entity, char in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-                         ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return normalize_whitespace(out)
+    """Visible text of a page: dropped elements, comments and tags out, references decoded, white space collapsed."""
+    out = F.regexp_replace(html, dropped_parts(dropped), " ")
+    return normalize_whitespace(decode_references(F.regexp_replace(out, r"(?s)<[^>]*>", " ")))
 
 
 def page_main_text(html: Column) -> Column:

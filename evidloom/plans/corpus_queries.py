@@ -84,16 +84,18 @@ def corpus_union(spark, folder):
         "url", "chars", "disease_hint", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+_NAMED = "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in tx.NAMED.items()) + "}"
+_CODE = "(CASE WHEN starts_with(lower(e), '&#x') THEN '0x' || substr(e, 4, length(e) - 4) ELSE substr(e, 3, length(e) - 3) END)::INT"
+_CHAR = (f"CASE WHEN starts_with(e, '&#') THEN CASE WHEN {_CODE} BETWEEN 1 AND 1114111 AND {_CODE} NOT BETWEEN 55296 AND 57343 THEN "
+         f"chr({_CODE}) ELSE chr(65533) END ELSE coalesce({_NAMED}[e], e) END")
+
+
 def _html_text(html: str) -> str:
-    out = html
-    for tag in fv.DROPPED_HTML_TAGS:
-        out = f"regexp_replace({out}, '(?is)<{tag}(\\s[^>]*)?>.*?</{tag}\\s*>', ' ', 'g')"
-    out = f"regexp_replace({out}, '(?s)<!--.*?-->', ' ', 'g')"
+    out = f"regexp_replace({html}, {lit(tx.dropped_parts())}, ' ', 'g')"
     out = f"regexp_replace({out}, '(?s)<[^>]*>', ' ', 'g')"
-    for entity, char in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-                         ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]:
-        out = f"replace({out}, {lit(entity)}, {lit(char)})"
-    return normalized(out)
+    chars = f"list_transform(regexp_extract_all({out}, {lit(tx.REFERENCE)}), lambda e: {_CHAR})"
+    pieces = f"list_zip(string_split_regex({out}, {lit(tx.REFERENCE)}), {chars})"
+    return normalized(f"array_to_string(list_transform({pieces}, lambda z: z[1] || coalesce(z[2], '')), '')")
 
 
 _NO_TABLES = "regexp_replace(html, '(?is)<table(\\s[^>]*)?>.*?</table\\s*>', ' ', 'g')"
