@@ -90,6 +90,7 @@ CONSTRAINT_PATTERNS = {
 # Recommendation texts.
 GENERIC_NAME_MARK = "Protocol"
 GENERIC_NAME = "Ayurvedic Herb"
+DEFAULT_REMEDY_NAME = "Ayurvedic Protocol"
 DEFAULT_REMEDY_DOSAGE = "Standard Dose"
 DEFAULT_REMEDIES = [
     ("Divya Ashwagandha Vati", "1 tablet twice daily"),

@@ -17,10 +17,14 @@ BUCKET = ["topic", "age_group", "gender", "severity"]
 def eligibility_matrix(rules: DataFrame, dims: PatientDims | None = None, wildcard: str = "all") -> DataFrame:
     """Flat patient matrix: one row per topic, combination and allowed remedy; an empty bucket has a NULL remedy.
 
-    ``rules`` has ``(topic, remedy_ord, …, allowed_ages, allowed_genders, allowed_severities)``; a missing list allows
-    everyone. Combinations come from a literal array, so no row is joined to any other.
+    ``rules`` has ``(topic, remedy_ord, …, allowed_ages, allowed_genders, allowed_severities)``. A list is an array, or
+    text as it was written: a JSON list, or one plain word. Items are compared trimmed and in lower case. A missing list
+    (NULL) allows everyone; an empty one, or a JSON null, nobody. Combinations come from a literal array, so no row is
+    joined to any other.
     """
     dims = dims or PatientDims()
+    lists = ("allowed_ages", "allowed_genders", "allowed_severities")
+    rules = rules.withColumns({c: _allowed_items(rules, c) for c in lists})
 
     def allowed(column: str, value: str) -> Column:
         return F.col(column).isNull() | F.array_contains(column, F.lit(wildcard)) | F.array_contains(
@@ -35,6 +39,13 @@ def eligibility_matrix(rules: DataFrame, dims: PatientDims | None = None, wildca
     return buckets.join(kept, BUCKET, "left")
 
 
+def _allowed_items(rules: DataFrame, column: str) -> Column:
+    if rules.schema[column].dataType.typeName() == "array":
+        return F.filter(F.transform(column, lambda v: F.lower(F.trim(v))), lambda v: v != "")
+    raw = F.col(column)
+    return F.when(F.trim(raw) == "null", string_array([])).when(raw.isNotNull(), sc.normalize_list(raw))
+
+
 def kb_lookup(requests: DataFrame, kb: DataFrame, on: list[str] = BUCKET) -> DataFrame:
     """Left join of requests with the rows of their bucket."""
     return requests.join(broadcast_if_small(kb), on, "left")

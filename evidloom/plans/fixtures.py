@@ -197,14 +197,13 @@ def profiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def remedy_table(spark: SparkSession, folder: str) -> DataFrame:
     k, size = F.col("p_partkey"), F.col("p_size")
-    none = F.lit(None).cast("array<string>")
     pick = string_array
     return table(spark, folder, "part").select(
         F.concat(F.lit("t"), F.floor(k / 2)).alias("topic"), k.alias("remedy_ord"), F.col("p_name").alias("medicine_name"),
         F.col("p_type").alias("dosage"),
-        F.when(size % 4 == 0, pick(["all"])).when(size % 4 == 1, pick(["young"])).when(
-            size % 4 == 2, pick(["middle", "elder"])).otherwise(none).alias("allowed_ages"),
-        F.when(k % 3 == 0, pick(["all"])).when(k % 3 == 1, pick(["male"])).otherwise(pick(["female"]))
+        F.when(k % 25 == 0, "null").when(size % 4 == 0, '["All"]').when(size % 4 == 1, " Young ").when(
+            size % 4 == 2, '["middle", " ELDER ", ""]').alias("allowed_ages"),
+        F.when(k % 3 == 0, pick(["all"])).when(k % 3 == 1, pick([" Male", ""])).otherwise(pick(["FEMALE"]))
         .alias("allowed_genders"),
         F.when(size % 3 == 0, pick(SEVERITIES)).when(size % 3 == 1, pick(["medium"])).otherwise(pick(["high"]))
         .alias("allowed_severities"))

@@ -4,14 +4,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidloom import fixed_values as fv
+from evidloom.bounds import string_array
 from evidloom.functions import scalars as sc
 from evidloom.operators import lookup as lk
-from evidloom.operators.profile import PatientDims
+from evidloom.operators.profile import PatientDims, expand_kb
 from evidloom.plans import fixtures as fx
 from evidloom.plans.evidence_queries import KB, TITLED
 from evidloom.plans.intake_queries import TRIAGE, ratio_sql
 from evidloom.plans.sql import lit, query, values
-from evidloom.session import stored
+from evidloom.session import stored, work_folder
+from evidloom.sources import stores
 
 
 def age_bands(spark, folder):
@@ -72,15 +74,31 @@ def register_new(spark, folder):
     return lk.register_new(new, known, "name", "c_custkey").select("c_custkey", "name")
 
 
-def recommend(spark, folder):
+def _triaged_people(spark, folder):
     people = fx.profiles(spark, folder).select(
         F.col("c_custkey").alias("conv_id"), sc.age_band(F.col("age"), "intake").alias("age_category"), "gender",
         "severity", "is_pregnant")
-    rows = fx.triaged_messages(spark, fx.user_messages(spark, folder)).select(
+    return fx.triaged_messages(spark, fx.user_messages(spark, folder)).select(
         "conv_id", "turn", "label", "status").join(people, "conv_id")
+
+
+def recommend(spark, folder):
+    rows = _triaged_people(spark, folder)
+    return _recommended(spark, stored(rows, "triaged"), stored(fx.label_kb(spark, folder), "kb"))
+
+
+def stored_recommend(spark, folder):
+    """Recommendations from a knowledge base that was written as a version and loaded again."""
+    place = work_folder(spark, "kb-store")
+    profile = fx.document_profile(spark, folder)
+    names = F.element_at(string_array(fx.LABEL_TOPICS), F.col("topic_ord") + 1)
+    stores.write_kb(expand_kb(profile).withColumn("topic", names), profile.withColumn("topic", names), place)
+    return _recommended(spark, stored(_triaged_people(spark, folder), "triaged"), stores.load_kb(spark, place, "nowhere"))
+
+
+def _recommended(spark, rows, kb):
     keys = fx.ordered(spark, fx.LABEL_TOPICS, "key")
-    kb = stored(fx.label_kb(spark, folder), "kb")
-    found = lk.recommend(stored(rows, "triaged"), kb, keys, scorer="indel")
+    found = lk.recommend(rows, kb, keys, scorer="indel")
     return found.select("conv_id", "turn", "label", "topic", "match_level", "remedy_ord", "remedy", "remedy_dosage",
                         "pregnancy_status")
 
@@ -100,8 +118,8 @@ PROFILES = [
 ]
 ELIGIBLE = PROFILES + [
     ("remedies", "SELECT 't' || (p_partkey // 2) AS topic, p_partkey AS remedy_ord, p_name AS medicine_name, p_type AS "
-                 "dosage, CASE p_size % 4 WHEN 0 THEN ['all'] WHEN 1 THEN ['young'] WHEN 2 THEN ['middle', 'elder'] END "
-                 "AS ages, CASE p_partkey % 3 WHEN 0 THEN ['all'] WHEN 1 THEN ['male'] ELSE ['female'] END AS genders, "
+                 "dosage, CASE WHEN p_partkey % 25 = 0 THEN []::VARCHAR[] WHEN p_size % 4 = 0 THEN ['all'] WHEN p_size % 4 = 1 THEN "
+                 "['young'] WHEN p_size % 4 = 2 THEN ['middle', 'elder'] END AS ages, CASE p_partkey % 3 WHEN 0 THEN ['all'] WHEN 1 THEN ['male'] ELSE ['female'] END AS genders, "
                  "CASE p_size % 3 WHEN 0 THEN ['low', 'medium', 'high'] WHEN 1 THEN ['medium'] ELSE ['high'] END AS "
                  "severities FROM part"),
     ("fitting", "SELECT r.topic, c.age_group, c.gender, c.severity, r.remedy_ord, r.medicine_name, r.dosage FROM "
@@ -183,6 +201,7 @@ QUERIES = {
     "relaxed_lookup": relaxed_lookup,
     "register_new": register_new,
     "recommend": recommend,
+    "stored_recommend": stored_recommend,
 }
 ORACLE = {
     "age_bands": query(PROFILES, f"SELECT c_custkey, {_INTAKE} AS intake, {_DEMO} AS demo, {_KB_AGE} AS kb FROM people"),
@@ -223,3 +242,4 @@ ORACLE = {
         "name FROM named WHERE name NOT IN (SELECT 'acct-' || floor(s_acctbal / 10)::BIGINT FROM supplier) QUALIFY "
         "row_number() OVER (PARTITION BY name ORDER BY c_custkey) = 1"),
 }
+ORACLE["stored_recommend"] = ORACLE["recommend"]

@@ -1,8 +1,11 @@
 """Readers and writers for the stored artefacts: corpus, evidence, knowledge base, logs, catalog, training data."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from evidloom import fixed_values as fv
@@ -17,7 +20,7 @@ EVIDENCE_SCHEMA = (
 )
 REMEDY_STRUCT = (
     "medicine_name string, formulation_type string, herb_sanskrit array<string>, dosha_type string, dosage string, "
-    "allowed_ages array<string>, allowed_genders array<string>, allowed_severities array<string>, "
+    "allowed_ages string, allowed_genders string, allowed_severities string, "
     "child_safe boolean, elderly_safe boolean, pregnant_safe boolean"
 )
 
@@ -38,17 +41,24 @@ def read_evidence(spark: SparkSession, path: str, multi_line: bool = True) -> Da
 
 
 def read_remedies(spark: SparkSession, path: str) -> DataFrame:
-    """Remedy rules from a JSON map of topics to lists, one row per remedy in file order."""
+    """Remedy rules from a JSON map of topics to lists, one row per remedy in file order.
+
+    Allow-lists stay as they are written, for ``eligibility_matrix``: a missing one is NULL, a JSON null the text ``null``.
+    """
     rows = spark.read.schema("value string").text(path, wholetext=True)
-    parsed = rows.select(F.from_json("value", f"map<string, array<struct<{_struct_fields()}>>>").alias("m"))
+    parsed = rows.select(F.from_json("value", "map<string, array<map<string, string>>>").alias("m"))
     lists = parsed.select(F.posexplode("m").alias("topic_ord", "topic", "remedies"))
-    return lists.select("topic_ord", F.trim("topic").alias("topic"),
-                        F.posexplode("remedies").alias("remedy_ord", "r")).select(
-        "topic_ord", "topic", F.col("remedy_ord").cast("long").alias("remedy_ord"), "r.*")
+    lists = lists.select("topic_ord", F.trim("topic").alias("topic"), F.posexplode("remedies").alias("remedy_ord", "r"))
 
+    def value(name: str, kind: str) -> Column:
+        raw = F.try_element_at("r", F.lit(name))
+        if name.startswith("allowed_"):
+            return F.when(F.map_contains_key("r", name), F.coalesce(raw, F.lit("null")))
+        return F.from_json(raw, kind) if kind.startswith("array") else raw.try_cast(kind)
 
-def _struct_fields() -> str:
-    return ", ".join(f"{n}:{t}" for n, t in (f.strip().split(" ", 1) for f in REMEDY_STRUCT.split(", ")))
+    fields = [f.strip().split(" ", 1) for f in REMEDY_STRUCT.split(", ")]
+    return lists.where("topic <> ''").select("topic_ord", "topic", F.col("remedy_ord").cast("long").alias("remedy_ord"),
+                                             *[value(n, t).alias(n) for n, t in fields])
 
 
 def read_training(spark: SparkSession, path: str) -> DataFrame:
@@ -56,32 +66,62 @@ def read_training(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", True).csv(path).drop("Unnamed: 133")
 
 
-def write_kb(kb: DataFrame, profile: DataFrame, path: str) -> None:
-    """All knowledge-base outputs: flat (by topic), final, nested, quality report and remedy rules."""
-    kb.write.mode("overwrite").partitionBy("topic").parquet(f"{path}/kb_flat")
-    stored = kb.sparkSession.read.parquet(f"{path}/kb_flat")
-    stored.write.mode("overwrite").json(f"{path}/kb_final")
-    kb_nested(stored).write.mode("overwrite").json(f"{path}/kb_structured")
-    kb_quality(stored).write.mode("overwrite").json(f"{path}/kb_quality")
-    remedy_rules(profile).write.mode("overwrite").json(f"{path}/remedy_rules")
+#: columns of a loaded knowledge base, wherever it comes from
+KB_SCHEMA = ("topic string, combo_ord int, age_group string, gender string, severity string, remedy_ord long, medicine_name string, "
+             "dosage string, top_terms array<string>")
+MANIFEST_SCHEMA = "version string, written timestamp"
 
 
-def load_kb(spark: SparkSession, kb_path: str, remedies_path: str) -> DataFrame:
-    """Stored flat knowledge base; else the matrix derived from the remedy rules; else no rows."""
-    try:
-        return spark.read.parquet(kb_path)
-    except AnalysisException:
-        pass
-    empty = "topic string, combo_ord int, age_group string, gender string, severity string, remedy_ord long, " \
-            "medicine_name string, dosage string"
+def write_kb(kb: DataFrame, profile: DataFrame, path: str) -> str:
+    """All knowledge-base outputs as a new version: flat, final, nested, quality report and remedy rules.
+
+    The row of the manifest is written last, so that a reader sees a whole version or none of it; earlier versions stay.
+    """
+    version = uuid.uuid4().hex
+    place = f"{path}/{version}"
+    kb.write.parquet(f"{place}/kb_flat")
+    flat = kb.sparkSession.read.schema(kb.schema).parquet(f"{place}/kb_flat")
+    flat.write.json(f"{place}/kb_final")
+    kb_nested(flat).write.json(f"{place}/kb_structured")
+    kb_quality(flat).write.json(f"{place}/kb_quality")
+    remedy_rules(profile).write.json(f"{place}/remedy_rules")
+    row = kb.sparkSession.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("written"))
+    row.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return version
+
+
+def _present(build) -> DataFrame | None:
+    """Result of ``build``, or None where its path is not there; other errors are raised."""
     try:
-        rules = read_remedies(spark, remedies_path).withColumns({
-            "medicine_name": F.coalesce("medicine_name", F.lit("Protocol")),
-            "dosage": F.coalesce("dosage", F.lit(fv.DEFAULT_REMEDY_DOSAGE)),
-        })
-        return eligibility_matrix(rules)
-    except AnalysisException:
-        return spark.createDataFrame([], empty)
+        return build()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def load_kb(spark: SparkSession, kb_path: str, remedies_path: str) -> DataFrame:
+    """Newest version of the stored knowledge base; else the matrix derived from the remedy rules; else no rows.
+
+    All three have the columns of KB_SCHEMA, as ``recommend`` takes them.
+    """
+    manifest = _present(lambda: spark.read.schema(MANIFEST_SCHEMA).parquet(f"{kb_path}/manifest"))
+    newest = manifest.orderBy(F.desc("written"), F.desc("version")).first() if manifest is not None else None
+    if newest is not None:
+        flat = spark.read.schema("topic string, combo_ord int, age_group string, gender string, severity string, medicine_name "
+                                 "string, dosage string, top_terms array<string>").parquet(f"{kb_path}/{newest['version']}/kb_flat")
+        return _kb_columns(flat.withColumn("remedy_ord", F.lit(0)))
+    rules = _present(lambda: read_remedies(spark, remedies_path))
+    if rules is None:
+        return spark.createDataFrame([], KB_SCHEMA)
+    named = rules.withColumns({
+        "medicine_name": F.coalesce("medicine_name", F.lit(fv.DEFAULT_REMEDY_NAME)),
+        "dosage": F.coalesce("dosage", F.lit(fv.DEFAULT_REMEDY_DOSAGE)), "top_terms": F.col("herb_sanskrit")})
+    return _kb_columns(eligibility_matrix(named))
+
+
+def _kb_columns(kb: DataFrame) -> DataFrame:
+    return kb.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(KB_SCHEMA)])
 
 
 def overwrite_table(df: DataFrame, path: str) -> None:

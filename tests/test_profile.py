@@ -1,4 +1,6 @@
 """Golden profile rows and knowledge-base counts."""
+from pyspark.sql import functions as F
+
 from evidloom import fixed_values as fv
 from evidloom.bounds import local_table
 from evidloom.operators import lookup as lk
@@ -57,11 +59,36 @@ def test_knowledge_base_outputs(spark, tmp_path):
     assert (report.topic_count, report.total_combos_expected, report.total_records) == (3, 54, 54)
     assert report.zero_evidence_combos == 18
     assert report.zero_evidence_examples[0] == "Arthritis:young_male_low"
-    stores.write_kb(kb, profile, str(tmp_path))
-    loaded = stores.load_kb(spark, f"{tmp_path}/kb_flat", "nowhere")
+    version = stores.write_kb(kb, profile, str(tmp_path))
+    loaded = stores.load_kb(spark, str(tmp_path), "nowhere")
     assert loaded.count() == 54
-    assert spark.read.json(f"{tmp_path}/kb_structured").count() == 3
-    assert spark.read.json(f"{tmp_path}/remedy_rules").count() == 3
+    assert spark.read.json(f"{tmp_path}/{version}/kb_structured").count() == 3
+    assert spark.read.json(f"{tmp_path}/{version}/remedy_rules").count() == 3
+
+
+def test_readers_see_the_newest_whole_version(spark, tmp_path):
+    """Topics that look like numbers stay text; a version without its row in the manifest is not seen."""
+    profile = golden(spark).withColumn("topic", F.concat(F.lit("00"), F.col("topic_ord").cast("string")))
+    stores.write_kb(pf.expand_kb(profile.where("topic = '001'")), profile, str(tmp_path))
+    assert {r.topic for r in stores.load_kb(spark, str(tmp_path), "nowhere").collect()} == {"001"}
+    stores.write_kb(pf.expand_kb(profile), profile, str(tmp_path))
+    pf.expand_kb(profile).withColumn("topic", F.lit("x")).write.parquet(f"{tmp_path}/unfinished/kb_flat")
+    assert {r.topic for r in stores.load_kb(spark, str(tmp_path), "nowhere").collect()} == {"000", "001", "002"}
+
+
+def test_allow_lists_as_written(spark, tmp_path):
+    path = tmp_path / "remedies.json"
+    path.write_text('{" T ": [{"medicine_name": "m", "allowed_ages": [" Young ", "", "ELDER"], "allowed_genders": "Male"}, '
+                    '{"allowed_ages": null}, {"allowed_ages": ["all"], "allowed_severities": []}, {"herb_sanskrit": ["h"]}], "": [{}]}')
+    rows = stores.load_kb(spark, f"{tmp_path}/missing", str(path)).where("remedy_ord is not null").collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r.remedy_ord, set()).add((r.age_group, r.gender, r.severity))
+    assert set(found) == {0, 3} and {r.topic for r in rows} == {"T"}
+    assert found[0] == {(a, "male", s) for a in ("young", "elder") for s in fv.SEVERITIES}
+    assert len(found[3]) == 18
+    last = next(r for r in rows if r.remedy_ord == 3)
+    assert (last.medicine_name, last.dosage, last.top_terms) == (fv.DEFAULT_REMEDY_NAME, fv.DEFAULT_REMEDY_DOSAGE, ["h"])
 
 
 def test_no_zero_evidence_gives_empty_examples(spark):
