@@ -52,8 +52,6 @@ MIN_FEATURES = 3
 RULE_SLACK = 1
 HIGH_SEVERITY_WORDS = ["severe", "terrible", "blinding", "unbearable", "extreme", "bad", "worst", "killing", "intense"]
 LOW_SEVERITY_WORDS = ["mild", "slight", "little", "minor", "bearable"]
-SUGGEST_POOL_EMPTY = ["headache", "high_fever", "stomach_pain", "fatigue", "nausea", "chills", "cough"]
-SUGGEST_POOL_FEW = ["headache", "fatigue", "nausea", "chills", "sweating", "stomach_pain", "cough"]
 CRITICAL_FOLLOW_UPS = ["dizziness", "blurred_vision", "unsteadiness", "stiff_neck"]
 FOLLOW_UP = (". I also have ", ".")
 
@@ -107,15 +105,7 @@ PREGNANCY_YES = "Contraindicated during pregnancy. Consult a physician immediate
 PREGNANCY_NO = "Safe for general use."
 
 # Catalog.
-IMAGE_KEYWORDS = [
-    ("powder", ["churna", "powder"]),
-    ("oil", ["taila", "oil", "serum"]),
-    ("tablet", ["vati", "tablet", "guggulu"]),
-    ("drink", ["tea", "drink"]),
-]
 IMAGE_ELSE = "other"
-PROFILE_IMAGE_KEYWORDS = [("vata", ["vata"]), ("pitta", ["pitta"])]
-PROFILE_IMAGE_ELSE = "kapha"
 
 # Training.
 SPLIT_TEST_FRACTION = 0.2

@@ -63,7 +63,7 @@ def topic_coverage(spark, folder):
 
 
 def uncovered_topics(spark, folder):
-    base = fx.fallback_base(spark, folder)
+    base = corpus.gate_corpus(fx.fallback_base(spark, folder))
     return corpus.uncovered_topics(corpus.topic_coverage(base, fx.topics_table(spark), ["doc_id"]))
 
 
@@ -122,8 +122,8 @@ def _fallback_ctes() -> list[tuple[str, str]]:
     case = "CASE lang " + " ".join(f"WHEN {lit(k)} THEN {fx.TOPICS.index(t)}"
                                    for k, t in fx.CANDIDATE_TOPICS.items()) + " END"
     ctes = [
-        ("base", "SELECT doc_id, text, CASE WHEN doc_id % 40 = 0 THEN source ELSE 'base/' || source END AS url "
-                 "FROM documents WHERE lang = 'en'"),
+        ("base", f"SELECT doc_id, substr(text, 1, {fv.MAX_TEXT_CHARS}) AS text, length(text) AS full_chars, CASE WHEN doc_id % 40 = "
+                 f"0 THEN source ELSE 'base/' || source END AS url FROM documents WHERE lang = 'en' AND length(text) >= {fv.MIN_TEXT_CHARS}"),
         ("pool", f"SELECT {case} AS topic_ord, doc_id AS rank, source AS url, text FROM documents"),
         ("first_five", "SELECT * FROM pool WHERE topic_ord IS NOT NULL "
                        "QUALIFY row_number() OVER (PARTITION BY topic_ord ORDER BY rank) <= 5"),
@@ -185,14 +185,15 @@ ORACLE = {
         f"least(length(text), {fv.MAX_TEXT_CHARS}) AS kept, (lang <> 'en')::INT AS prio FROM documents "
         f"WHERE length(text) >= {fv.MIN_TEXT_CHARS} ORDER BY prio, doc_id"),
     "topic_coverage": _COVER_ROWS.format(source="documents"),
-    "uncovered_topics": query([("base", "SELECT text FROM documents WHERE lang = 'en'"),
+    "uncovered_topics": query([("base", f"SELECT substr(text, 1, {fv.MAX_TEXT_CHARS}) AS text FROM documents WHERE lang = 'en' AND length(text) >= "
+                                        f"{fv.MIN_TEXT_CHARS}"),
                                ("cover", _COVER_ROWS.format(source="base"))],
                               "SELECT topic_ord, topic FROM cover WHERE NOT covered"),
     "fallback_candidates": query(_fallback_ctes(), "SELECT topic_ord, disease_hint, rank, url, chars, md5(text) AS "
                                                    "text_md5 FROM added"),
     "corpus_union": query(
         _fallback_ctes(),
-        "SELECT url, length(text) AS chars, NULL AS disease_hint, "
+        "SELECT url, full_chars AS chars, NULL AS disease_hint, "
         f"md5(substr(text, 1, {fv.MAX_TEXT_CHARS})) AS text_md5 FROM base WHERE length(text) >= {fv.MIN_TEXT_CHARS} "
         "UNION ALL SELECT url, chars, disease_hint, md5(text) FROM added"),
 }

@@ -27,9 +27,11 @@ def build_session(cores: str | int = "*", app: str = "evidloom") -> SparkSession
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """New folder below the shared one that the cluster names; a temporary one only where none is set (tests)."""
+    """New folder below the shared one that the cluster names; a temporary one only for a local master (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         return tempfile.mkdtemp(prefix=f"evidloom-{name}-")
     return f"{shared.rstrip('/')}/evidloom-{name}-{uuid.uuid4().hex}"
 
