@@ -22,11 +22,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of rows that links join: that with the smallest id, null last, then the first row.
 
-    Every row is a document of its own, also where ids are null or repeat with the same or other texts. Rows without
-    words are linked with nothing, so all of them stay.
+    Every row is a document of its own, also where ids are null or repeat with the same or other texts: then rows are
+    written with a number and joined by it. Rows without words are linked with nothing, so all of them stay.
     """
-    rows = stored(docs.withColumn(_free_name(docs, "row"), F.monotonically_increasing_id()), "rows")
-    row = rows.columns[-1]
+    n, distinct = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    rows, row = docs, "doc_id"
+    if n != distinct:
+        row = _free_name(docs, "row")
+        rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     found = stored(ngram_components(rows, key=row).select(F.col(row).alias("member"), F.col("component_id").alias("top"))
                    .where("member != top"), "copies")
     grouped = stored(found.unionByName(found.select(F.col("top").alias("member"), "top").distinct()), "groups")
