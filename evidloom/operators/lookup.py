@@ -19,24 +19,29 @@ def eligibility_matrix(rules: DataFrame, dims: PatientDims | None = None, wildca
 
     ``rules`` has ``(topic, remedy_ord, …, allowed_ages, allowed_genders, allowed_severities)``. A list is an array, or
     text as it was written: a JSON list, or one plain word. Items are compared trimmed and in lower case. A missing list
-    (NULL) allows everyone; an empty one, or a JSON null, nobody. Combinations come from a literal array, so no row is
-    joined to any other.
+    (NULL) allows everyone; an empty one, or a JSON null, nobody. Combinations come from a literal array, empty buckets
+    from one flag per combination and topic, so no row is joined to any other. (Exploded rows look small to the planner,
+    which broadcasts them in a join.)
     """
     dims = dims or PatientDims()
     lists = ("allowed_ages", "allowed_genders", "allowed_severities")
+    others = [c for c in rules.columns if c not in ("topic", *lists)]
     rules = rules.withColumns({c: _allowed_items(rules, c) for c in lists})
 
-    def allowed(column: str, value: str) -> Column:
-        return F.col(column).isNull() | F.array_contains(column, F.lit(wildcard)) | F.array_contains(
-            column, F.col(value))
-
-    expanded = rules.select("*", F.explode(dims.array()).alias("_c")).select("*", "_c.*").drop("_c")
-    fits = (allowed("allowed_ages", "age_group") & allowed("allowed_genders", "gender")
-            & allowed("allowed_severities", "severity"))
-    kept = expanded.where(fits).drop("allowed_ages", "allowed_genders", "allowed_severities", "combo_ord")
-    buckets = rules.select("topic").distinct().select("topic", F.explode(dims.array()).alias("_c")).select(
-        "topic", "_c.*")
-    return buckets.join(kept, BUCKET, "left")
+    def allowed(column: str, value: Column) -> Column:
+        return F.col(column).isNull() | F.array_contains(column, F.lit(wildcard)) | F.array_contains(column, value)
+
+    def fits(age: Column, gender: Column, severity: Column) -> Column:
+        return allowed("allowed_ages", age) & allowed("allowed_genders", gender) & allowed("allowed_severities", severity)
+
+    def expanded(rows: DataFrame) -> DataFrame:
+        return rows.select("*", F.explode(dims.array()).alias("_c")).select("*", "_c.*").drop("_c")
+
+    kept = expanded(rules.where(F.col("topic").isNotNull())).where(fits(*[F.col(c) for c in BUCKET[1:]])).drop(*lists)
+    filled = rules.groupBy("topic").agg(F.array(*[
+        F.bool_or(F.col("topic").isNotNull() & fits(*map(F.lit, combo))) for combo in dims.combos()]).alias("_filled"))
+    empty = expanded(filled).where(~F.coalesce(F.get("_filled", "combo_ord"), F.lit(False))).drop("_filled")
+    return empty.unionByName(kept, allowMissingColumns=True).select(*BUCKET, "combo_ord", *others)
 
 
 def _allowed_items(rules: DataFrame, column: str) -> Column:

@@ -13,6 +13,7 @@ from evidloom.operators import learning as ln
 from evidloom.operators import lookup as lk
 from evidloom.operators import triage as tr
 from evidloom.operators.matching import match_terms
+from evidloom.operators.profile import PatientDims
 from evidloom.operators.rules import rule_match
 from evidloom.operators.similar import fuzzy_best_match, similar_pairs
 from evidloom.plans import fixtures as fx
@@ -216,6 +217,27 @@ def test_lookup_keeps_every_request(spark):
     assert {r.match_level for r in out.select("match_level").distinct().collect()} == {"exact", "first", "default"}
 
 
+def test_eligibility_without_a_join(spark):
+    """Exploded rows look small to the planner, so a join of them was broadcast whatever their number."""
+    some = [(None, 0, "n", None, None, None), ("a", 1, "x", "null", ["all"], ["low"]), ("a", 2, "y", " Young ", [" MALE", None], None),
+            ("b", 3, "z", None, [], ["high"]), ("c", 4, "v", '["All"]', None, ["medium", "low"]), ("c", 4, "v", '["All"]', None, ["low"])]
+    rules = local_table(spark, some, "topic string, remedy_ord long, medicine_name string, allowed_ages string, "
+                                     "allowed_genders array<string>, allowed_severities array<string>")
+    items = lambda v: None if v is None else [] if v == "null" else [x.strip().lower() for x in (
+        v if isinstance(v, list) else [v.strip('[]"')]) if x]
+    fits = lambda v, x: items(v) is None or "all" in items(v) or x in items(v)
+    want = []
+    for topic in [None, "a", "b", "c"]:
+        for i, (age, gender, severity) in enumerate(PatientDims().combos()):
+            found = [(r[1], r[2]) for r in some if r[0] == topic and topic and fits(r[3], age) and fits(r[4], gender)
+                     and fits(r[5], severity)]
+            want += [(topic, age, gender, severity, i, *f) for f in found or [(None, None)]]
+    out = lk.eligibility_matrix(rules)
+    assert out.columns == [*lk.BUCKET, "combo_ord", "remedy_ord", "medicine_name"]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_model_round_trip_and_majority(spark, tmp_path):
     from pyspark.ml.functions import vector_to_array
 
