@@ -36,11 +36,18 @@ def small_rows(df: DataFrame, limit: int) -> list[Row] | None:
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint when it is counted to be small, else as it is (a shuffled join)."""
-    rows = small_rows(df, limit)
-    if rows is None:
-        return df
-    return F.broadcast(local_table(df.sparkSession, [tuple(r) for r in rows], df.schema))
+    """``df`` with a broadcast hint when it is counted to be small, else for a shuffled join.
+
+    The larger one carries a hint, since the planner's own guess is far too low for exploded and collected rows. Rows
+    come as an Arrow table, not as Python objects.
+    """
+    rows = df.__dict__.get("_known_rows")
+    if rows is not None:
+        return F.broadcast(local_table(df.sparkSession, [tuple(r) for r in rows], df.schema)) if len(rows) <= limit else df.hint("merge")
+    found = df.limit(limit + 1).toArrow()
+    if found.num_rows > limit:
+        return df.hint("merge")
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
 
 
 def sql_text(value: str) -> str:

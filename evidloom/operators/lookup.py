@@ -83,7 +83,7 @@ def kb_lookup_fallback(requests: DataFrame, kb: DataFrame,
     literal = F.array(*[
         F.struct(F.lit(i).cast("long").alias("remedy_ord"), F.lit(n).alias("medicine_name"), F.lit(d).alias("dosage"))
         for i, (n, d) in enumerate(defaults)])
-    joined = rows.join(source, ["topic", *[f"_{c}" for c in BUCKET[1:]]], "left")
+    joined = rows.join(broadcast_if_small(source), ["topic", *[f"_{c}" for c in BUCKET[1:]]], "left")
     picked = F.when(F.col("match_level") == "default", literal).otherwise(F.array("_found"))
     return joined.withColumn("_r", F.explode(picked)).select(
         *requests.columns, "match_level", *[F.col(f"_r.{c}").alias(c) for c in named], *others)

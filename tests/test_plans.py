@@ -5,7 +5,8 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from evidloom.bounds import local_table
+from evidloom.bounds import broadcast_if_small, local_table
+from evidloom.fixed_values import DEFAULT_REMEDIES
 from evidloom.functions import similarity as sim
 from evidloom.operators import commerce as cm
 from evidloom.operators import corpus, features as ft
@@ -238,6 +239,23 @@ def test_eligibility_without_a_join(spark):
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_fallback_shuffles_a_large_kb(spark):
+    """More filled buckets than are broadcast after counting are not broadcast on the planner's guess either."""
+    rules = spark.range(50_000).select(F.concat(F.lit("t"), F.floor(F.col("id") / 2)).alias("topic"), F.col("id").alias("remedy_ord"),
+                                       F.concat(F.lit("m"), "id").alias("medicine_name"), F.lit("d").alias("dosage"),
+                                       *[F.lit(None).cast("array<string>").alias(f"allowed_{c}") for c in ("ages", "genders", "severities")])
+    requests = spark.range(0, 50_000, 2000).select("id", F.concat(F.lit("t"), "id").alias("topic"), F.lit("young").alias("age_group"),
+                                                   F.lit("male").alias("gender"), F.lit("low").alias("severity"))
+    out = lk.kb_lookup_fallback(requests, lk.eligibility_matrix(rules))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.id, r.match_level, r.remedy_ord, r.medicine_name) for r in out.collect()}
+    assert got == {(i, "exact", 2 * i + k, f"m{2 * i + k}") for i in range(0, 25_000, 2000) for k in (0, 1)} | {
+        (i, "default", k, n) for i in range(26_000, 50_000, 2000) for k, (n, _) in enumerate(DEFAULT_REMEDIES)}
+    wide = spark.range(25_000).withColumn("v", F.sequence(F.lit(0), F.lit(40)))
+    joined = spark.range(25_000).join(broadcast_if_small(wide), "id")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_model_round_trip_and_majority(spark, tmp_path):
     from pyspark.ml.functions import vector_to_array
 
