@@ -90,7 +90,7 @@ def recommend(spark, folder):
 def stored_recommend(spark, folder):
     """Recommendations from a knowledge base that was written as a version and loaded again."""
     place = work_folder(spark, "kb-store")
-    profile = fx.document_profile(spark, folder)
+    profile = stored(fx.document_profile(spark, folder), "profile")
     names = F.element_at(string_array(fx.LABEL_TOPICS), F.col("topic_ord") + 1)
     stores.write_kb(expand_kb(profile).withColumn("topic", names), profile.withColumn("topic", names), place)
     return _recommended(spark, stored(_triaged_people(spark, folder), "triaged"), stores.load_kb(spark, place, "nowhere"))

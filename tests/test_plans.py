@@ -256,6 +256,15 @@ def test_fallback_shuffles_a_large_kb(spark):
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
 
 
+def test_profile_is_computed_once_for_the_stored_kb(spark, monkeypatch):
+    from evidloom.sources import stores
+
+    given, write = [], stores.write_kb
+    monkeypatch.setattr(stores, "write_kb", lambda kb, profile, path: (given.extend([kb, profile]), write(kb, profile, path)))
+    assert QUERIES["stored_recommend"](spark, DATA).count() > 0
+    assert len(given) == 2 and not any("documents.parquet" in f for df in given for f in df.inputFiles())
+
+
 def test_model_round_trip_and_majority(spark, tmp_path):
     from pyspark.ml.functions import vector_to_array
 
