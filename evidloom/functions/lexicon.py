@@ -1,6 +1,9 @@
 """Column expressions for matching a bounded lexicon; the text must already be lower-case."""
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +13,9 @@ from evidloom.fixed_values import (
 )
 from evidloom.functions.text import any_whole_word, quote, whole_word
 
+#: terms that are tried as substrings one by one before their regex
+FEW_TERMS = 8
+
 
 def _keep(pairs: list[tuple[Column, str]]) -> Column:
     if not pairs:
@@ -34,7 +40,11 @@ def word_terms(low: Column, terms: list[str], fold: bool = False) -> Column:
 
 
 def has_word_term(low: Column, terms: list[str]) -> Column:
-    return F.rlike(low, F.lit(any_whole_word(terms))) if terms else F.lit(False)
+    """One alternation; for a few terms the cheap substring tests run before it."""
+    if not terms:
+        return F.lit(False)
+    found = F.rlike(low, F.lit(any_whole_word(terms)))
+    return reduce(or_, [F.contains(low, F.lit(t)) for t in terms]) & found if len(terms) <= FEW_TERMS else found
 
 
 def hint_class(low: Column, hints: list[tuple[str, list[str]]], default: str) -> Column:

@@ -12,6 +12,10 @@ from evidloom.fixed_values import CONTROL_MARKER, DROPPED_HTML_TAGS
 # White space and word characters as explicit classes, since `\s`, `\w` and `\b` differ between regex engines.
 SPACE = r"[\t\n\x0b\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 WORD = r"[\p{L}\p{N}_]"
+# Runs of white space other than one blank, which most texts are full of and which stays as it is. The ranges before && are
+# two quick tests that all other ASCII characters fail.
+_GUARD = r"[\x00-\x20\x{85}-\x{3000}&&"
+UNEVEN_SPACE = f"{_GUARD}{SPACE.replace(' ', '')}]{_GUARD}{SPACE}]*| {_GUARD}{SPACE}]+"
 _QUOTE = re.compile(r"([^\w\s])")
 
 
@@ -42,7 +46,7 @@ def any_whole_word(terms: list[str]) -> str:
 
 
 def normalize_whitespace(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
+    return F.trim(F.regexp_replace(text, UNEVEN_SPACE, " "))
 
 
 #: character references: decimal, hexadecimal, or one of the named ones of HTML 4

@@ -28,10 +28,13 @@ class EvidenceLexicon:
 
 def filter_entities(entities: DataFrame, keys: list[str], min_score: float = fv.ENTITY_MIN_SCORE,
                     min_chars: int = fv.ENTITY_MIN_CHARS) -> DataFrame:
-    """Entity rows ``(keys, word, score)`` to one sorted term array per sentence: sure, long enough, ASCII words."""
+    """Entity rows ``(keys, word, score)`` to one sorted term array per sentence: sure, long enough, ASCII words.
+
+    The score is tested last, since it may be an expression, and the regex only for words with longer characters.
+    """
     word = F.lower(F.trim("word"))
-    kept = entities.where((F.col("score") >= min_score) & (F.length(word) >= min_chars)
-                          & F.rlike(word, F.lit(r"^[\x00-\x7F]*$")))
+    ascii_only = (F.octet_length(word) == F.length(word)) | F.rlike(word, F.lit(r"^[\x00-\x7F]*$"))
+    kept = entities.where((F.length(word) >= min_chars) & ascii_only & (F.col("score") >= min_score))
     return kept.groupBy(*keys).agg(F.array_sort(F.collect_set(word)).alias("entity_terms"))
 
 

@@ -12,6 +12,7 @@ from evidloom.operators.evidence import filter_entities
 from evidloom.operators.matching import match_terms
 from evidloom.plans import fixtures as fx
 from evidloom.plans.sql import has_word, lit, normalized, query, sentence_array, values
+from evidloom.session import stored
 from evidloom.sources.tables import text_table
 
 
@@ -133,7 +134,9 @@ def entity_filter(spark, folder):
 
 
 def extractions_with_entities(spark, folder):
-    sents = fx.document_sentences(spark, folder, "source").withColumn("doc_ord", F.col("doc_id"))
+    """Sentences are split once and stored, for the matching and for the entities."""
+    sents = stored(fx.document_sentences(spark, folder, "source").drop("low"), "sentences")
+    sents = sents.withColumn("low", F.lower("sentence")).withColumn("doc_ord", F.col("doc_id"))
     lexicon, keys = fx.evidence_lexicon(spark), ["doc_id", "sent_ord"]
     found = filter_entities(fx.sentence_entities(sents.select(*keys, "low")), keys)
     return _shown(evidence.extractions(sents, lexicon, keys, found))

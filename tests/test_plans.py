@@ -1,5 +1,6 @@
 """The plan for large lexicons gives the same rows as the literal plan, and operators match brute force."""
 import random
+import re
 
 import pytest
 from conftest import DATA
@@ -8,11 +9,14 @@ from pyspark.sql import functions as F
 from evidloom.bounds import broadcast_if_small, local_table
 from evidloom.fixed_values import DEFAULT_REMEDIES
 from evidloom.functions import similarity as sim
+from evidloom.functions.lexicon import has_word_term
+from evidloom.functions.text import normalize_whitespace
 from evidloom.operators import commerce as cm
 from evidloom.operators import corpus, features as ft
 from evidloom.operators import learning as ln
 from evidloom.operators import lookup as lk
 from evidloom.operators import triage as tr
+from evidloom.operators.evidence import filter_entities
 from evidloom.operators.matching import match_terms
 from evidloom.operators.profile import PatientDims
 from evidloom.operators.rules import rule_match
@@ -265,6 +269,25 @@ def test_profile_is_computed_once_for_the_stored_kb(spark, monkeypatch):
     assert len(given) == 2 and not any("documents.parquet" in f for df in given for f in df.inputFiles())
 
 
+def test_sentences_are_split_once_for_entities(spark):
+    shown = QUERIES["extractions_with_entities"](spark, DATA)
+    assert shown.inputFiles() and not any("documents.parquet" in f for f in shown.inputFiles())
+
+
+def test_white_space_and_entity_words(spark):
+    r = random.Random(4)
+    parts = ["a", "é", "b!", " ", " ", "  ", "\t", "\n", "\x1c", "\x85", "\xa0", "\u1680", "\u200a", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(400)]
+    spaces = "[\t-\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+    clean = local_table(spark, list(enumerate([*texts, None])), "i int, t string").select("i", normalize_whitespace(F.col("t")).alias("n"))
+    assert {x.i: x.n for x in clean.collect()} == {i: re.sub(spaces, " ", t).strip(" ") for i, t in enumerate(texts)} | {400: None}
+    words = [(1, " Abc ", 0.65), (1, "abc", 0.9), (1, "ab", 1.0), (1, "naïf", 1.0), (1, "xyz", 0.64), (2, "xyz", None), (None, "nul", 1.0)]
+    found = filter_entities(local_table(spark, words, "k int, word string, score double"), ["k"])
+    assert {(x.k, *x.entity_terms) for x in found.collect()} == {(1, "abc"), (None, "nul")}
+    low = local_table(spark, [("it was so",), ("washed",), ("",), (None,)], "low string")
+    assert [x[0] for x in low.select(has_word_term(F.col("low"), ["was", "are"])).collect()] == [True, False, False, None]
+
+
 def test_model_round_trip_and_majority(spark, tmp_path):
     from pyspark.ml.functions import vector_to_array
 
