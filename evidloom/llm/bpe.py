@@ -104,8 +104,9 @@ class Pieces:
 class WordStore:
     """Values of distinct words as one flat array with offsets, looked up by word hash; arrays only, to stay small."""
 
-    def __init__(self, compute, dtype):
-        self.compute, self.dtype = compute, dtype
+    def __init__(self, compute, dtype, kept: int | None = None):
+        """Without ``kept`` it holds WORDS_KEPT words; with it, so many words, and eight values for each of them."""
+        self.compute, self.dtype, self.kept = compute, dtype, kept
         self.clear()
 
     def clear(self) -> None:
@@ -149,7 +150,7 @@ class WordStore:
         unique, first = unique[order], first[order]
         rank = np.zeros_like(order)
         rank[order] = np.arange(len(order))
-        if self.count + len(unique) > WORDS_KEPT:
+        if self.count + len(unique) > (self.kept or WORDS_KEPT) or (self.kept and self.at[self.count] > 8 * self.kept):
             self.clear()
         missing = np.flatnonzero(~self._known(unique))
         for low in range(0, len(missing), 10_000):
@@ -177,7 +178,7 @@ def vocabulary(spec: dict) -> dict[bytes, int]:
 class Encoder:
     """Ids by the tokenizer file at ``path``, as tokenizers gives them without added special tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -190,7 +191,7 @@ class Encoder:
         self.joins = b"\0" in self.ranks and sum(b"\0" in t for t in self.ranks) == 1
         self.merge = tiktoken.Encoding("words", pat_str=r"[^\x00]+|\x00" if self.joins else r"(?s:.+)",
                                        mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
-        self.store = WordStore(self.merged, np.uint32)
+        self.store = WordStore(self.merged, np.uint32, kept)
 
     def merged(self, words: list[str]) -> list | tuple[np.ndarray, np.ndarray]:
         """Ids of each word; words go through the merges as one text with a zero character after each."""
@@ -239,12 +240,12 @@ class Encoder:
         return np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file."""
+def encoder(path: str, kept: int | None = None) -> Encoder:
+    """The worker's encoder for a tokenizer file, which keeps the ids of ``kept`` words (WORDS_KEPT without it)."""
     state = worker_state()
-    if ("encoder", path) not in state:
-        state["encoder", path] = Encoder(path)
-    return state["encoder", path]
+    if ("encoder", path, kept) not in state:
+        state["encoder", path, kept] = Encoder(path, kept)
+    return state["encoder", path, kept]
 
 
 def default_tokenizer() -> str:

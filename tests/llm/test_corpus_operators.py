@@ -203,6 +203,22 @@ def test_op9_shards_read_back(spark):
     assert len(got) == len(texts)
 
 
+def test_words_of_the_counting_are_known_in_the_encoding(monkeypatch):
+    """A store that starts anew merges the same words again; one that is large enough does not, and both give the same ids."""
+    monkeypatch.setattr(bpe, "WORDS_KEPT", 50)
+    texts = [pa.array([" ".join(f"w{chr(97 + i % 26)}{i}é" for i in range(low, low + 40)), None, ""]) for low in range(0, 400, 40)]
+    path = bpe.default_tokenizer()
+    small, large, narrow = bpe.Encoder(path), bpe.Encoder(path, 10_000), bpe.Encoder(path, 100)
+    counted = [large.counts(t).tolist() for t in texts]
+    monkeypatch.setattr(large.store, "compute", None)
+    for t, n in zip(texts, counted):
+        ids, offsets = large.encode(t)
+        assert np.diff(offsets).tolist() == n and ids.tolist() == large.tokenizer.encode(t[0].as_py(), add_special_tokens=False).ids
+        for other in (small, narrow):
+            assert other.encode(t)[0].tolist() == ids.tolist()
+    assert small.store.count <= 100 and narrow.store.count <= 100 and training_order.WORDS > bpe.WORDS_KEPT
+
+
 def test_training_order_edges(spark):
     df = spark.createDataFrame([(1, None), (None, ""), (2, "x"), (2, "x")], "k long, t string")
     assert training_order.materialise(df, "k", "t").count() == 4
