@@ -219,6 +219,17 @@ def test_words_of_the_counting_are_known_in_the_encoding(monkeypatch):
     assert small.store.count <= 100 and narrow.store.count <= 100 and training_order.WORDS > bpe.WORDS_KEPT
 
 
+def test_sequences_packed_by_either_library(monkeypatch):
+    ids = np.random.default_rng(3).integers(0, 50_257, (40, 256)).astype("<u2")
+    planes = np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 256, 2).transpose(0, 2, 1)).reshape(40, -1)
+    one = list(map(training_order._zstd()[0], planes))
+    want = training_order._unpack(one, 256)
+    monkeypatch.setitem(__import__("sys").modules, "zstandard", None)
+    other = list(map(training_order._zstd()[0], planes))
+    for blocks in (one, other):
+        assert (training_order._unpack(blocks, 256) == want).all() and (want.view("<u2") == ids).all()
+
+
 def test_training_order_edges(spark):
     df = spark.createDataFrame([(1, None), (None, ""), (2, "x"), (2, "x")], "k long, t string")
     assert training_order.materialise(df, "k", "t").count() == 4
