@@ -90,13 +90,12 @@ def fallback_candidates(base: DataFrame, candidates: DataFrame, topics: DataFram
 
     Topics are taken in order. A topic is skipped when the base or a document added before mentions it; its first
     ``per_topic`` candidates are tried unless their URL was tried before; an accepted one passes the length gate.
-    ``candidates`` has ``(topic_ord, rank, url, text)``, ``base`` has ``url`` and ``text``; documents of the base that the
-    length gate drops neither mention a topic nor hold a URL, and text beyond its cut does not count.
+    ``candidates`` has ``(topic_ord, rank, url, text)``, ``base`` has ``url`` and ``text`` and counts as it is: a corpus that
+    passed ``gate_corpus``, so that what the gate drops neither mentions a topic nor holds a URL.
 
     The heavy parts (coverage of the base, top candidates, their URLs and mentions) are set-based. Only the decision
     in topic order is sequential; it folds at most ``per_topic`` small structs per topic, without their texts.
     """
-    base = gate_corpus(base, "text", min_chars, max_chars)
     todo = uncovered_topics(topic_coverage(base, topics, base_keys))
     tried = top_k(candidates.join(todo, "topic_ord"), ["topic_ord"], ["rank"], per_topic)
     tried = tried.join(base.select("url").distinct(), "url", "left_anti")

@@ -68,7 +68,7 @@ def uncovered_topics(spark, folder):
 
 
 def _fallback(spark, folder):
-    return corpus.fallback_candidates(fx.fallback_base(spark, folder), fx.fallback_pool(spark, folder),
+    return corpus.fallback_candidates(corpus.gate_corpus(fx.fallback_base(spark, folder)), fx.fallback_pool(spark, folder),
                                       fx.topics_table(spark), ["doc_id"])
 
 
